@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._session import table
+from .embedding_dedup import embedding_dedup
+from .exact_topk import exact_topk
+from .minhash_dedup import minhash_dedup
 from .suffix_dedup import suffix_dedup
 from .window_dedup import window_dedup
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("span_starts", "span_ends")
 
@@ -17,5 +25,53 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(table(spark, sf_dir, "documents"))
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_suffix_dedup, op3_substring_dedup, op4_minhash_near_dedup, op7_exact_topk)}
+
+_TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+         CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+  WHERE a.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+_WINDOW_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, i AS start, list_slice(ws, i, i + 19) AS gram
+  FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 18, 1))) AS i)
+), f AS (
+  SELECT doc_id, start, row_number() OVER (PARTITION BY gram ORDER BY doc_id, start) AS n FROM g
+), c AS (
+  SELECT DISTINCT doc_id, start + k AS pos FROM f, range(20) AS r(k) WHERE n > 1
+), p AS (
+  SELECT w.doc_id, i AS pos, ws[i] AS word FROM w, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)
+), k AS (
+  SELECT p.doc_id, count(*) AS n_kept, string_agg(p.word, ' ' ORDER BY p.pos) AS kept
+  FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.pos = p.pos
+  WHERE c.pos IS NULL GROUP BY p.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_exact_topk": _TOPK_SQL, "op3_substring_dedup": _WINDOW_SQL}
