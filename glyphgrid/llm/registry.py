@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ._session import table
 from .embedding_dedup import embedding_dedup
 from .exact_topk import exact_topk
+from .huffman_tokens import token_digests
 from .minhash_dedup import minhash_dedup
 from .suffix_dedup import suffix_dedup
 from .window_dedup import window_dedup
@@ -33,7 +34,13 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_suffix_dedup, op3_substring_dedup, op4_minhash_near_dedup, op7_exact_topk)}
+def op8_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_suffix_dedup, op3_substring_dedup, op4_minhash_near_dedup, op7_exact_topk, op8_huffman_tokens)}
 
 _TOPK_SQL = """
 WITH v AS (
