@@ -146,3 +146,32 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(lengths) - lengths
     return np.repeat(starts - first, lengths) + np.arange(total)
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
+
+
+def letter_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of letters (A-Z, a-z and all bytes beyond ASCII); none crosses a row."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = _LETTER[data]
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    edge = off[1:-1]
+    before[edge[edge < len(data)]] = False
+    after[edge[edge > 0] - 1] = False
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
+class Hasher:
+    """Hashes of any spans of one text, from one pass over it."""
+
+    def __init__(self, data: np.ndarray, seed: int = 0):
+        self.total = np.zeros(len(data) + 1, U64)
+        np.cumsum(_CODES[seed][data] * _power(int(_BASE), len(data)), out=self.total[1:])
+        self.down = _power(_INVERSE, len(data) + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(U64))

@@ -11,6 +11,7 @@ from .exact_topk import exact_topk
 from .huffman_tokens import token_digests
 from .minhash_dedup import minhash_dedup
 from .suffix_dedup import suffix_dedup
+from .toxicity import toxicity
 from .window_dedup import window_dedup
 
 
@@ -30,6 +31,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", F.size("toxic_starts").alias("n_spans"))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -40,7 +45,7 @@ def op8_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_suffix_dedup, op3_substring_dedup, op4_minhash_near_dedup, op7_exact_topk, op8_huffman_tokens)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_suffix_dedup, op3_substring_dedup, op4_minhash_near_dedup, op6_toxicity_crf, op7_exact_topk, op8_huffman_tokens)}
 
 _TOPK_SQL = """
 WITH v AS (
