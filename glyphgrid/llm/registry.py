@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._session import table
+from ._counts import byte_count, word_count
+from ._session import table, work_path
 from .embedding_dedup import embedding_dedup
 from .exact_topk import exact_topk
 from .huffman_tokens import token_digests
 from .minhash_dedup import minhash_dedup
+from .mixing import temperature_mix
+from .packing import best_fit_pack
+from .rollups import TokenRollup, counted, delete_deltas, insert_deltas, revise_deltas
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
 from .window_dedup import window_dedup
@@ -31,6 +35,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", F.size("toxic_starts").alias("n_spans"))
 
@@ -45,7 +53,37 @@ def op8_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_suffix_dedup, op3_substring_dedup, op4_minhash_near_dedup, op6_toxicity_crf, op7_exact_topk, op8_huffman_tokens)}
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted under two tokenizer versions; documents of low quality are revised to their words of two
+    letters or more; toxic ones are deleted with the counts that they have by then. Every batch is committed twice."""
+    text = F.col("text")
+    long_words = word_count(F.regexp_replace(text, "(?<![^ \\t-\\r])[^ \\t-\\r](?![^ \\t-\\r])", ""))
+    c = counted(table(spark, sf_dir, "documents"), words=word_count(text), long_words=long_words, bytes=byte_count(text))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    known = c.join(labels, "doc_id")
+    group = lambda version, n: ["source", "lang", F.lit(version).alias("tokenizer"), n.cast("long").alias("n_tokens")]
+    now = F.when(F.col("quality") == 0, F.col("long_words")).otherwise(F.col("words"))
+    rollup = TokenRollup(spark, work_path(spark, "rollup"))
+    batches = {
+        "1-load": insert_deltas(c.select(*group("words-1", F.col("words"))).unionByName(c.select(*group("bytes-1", F.col("bytes"))))),
+        "2-revise": revise_deltas(known.where("quality = 0").select(*group("words-1", F.col("long_words")), F.col("words").alias("old_tokens"))),
+        "3-delete": delete_deltas(known.where("toxic = 1").select(*group("words-1", now)).unionByName(known.where("toxic = 1").select(*group("bytes-1", F.col("bytes"))))),
+    }
+    for _ in range(2):
+        for name, deltas in batches.items():
+            rollup.commit(name, deltas)
+    return rollup.totals()
+
+
+def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temperature_mix(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_embedding_near_dedup, op2_suffix_dedup, op3_substring_dedup, op4_minhash_near_dedup, op5_best_fit_packing,
+    op6_toxicity_crf, op7_exact_topk, op8_huffman_tokens, op9_token_rollup, op10_temperature_mixing,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _TOPK_SQL = """
 WITH v AS (
@@ -86,4 +124,71 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n_k
 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_exact_topk": _TOPK_SQL, "op3_substring_dedup": _WINDOW_SQL}
+_ROLLUP_SQL = r"""
+WITH l AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+  SELECT d.source, d.lang, coalesce(l.quality, 1) AS quality, coalesce(strlen(d.text), 0) AS bytes,
+         regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents d LEFT JOIN l USING (doc_id) WHERE coalesce(l.toxic, 0) <> 1
+), n AS (
+  SELECT source, lang, 'words-1' AS tokenizer,
+         CASE WHEN quality = 0 THEN len(list_filter(ws, lambda w: length(w) > 1)) ELSE len(ws) END AS n FROM c
+  UNION ALL
+  SELECT source, lang, 'bytes-1', bytes FROM c
+)
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM n GROUP BY ALL
+"""
+
+_MIX_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
+         md5(CAST(doc_id AS VARCHAR) || ':1') AS key
+  FROM documents
+), k AS (
+  SELECT *, CAST('0x' || substr(key, 1, 8) AS BIGINT) % 4096 AS block FROM d
+), t AS (
+  SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM k GROUP BY source HAVING sum(n_tokens) > 0
+), o AS (
+  SELECT list(CAST(tokens AS DOUBLE) / CAST(total AS DOUBLE) ORDER BY source) AS p, max(total) AS total
+  FROM t, (SELECT CAST(sum(tokens) AS BIGINT) AS total FROM t)
+), b AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi, CAST(0 AS DOUBLE) AS lo2, CAST(1 AS DOUBLE) AS hi2, p FROM o
+  UNION ALL
+  SELECT i + 1, CASE WHEN e THEN mid ELSE lo END, CASE WHEN e THEN hi ELSE mid END,
+         CASE WHEN r THEN mid2 ELSE lo2 END, CASE WHEN r THEN hi2 ELSE mid2 END, p
+  FROM (
+    SELECT *, ln(z) - list_sum(list_transform(p, lambda x: pow(x, mid) * ln(x))) * mid / z
+              >= CAST(0.95 AS DOUBLE) * ln(CAST(len(p) AS DOUBLE)) AS e,
+           pow(list_min(p), mid2 - 1) / z2 > CAST(4 AS DOUBLE) AS r
+    FROM (
+      SELECT *, list_sum(list_transform(p, lambda x: pow(x, mid))) AS z, list_sum(list_transform(p, lambda x: pow(x, mid2))) AS z2
+      FROM (SELECT *, (lo + hi) / 2 AS mid, (lo2 + hi2) / 2 AS mid2 FROM b WHERE i < 50)
+    )
+  )
+), x AS (
+  SELECT round(greatest((lo + hi) / 2, (lo2 + hi2) / 2), 9) AS e, p FROM b WHERE i = 50
+), q AS (
+  SELECT source, tokens,
+         CAST(floor(round(pow(CAST(tokens AS DOUBLE) / CAST(o.total AS DOUBLE), e)
+           / list_sum(list_transform(x.p, lambda y: pow(y, e))), 9) * o.total) AS BIGINT) AS quota
+  FROM t, x, o
+), bl AS (
+  SELECT source, block, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM k GROUP BY source, block
+), ep AS (
+  SELECT source, tokens, quota, unnest(range(0, (quota - 1) // tokens + 1)) AS epoch FROM q WHERE quota > 0
+), ps AS (
+  SELECT bl.source, bl.block, epoch, ep.tokens AS total, quota,
+         coalesce(sum(bl.tokens) OVER (PARTITION BY bl.source, epoch ORDER BY md5(CAST(bl.block AS VARCHAR) || ':' || CAST(epoch AS VARCHAR) || ':1'), bl.block
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+  FROM bl JOIN ep ON bl.source IS NOT DISTINCT FROM ep.source
+), w AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source, block ORDER BY key, doc_id, n_tokens
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS within
+  FROM k
+)
+SELECT w.doc_id, w.source, CAST(epoch AS INTEGER) AS epoch, CAST(first + within AS BIGINT) AS start, n_tokens
+FROM w JOIN ps ON w.source IS NOT DISTINCT FROM ps.source AND w.block = ps.block
+WHERE first + within < quota - epoch * total
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_exact_topk": _TOPK_SQL, "op3_substring_dedup": _WINDOW_SQL, "op9_token_rollup": _ROLLUP_SQL, "op10_temperature_mixing": _MIX_SQL}
