@@ -3,7 +3,7 @@
 Suffixes are classified as smaller or larger than their right neighbour; the leftmost-smaller (LMS) substrings
 are sorted by one inducing pass, named, sorted recursively where names repeat, and the whole array is induced
 from them. The top level, whose alphabet is the 256 bytes plus two marks, induces a bucket at a time with array
-operations; the recursion, whose alphabets are as large as their texts, runs over plain lists. Both are linear.
+operations; the recursion, whose alphabets are as large as their texts, induces over plain lists. Both are linear.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ def _types(t: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one."""
     n = len(t)
     step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(t[1:].astype(np.int32) - t[:-1])
+    step[:-1] = (t[1:] > t[:-1]).view(np.int8) - (t[1:] < t[:-1]).view(np.int8)
     step[-1] = 1
     settled = np.where(step != 0, np.arange(n), n - 1)
     settled = np.minimum.accumulate(settled[::-1])[::-1]
@@ -113,67 +113,83 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
         place[lms] = np.arange(len(lms))
         reduced = np.empty(len(lms), np.int64)
         reduced[place[ordered]] = rank
-        ordered = lms[np.array(_induced_list(reduced.tolist(), names), np.int64)].astype(np.int32)
+        ordered = lms[_induced_list(reduced, names)].astype(np.int32)
     return _induce(t, small, ordered, k)
 
 
-def _induced_list(s: list[int], k: int) -> list[int]:
-    """The same algorithm over a list with a large alphabet; the last value is a unique 0."""
-    n = len(s)
+def _sorted_lms(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """LMS substrings in order, the rank of each (equal ones share one) and the number of ranks.
+
+    With large alphabets they are short, so they are sorted by their letters and types, as many as fit a machine word
+    at a time and only among those still equal. None is a proper prefix of another, since a type tells where one ends.
+    """
+    key = np.append(t * 2 + small + 1, 0).astype(np.uint64)
+    length = np.diff(np.append(lms, len(t) - 1)) + 1
+    bits, room = int(2 * k + 1).bit_length(), int(len(lms)).bit_length()
+    step = max(1, (64 - room) // bits)
+    rank = np.zeros(len(lms), np.int64)
+    live, at = np.arange(len(lms)), 0
+    while len(live):
+        word = rank[live].astype(np.uint64)
+        for c in range(at, at + step):
+            word = (word << np.uint64(bits)) | key[np.where(length[live] > c, lms[live] + c, len(t))]
+        order = np.argsort(word)
+        x, word = live[order], word[order]
+        head = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        size = np.diff(np.append(head, len(x)))
+        # a rank is a place in the whole order, so that splitting a group moves no other
+        old = rank[x]
+        start = np.flatnonzero(np.append(True, old[1:] != old[:-1]))
+        first = np.repeat(start, np.diff(np.append(start, len(x))))
+        rank[x] = old + np.repeat(head - first[head], size)
+        at += step
+        live = x[np.repeat(size > 1, size)]
+        live = live[length[live] > at]
+    order = np.argsort(rank, kind="stable")
+    names = np.cumsum(np.append(False, rank[order][1:] != rank[order][:-1]))
+    return lms[order], names, int(names[-1]) + 1
+
+
+def _induced_list(text: np.ndarray, k: int) -> np.ndarray:
+    """The same algorithm over a large alphabet; the last value is a unique 0."""
+    n = len(text)
     if n == 1:
-        return [0]
-    small = bytearray(n)
-    small[n - 1] = 1
-    right, kind = s[n - 1], 1
-    for i in range(n - 2, -1, -1):
-        x = s[i]
-        if x != right:
-            kind = 1 if x < right else 0
-        small[i] = kind
-        right = x
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    counts = np.bincount(np.array(s), minlength=k)
-    ends = np.cumsum(counts)
-    starts, ends = (ends - counts).tolist(), ends.tolist()
-
-    def induce(seeds: list[int]) -> list[int]:
-        sa = [-1] * n
-        edge = ends[:]
-        for i in reversed(seeds):
-            c = s[i]
-            edge[c] -= 1
-            sa[edge[c]] = i
-        edge = starts[:]
-        for i in sa:
-            if i > 0 and not small[i - 1]:
-                c = s[i - 1]
-                sa[edge[c]] = i - 1
-                edge[c] += 1
-        edge = ends[:]
-        for at in range(n - 1, -1, -1):
-            i = sa[at]
-            if i > 0 and small[i - 1]:
-                c = s[i - 1]
-                edge[c] -= 1
-                sa[edge[c]] = i - 1
-        return sa
-
-    first = induce(lms)
-    mark = bytearray(n)
-    for i in lms:
-        mark[i] = 1
-    ordered = np.array([i for i in first if mark[i]], np.int64)
-    arr, nexts = np.array(s, np.int64), np.empty(n, np.int64)
-    where = np.array(lms, np.int64)
-    nexts[where[:-1]], nexts[where[-1]] = where[1:], n - 1
-    rank, names = _names(arr, ordered, nexts[ordered])
+        return np.zeros(1, np.int64)
+    small = _types(text)
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    ordered, rank, names = _sorted_lms(text, small, lms, k)
     if names < len(lms):
         place = np.empty(n, np.int64)
-        place[where] = np.arange(len(lms))
+        place[lms] = np.arange(len(lms))
         reduced = np.empty(len(lms), np.int64)
         reduced[place[ordered]] = rank
-        ordered = where[np.array(_induced_list(reduced.tolist(), names), np.int64)]
-    return induce(ordered.tolist())
+        ordered = lms[_induced_list(reduced, names)]
+    counts = np.bincount(text, minlength=k)
+    ends = np.cumsum(counts)
+    # where the suffix before each goes, if it is larger (smaller) than its right neighbour; none for place -1
+    before = np.empty(n + 1, np.int64)
+    before[1:n], before[0], before[n] = text[:-1], -1, -1
+    kind = np.zeros(n + 1, bool)
+    kind[1:n] = small[:-1]
+    larger, lesser = np.where(kind, -1, before).tolist(), np.where(kind, before, -1).tolist()
+    sa = np.full(n, -1, np.int64)
+    group = text[ordered]
+    got = np.bincount(group, minlength=k)
+    sa[ends[group] - np.repeat(np.cumsum(got), got) + np.arange(len(ordered))] = ordered
+    sa = sa.tolist()
+    edge = (ends - counts).tolist()
+    for i in sa:
+        c = larger[i]
+        if c >= 0:
+            sa[edge[c]] = i - 1
+            edge[c] += 1
+    edge = ends.tolist()
+    for i in reversed(sa):
+        c = lesser[i]
+        if c >= 0:
+            c_at = edge[c] = edge[c] - 1
+            sa[c_at] = i - 1
+    return np.array(sa, np.int64)
 
 
 def permuted_lcp(raw: np.ndarray, sa: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
