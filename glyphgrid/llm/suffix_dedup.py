@@ -36,8 +36,8 @@ class SuffixSettings:
     chunk: bytes of text in one suffix array, unless one key alone has more."""
 
     width: int = 50
-    gram: int = 16
-    route: int = 128
+    gram: int = 24
+    route: int = 512
     hot: int = 12
     chunk: int = 1 << 20
 
