@@ -1,19 +1,63 @@
-"""Tokenising by distinct words, for tokenizers that treat words apart from each other."""
+"""Tokenising by distinct pieces of words, for tokenizers that treat such pieces apart from each other."""
 
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 
-from ._text import ragged, span_hashes, word_spans
+from ._text import lower_ascii, ragged, span_hashes, word_spans
 
 _loaded: dict[tuple, WordTokenizer] = {}  # noqa: F821
 
 
+# kinds of bytes: part of a Latin letter, digit, ASCII mark, and others, beside which no word is cut
+_LETTER, _DIGIT, _MARK, _OTHER = 1, 2, 3, 0
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_KIND[0x27] = _OTHER  # an apostrophe may begin a contraction
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """Kind of each byte; of letters beyond ASCII only those of Latin of two bytes count as letters."""
+    kind = _KIND[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC9)) if len(data) else np.zeros(0, np.int64)
+    low = data[lead + 1]  # not the signs for times and divided by, nor the dotted capital I, whose dot stands alone in lower case
+    lead = lead[~((data[lead] == 0xC3) & ((low == 0x97) | (low == 0xB7)) | (data[lead] == 0xC4) & (low == 0xB0))]
+    kind[lead] = kind[lead + 1] = _LETTER
+    return kind
+
+
+def piece_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of pieces, and whether one is letters only: words cut between letters, digits and marks, and
+    between digits."""
+    a, z = word_spans(data, off)
+    if not len(a):
+        return a, z, np.zeros(0, bool)
+    kind = _kinds(data)
+    cut = (kind[1:] != kind[:-1]) & (kind[1:] != _OTHER) & (kind[:-1] != _OTHER) | (kind[1:] == _DIGIT) & (kind[:-1] == _DIGIT)
+    start = np.zeros(len(data) + 1, bool)
+    start[1:-1] = cut
+    start[off[1:-1]] = False
+    inner = np.flatnonzero(start)
+    start[:] = False
+    start[inner] = True
+    start[a] = True
+    end = np.zeros(len(data) + 1, bool)
+    end[inner] = True
+    end[z] = True
+    a, z = np.flatnonzero(start[:-1]), np.flatnonzero(end)
+    letters = np.logical_and.reduceat(np.append(kind == _LETTER, False), np.column_stack([a, z]).ravel())[::2]
+    return a, z, letters
+
+
 class WordTokenizer:
-    """Encodes batches of texts. Where the tokenizer drops white space and never looks across it, each distinct word is
-    encoded once and kept for later batches; else whole texts are encoded. At most `capacity` words are kept."""
+    """Encodes batches of texts. Where the tokenizer drops white space, folds case and never looks across the borders of
+    pieces, each distinct piece is encoded once and kept for later batches; else whole texts are encoded. At most
+    `capacity` pieces are kept."""
 
     def __init__(self, path: str, capacity: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -21,7 +65,12 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.capacity = capacity
+        keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that byte-level models name by themselves
+        rest = [b for b in range(256) if b not in keep]
+        self.names = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_words = self._separable()
+        self.direct = self.by_words and self._plain()
         self._clear()
 
     @classmethod
@@ -38,10 +87,10 @@ class WordTokenizer:
         self.starts, self.lengths, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _separable(self) -> bool:
-        words = ["a", "The", "can't", "x's", "...", "don", "'t", "é", "éx", "12", "3rd", "A.B", "ß", "-", "word", "unhappiness,", "ΣΣ", "́a"]
+        words = ["a", "The", "can't", "x's", "...", "don", "'t", "é", "éx", "12", "3rd", "A.B", "ß", "-", "word", "unhappiness,", "ΣΣ", "\u0301a", "Éa9.", "it's.", "x“y", "ÀB,cd!"]
         apart = dict(zip(words, self._ids(words), strict=True))
         for sep in (" ", "\n", "\t", "  ", "\r\n", " \x0b\x0c "):
             texts = [f"{a}{sep}{b}" for a in words for b in words]
@@ -49,10 +98,32 @@ class WordTokenizer:
                 return False
             if self._ids([sep, sep + "a" + sep]) != [[], apart["a"]]:
                 return False
+        for w in (x + y for x in words for y in words):
+            data = np.frombuffer(w.encode(), np.uint8)
+            a, z, _ = piece_spans(data, np.array([0, len(data)]))
+            low = lower_ascii(data).tobytes()
+            if sum(self._ids([low[i:j].decode() for i, j in zip(a, z, strict=True)]), []) != self._ids([w])[0]:
+                return False
         return True
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        got = self._ids(words)
+    def _direct(self, word: str) -> list[int]:
+        """Ids of a word of lower-case letters straight from the model."""
+        return [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.names))]
+
+    def _plain(self) -> bool:
+        words = ["a", "the", "unhappiness", "é", "été", "über", "straße", "niño", "œuvre", "čaj", "ǆ", "zzzzqx"]
+        return [self._direct(w) for w in words] == self._ids(words)
+
+    def _learn(self, hashes: list[int], words: list[str], letters: list[bool]) -> None:
+        if self.direct:
+            tokenize, names = self.tokenizer.model.tokenize, self.names
+            # letters that one change of case makes two, or that aren't composed, are left to the whole tokenizer
+            low = [w.lower() if x else None for w, x in zip(words, letters, strict=True)]
+            easy = [w is not None and (w.isascii() or unicodedata.is_normalized("NFC", w) and len(w) == len(v) and w == w.lower()) for w, v in zip(low, words, strict=True)]
+            rest = iter(self._ids([w for w, x in zip(words, easy, strict=True) if not x]))
+            got = [[t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(names))] if x else next(rest) for w, x in zip(low, easy, strict=True)]
+        else:
+            got = self._ids(words)
         lengths = np.array([len(x) for x in got], np.int64)
         n, total = len(self.place), int(lengths.sum())
         while self.used + total > len(self.ids):
@@ -67,13 +138,33 @@ class WordTokenizer:
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of each text's), each text closed by `end_id` if given."""
+        n, closing = len(off) - 1, [] if end_id is None else [end_id]
+        raw = data.tobytes()
+        whole = set(range(n)) if not self.by_words else self._with_added(raw, off)
+        if not whole:
+            return self._encode(data, off, end_id)
+        apart = {k: ids + closing for k, ids in zip(sorted(whole), self._ids([raw[off[k] : off[k + 1]].decode("utf-8", "replace") for k in sorted(whole)]), strict=True)}
+        if len(whole) == n:
+            return np.array([i for x in apart.values() for i in x], np.uint32), np.array([len(x) for x in apart.values()], np.int64)
+        ids, counts = self._encode(data, off, end_id)
+        cut = np.append(0, np.cumsum(counts))
+        parts = [np.array(apart[k], np.uint32) if k in apart else ids[cut[k] : cut[k + 1]] for k in range(n)]
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def _with_added(self, raw: bytes, off: np.ndarray) -> set[int]:
+        """Texts that hold the name of an added token, which the tokenizer looks for before all else."""
+        found: set[int] = set()
+        for name in self.added:
+            at = raw.find(name)
+            while at >= 0:
+                found.add(int(np.searchsorted(off, at, "right")) - 1)
+                at = raw.find(name, at + 1)
+        return found
+
+    def _encode(self, data: np.ndarray, off: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         n, closing = len(off) - 1, int(end_id is not None)
-        if not self.by_words:
-            raw = data.tobytes()
-            got = self._ids([raw[off[i] : off[i + 1]].decode("utf-8", "replace") for i in range(n)])
-            got = [x + [end_id] * closing for x in got]
-            return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
-        a, z = word_spans(data, off)
+        data = lower_ascii(data)
+        a, z, letters = piece_spans(data, off)
         first = np.searchsorted(a, off)
         h, one, of = np.unique(span_hashes(data, a, z), return_index=True, return_inverse=True)
         if len(self.place) + len(h) > self.capacity:
@@ -84,7 +175,7 @@ class WordTokenizer:
         if new:
             raw = data.tobytes()
             place = one[new]
-            self._learn([hashes[k] for k in new], [raw[x:y].decode("utf-8", "replace") for x, y in zip(a[place].tolist(), z[place].tolist(), strict=True)])
+            self._learn([hashes[k] for k in new], [raw[x:y].decode("utf-8", "replace") for x, y in zip(a[place].tolist(), z[place].tolist(), strict=True)], letters[place].tolist())
             for k in new:
                 at[k] = self.place[hashes[k]]
         which = np.array(at, np.int64)[of] if len(at) else np.zeros(0, np.int64)
