@@ -1,7 +1,12 @@
-"""Registered queries of the raster, glyph and label operators, and their SQL counterparts."""
+"""Registered queries of the raster, glyph and label operators, and their SQL counterparts.
+
+A query's name begins with the operators it shows. The SQL beside it is written apart from the DataFrame operators and
+is run by another engine on the same tables.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = "s1_p1_mask_projection_summary"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import aggregates, letters, neighbourhoods, text  # noqa: F401
+from .catalog import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "t5_refinement_step"
