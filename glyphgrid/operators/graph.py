@@ -49,8 +49,9 @@ def components(edges: DataFrame, *, one_task: int = 1 << 20) -> DataFrame:
     """(id, component) for every node of `edges` (a, b) that isn't the least of its component: the least node reachable.
 
     Each round, every partition replaces its edges by a forest of stars, so that a node stands in one row of a
-    partition at most, however many edges it has; the roots that meet at a node become the edges of the next
-    round. Once at most `one_task` edges are left, one task ends it. No edges give no rows. Nulls aren't allowed.
+    partition at most, however many edges it has. A node then points to the least root that it met, or where that one
+    points to. The roots' own pointers, and those of the other roots that met there, are the edges of the next round.
+    Once at most `one_task` edges are left, one task ends it. No edges give no rows. Nulls aren't allowed.
     """
     pointers: list[DataFrame] = []
     left = edges.select("a", "b")
@@ -60,8 +61,11 @@ def components(edges: DataFrame, *, one_task: int = 1 << 20) -> DataFrame:
             out = written(stars.repartition(1).mapInArrow(_local, "a long, b long"), "stars")
             break
         met = written(stars.groupBy("a").agg(F.min("b").alias("b"), F.collect_set("b").alias("roots")), "met")
+        onward = met.select(F.col("a").alias("b"), F.col("b").alias("_c"))
+        met = written(met.join(onward, "b", "left").select("a", F.coalesce("_c", "b").alias("b"), "roots"), "met")
         pointers.append(met.select("a", "b"))
-        left = met.select(F.explode("roots").alias("a"), "b").where("a <> b")
+        roots = stars.select(F.col("b").alias("a")).distinct()
+        left = met.select(F.explode("roots").alias("a"), "b").unionByName(met.select("a", "b").join(roots, "a", "left_semi")).where("a <> b").distinct()
     for up in reversed(pointers):  # a node's pointer, or what the later rounds made of its target
         later = out.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
         own = up.join(later, up["b"] == later["_a"], "left").select("a", F.coalesce("_b", "b").alias("b"))
