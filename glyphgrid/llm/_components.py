@@ -1,70 +1,5 @@
-"""Connected components of an edge table, by repeated contraction of partition-local forests."""
+"""Connected components, from the library's graph operators."""
 
-from __future__ import annotations
+from ..operators.graph import components, forest, star
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ._session import written
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, least node of each one's component) for edges a-b."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        u, v = label[x], label[y]
-        live = u != v
-        if not live.any():
-            return nodes, nodes[label]
-        x, y, u, v = x[live], y[live], u[live], v[live]
-        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
-        while True:
-            up = label[label]
-            if np.array_equal(up, label):
-                break
-            label = up
-
-
-def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each node to the least of its component, without those to itself."""
-    nodes, root = forest(a, b)
-    keep = nodes != root
-    return nodes[keep], root[keep]
-
-
-def _local(batches):
-    parts = [(b["a"].to_numpy(zero_copy_only=False), b["b"].to_numpy(zero_copy_only=False)) for b in batches]
-    if parts:
-        a, b = star(np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts]))
-        for i in range(0, len(a), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)], pa.int64()), pa.array(b[i : i + (1 << 16)], pa.int64())], names=["a", "b"])
-
-
-def components(edges: DataFrame, *, one_task: int = 1 << 20) -> DataFrame:
-    """(id, component) for every node of `edges` (a, b) that isn't the least of its component: the least node reachable.
-
-    Each round, every partition replaces its edges by a forest of stars, so that a node stands in one row of a
-    partition at most, however many edges it has; the roots that meet at a node become the edges of the next
-    round. Once at most `one_task` edges are left, one task ends it. No nodes give no rows. Nulls aren't allowed.
-    """
-    spark = edges.sparkSession
-    pointers: list[DataFrame] = []
-    left = edges.select("a", "b")
-    while True:
-        stars = written(left.mapInArrow(_local, "a long, b long"), "stars")
-        if stars.count() <= one_task:
-            out = written(stars.repartition(1).mapInArrow(_local, "a long, b long"), "stars")
-            break
-        met = stars.groupBy("a").agg(F.min("b").alias("b"), F.collect_set("b").alias("roots"))
-        met = written(met, "met")
-        pointers.append(met.select("a", "b"))
-        left = met.select(F.explode("roots").alias("a"), "b").where("a <> b")
-    for up in reversed(pointers):  # a node's pointer, or what the later rounds made of its target
-        later = out.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-        own = up.join(later, up["b"] == later["_a"], "left").select("a", F.coalesce("_b", "b").alias("b"))
-        out = written(own.unionByName(out.join(up, "a", "left_anti")), "stars")
-    return out.select(F.col("a").alias("id"), F.col("b").alias("component"))
+__all__ = ["components", "forest", "star"]
