@@ -24,7 +24,7 @@ def odd_documents(spark, seed: int = 0, n: int = 60):
         texts.append(t)
     texts.append(" ".join(rng.choice(vocabulary) for _ in range(6000)) + passage)
     rows = [(i * 3 % 101, t) for i, t in enumerate(texts)]
-    rows += [rows[20], rows[21], (None, passage), (None, None)]
+    rows += [rows[12], rows[13], (None, passage), (None, None)]
     rng.shuffle(rows)
     df = spark.createDataFrame([(i, t, None if k % 7 == 0 else "en", None if k % 11 == 0 else f"s{k % 3}", None, 1, 2, 3, "x") for k, (i, t) in enumerate(rows)], ODD).repartition(5)
     return df, rows
