@@ -50,11 +50,27 @@ def block_of(key, n: int):
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that a worker that lives on doesn't keep the most it ever needed."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def by_key(fn, **given):
     """`fn(key, table, **given)` in the form that grouped Arrow functions take."""
 
     def run(key, table):
-        return fn(key, table, **given)
+        out = fn(key, table, **given)
+        del table
+        give_back()
+        return out
 
     return run
 
@@ -63,6 +79,9 @@ def by_key2(fn, **given):
     """`fn(key, left, right, **given)` in the form that cogrouped Arrow functions take."""
 
     def run(key, left, right):
-        return fn(key, left, right, **given)
+        out = fn(key, left, right, **given)
+        del left, right
+        give_back()
+        return out
 
     return run

@@ -19,9 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import U64, Hasher, bytes_of, chunks, letter_spans, lower_ascii
+from ._session import give_back
+from ._text import U64, Hasher, bytes_of, chunks, letter_spans, lower_ascii, ragged
 
 _SEGMENT = 64
+#: Tokens of the training sample that are worked on at a time.
+_PART = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -167,13 +170,18 @@ def train(texts: list[str | None], toxic: list[int], s: ToxicitySettings) -> Crf
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
         return CrfModel(np.zeros(size, np.float32), -9.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0, 0, 0]), s.bits)
     data, off = bytes_of(pa.array(texts, pa.string()))
-    _, _, first, features = token_features(data, off, s.bits)
+    got = [token_features(data[off[i] : off[j]], off[i : j + 1] - off[i], s.bits)[2:] for i, j in chunks(off, 1 << 20)]
+    first = np.append(0, np.cumsum(np.concatenate([np.diff(x) for x, _ in got])))
+    features = np.concatenate([x for _, x in got], axis=1)
+    del got
     doc = np.repeat(np.arange(len(y)), np.diff(first))
     fit = np.arange(len(y)) % 5 != 4
-    seen = np.unique(np.column_stack([features[0], doc])[fit[doc]], axis=0)
+    seen = np.unique((doc[fit[doc]] << s.bits) | features[0][fit[doc]])
+    word, of = seen & (size - 1), seen >> s.bits
     n1, n0 = int(y[fit].sum()), int((1 - y)[fit].sum())
-    d1 = np.bincount(seen[:, 0], weights=y[seen[:, 1]], minlength=size)
-    d0 = np.bincount(seen[:, 0], minlength=size) - d1
+    d1 = np.bincount(word, weights=y[of], minlength=size)
+    d0 = np.bincount(word, minlength=size) - d1
+    del seen, word, of, data
     odds = np.log((d1 + 0.5) / (n1 + 1)) - np.log((d0 + 0.5) / (n0 + 1))
     known = (odds >= s.least_odds) & (d1 >= s.least_documents)
     tag = (known[features[0]] & (y[doc] == 1)).astype(np.float64)
@@ -190,10 +198,16 @@ def train(texts: list[str | None], toxic: list[int], s: ToxicitySettings) -> Crf
     np.add.at(seen_pairs, (g[at - 1].astype(int), g[at].astype(int)), 1)
     slope, slope_b, slope_t = np.zeros(size), 0.0, np.zeros((2, 2))
     scale = 1 / max(1.0, g.sum())
-    for k in range(s.rounds):
-        e = w[f].sum(axis=0) + bias
-        p, expected = marginals(e, begin, trans, pairs=True)
-        d = (g - p) * scale
+    # a part of the documents at a time, so that memory doesn't depend on the sample's size
+    parts = np.searchsorted(begin, np.arange(0, len(g) + _PART, _PART))
+    parts = np.unique(np.append(np.minimum(parts, len(begin) - 1), [0, len(begin) - 1]))
+    for _ in range(s.rounds):
+        d, expected = np.empty(len(g)), np.zeros((2, 2))
+        for i, j in zip(parts[:-1].tolist(), parts[1:].tolist(), strict=True):
+            a, z = int(begin[i]), int(begin[j])
+            p, more = marginals(w[f[0, a:z]] + w[f[1, a:z]] + w[f[2, a:z]] + bias, begin[i : j + 1] - a, trans, pairs=True)
+            d[a:z] = (g[a:z] - p) * scale
+            expected += more
         grad = sum(np.bincount(f[i], weights=d, minlength=size) for i in range(3)) - s.decay * w
         # per-weight steps by the running square of its slope
         slope += grad**2
@@ -204,10 +218,15 @@ def train(texts: list[str | None], toxic: list[int], s: ToxicitySettings) -> Crf
         bias += s.rate * d.sum() / np.sqrt(slope_b + 1e-12)
         trans = trans + 0.3 * s.rate * gt / np.sqrt(slope_t + 1e-12)
     model = CrfModel(w.astype(np.float32), float(bias), trans, np.zeros(4), s.bits)
-    rest = ~fit
-    e = model.weights[features[:, ~use]].sum(axis=0) + model.bias
-    x = document_features(marginals(e.astype(np.float64), np.append(0, np.cumsum(np.diff(first)[rest])), trans), np.append(0, np.cumsum(np.diff(first)[rest])))
-    model.logistic = fit_logistic(x, y[rest])
+    rest = np.flatnonzero(~fit)
+    x = []
+    for i in range(0, len(rest), 200):
+        some = rest[i : i + 200]
+        at = ragged(first[:-1][some], np.diff(first)[some])
+        own = np.append(0, np.cumsum(np.diff(first)[some]))
+        e = model.weights[features[:, at]].sum(axis=0) + model.bias
+        x.append(document_features(marginals(e.astype(np.float64), own, trans), own))
+    model.logistic = fit_logistic(np.concatenate(x), y[rest])
     return model
 
 
@@ -264,6 +283,7 @@ def tag_toxicity(docs: DataFrame, model: CrfModel, id_col: str = "doc_id", text_
                 score, starts, ends = score_texts(m, data[off[i] : off[j]], off[i : j + 1] - off[i])
                 own = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*(own[c] for c in names), pa.array(score), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], names=[*names, "toxic_score", "toxic_starts", "toxic_ends"])
+        give_back()
 
     return base.mapInArrow(run, f"{kinds}, toxic_score double, toxic_starts array<long>, toxic_ends array<long>")
 
