@@ -236,7 +236,7 @@ def j1_pixel_alignment(t):
 @query()
 def t2_o6_sampled_tiles(t):
     g = _grid(t).join(t.labels_map, ["seg_id", "y", "x"], "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
-    return tiles.sampled_tiles(tiles.tile_pixels(g, 16, 8), 10, mask=F.col("p") > 0.3, label=F.col("t"))
+    return tiles.sampled_tiles(tiles.tile_pixels(g, 16, 8), 10, mask=F.col("p") > 0.0, label=F.col("t"), least_mask=0.01, ink=0.005)
 
 
 @query("SELECT seg_id, count(*) FILTER (sup) AS n FROM (SELECT seg_id, t < 0.4 OR t > 0.6 AS sup FROM labels_map WHERE seg_id <> 'A') GROUP BY seg_id", uses="labels_map")
