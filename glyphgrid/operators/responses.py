@@ -64,14 +64,14 @@ def nearest_candidates(preds: DataFrame, lined: DataFrame, width: int, reach: fl
     preds: (pid, line_id, pos, ...); lined: (id, line_id, cx, cy, h, w). Candidates of one x count once, the last of them
     serving. Candidates are put in cells as wide as the reach, so a prediction meets those of three cells only."""
     stats = lined.groupBy("line_id").agg(F.avg("cy").alias("line_y"), F.median("h").alias("char_h"))
-    c = lined.groupBy("line_id", "cx").agg(F.min("id").alias("ord"), F.max_by(F.struct(*(F.col(k) for k in ("id", "cy", "h", "w"))), "id").alias("box")).join(stats, "line_id")
+    c = lined.groupBy("line_id", "cx").agg(F.min("id").alias("_ord"), F.max_by(F.struct(*(F.col(k) for k in ("id", "cy", "h", "w"))), "id").alias("box")).join(stats, "line_id")
     cell = F.greatest(F.col("char_h") * reach, F.lit(1.0))
-    c = c.withColumn("cell", F.explode(F.array(*(F.floor(F.col("cx") / cell) + k for k in (-1, 0, 1))))).select("line_id", "cell", "cx", "ord", "box")
+    c = c.withColumn("cell", F.explode(F.array(*(F.floor(F.col("cx") / cell) + k for k in (-1, 0, 1))))).select("line_id", "cell", "cx", "_ord", "box")
     p = preds.join(stats, "line_id").withColumn("cell", F.floor(F.col("pos") * width / cell))
     met = p.join(c, ["line_id", "cell"], "left")
     d = F.abs(F.col("cx") / F.greatest(F.lit(width), F.lit(1)) - F.col("pos")) * width
     met = met.withColumn("d", F.when(d < F.col("char_h") * reach, d))
-    best = F.min_by(F.struct("d", "box"), F.when(F.col("d").isNotNull(), F.struct("d", "ord"))).alias("b")
+    best = F.min_by(F.struct("d", "box"), F.when(F.col("d").isNotNull(), F.struct("d", "_ord"))).alias("b")
     g = met.groupBy(*preds.columns).agg(F.first("line_y").alias("pos_y"), best)
     return g.select(*preds.columns, (F.col("pos") * width).alias("pos_x"), "pos_y", F.col("b.box.id").alias("cand_id"), F.col("b.box.cy").alias("cand_cy"), F.col("b.d").alias("distance"))
 
@@ -90,6 +90,9 @@ def paint(prob: DataFrame, preds: DataFrame, *, radius: int = 12, discount: floa
     p = preds.where("source <> 'anchor'").join(ext, "seg_id")
     fit = lambda c, n: F.least(F.greatest(half_even(c), F.lit(0.0)), F.col(n) - F.lit(1.0)).cast("int")
     p = p.withColumns({"cy": fit(F.col("pos_y"), "h"), "cx": fit(F.col("pos_x"), "w"), "boxed": (F.col("source") == "llm_med") & F.col("y0").isNotNull()})
+    p = p.withColumns({c: F.when(F.col("boxed"), F.col(c)) for c in ("y0", "x0", "y1", "x1")} | {c: F.when(~F.col("boxed"), F.col(c)) for c in ("cy", "cx")})
+    # of predictions that paint the same place, the surest alone shows
+    p = p.groupBy("seg_id", "boxed", "cy", "cx", "y0", "x0", "y1", "x1", "h", "w").agg(F.max("conf").alias("conf"))
     span = lambda a, b: F.when(a < b, F.sequence(a.cast("int"), (b - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
     side = lambda lo, hi, c, n: F.when(F.col("boxed"), span(F.greatest(F.lit(0), F.col(lo)), F.least(F.col(n), F.col(hi)))).otherwise(span(F.greatest(F.lit(0), F.col(c) - radius), F.least(F.col(n), F.col(c) + radius + 1)))
     px = p.withColumn("y", F.explode(side("y0", "y1", "cy", "h"))).withColumn("x", F.explode(side("x0", "x1", "cx", "w")))

@@ -13,14 +13,14 @@ from .catalog import query
 R = lambda c, n=6: F.round(c, n)
 _SIDE = 8
 
-_INKED = """, pt AS (SELECT vec_id AS id, list_transform(embedding, lambda v: CASE WHEN v > 0 THEN cast(1 AS double) ELSE cast(0 AS double) END) AS c FROM patches WHERE vec_id < 200),
+_INKED = """, pt AS (SELECT vec_id AS id, list_transform(embedding, lambda v: CASE WHEN v > 0 THEN cast(1 AS double) ELSE cast(0 AS double) END) AS c FROM patches),
 tp AS (SELECT letter, list_transform(tpl, lambda v: CASE WHEN v > 0 THEN cast(1 AS double) ELSE cast(0 AS double) END) AS t FROM templates),
 sums AS (SELECT id, letter, c, t, list_sum(c) AS sc, list_sum(t) AS st, list_inner_product(c, t) AS ct, len(c) AS n FROM pt, tp)
 """
 
 
 def _patches(t):
-    return t.patches.where("vec_id < 200").select(F.col("vec_id").alias("id"), S.ink(F.col("embedding")).alias("cand"))
+    return t.patches.select(F.col("vec_id").alias("id"), S.ink(F.col("embedding")).alias("cand"))
 
 
 def _bank(t):

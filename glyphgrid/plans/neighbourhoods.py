@@ -158,7 +158,7 @@ def w13_row_bands(t):
     return lines.row_bands(prof, height, least=2, pad=1)
 
 
-_TILES = """, tl AS (SELECT ty * 16 AS ty, tx * 16 AS tx FROM range(3) a(ty), range(3) b(tx)),
+_TILES = """, tl AS (SELECT cast(ty * 16 AS int) AS ty, cast(tx * 16 AS int) AS tx FROM range(3) a(ty), range(3) b(tx)),
 tp AS (SELECT g.seg_id, g.y, g.x, g.p, tl.ty, tl.tx FROM grid g, tl WHERE g.y >= tl.ty AND g.y < tl.ty + 28 AND g.x >= tl.tx AND g.x < tl.tx + 28)
 """
 
@@ -190,18 +190,15 @@ def _mean_model():
     return lambda x: (x * 255.0).round().astype("float64").mean(axis=1) / 255.0
 
 
-@query("""SELECT seg_id, y, x, round(CASE WHEN mask AND y < 48 AND x < 48 THEN s / 7 / 255 ELSE 0 END, 5) AS p
+@query("""SELECT seg_id, y, x, round(CASE WHEN mask AND y < 56 AND x < 56 THEN s / 7 / 255 ELSE 0 END, 5) AS p
 FROM (SELECT seg_id, y, x, max(v) > 0 AS mask, cast(sum(v) AS double) AS s FROM full_voxels GROUP BY seg_id, y, x)""".replace("full_voxels", "(SELECT c.seg_id, c.z, c.y, c.x, coalesce(v.v, 0) AS v FROM (SELECT seg_id, cast(z AS int) AS z, cast(y AS int) AS y, cast(x AS int) AS x FROM (SELECT DISTINCT seg_id FROM voxels), range(7) a(z), range(64) b(y), range(64) d(x)) c LEFT JOIN voxels v ON v.seg_id = c.seg_id AND v.z = c.z AND v.y = c.y AND v.x = c.x)"), uses="voxels")
 def x5_t1_m1_tiled_inference(t):
     cells = t.voxels.select("seg_id").distinct()
     for axis, n in (("z", 6), ("y", 63), ("x", 63)):
         cells = cells.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(n))))
     vox = cells.join(t.voxels, ["seg_id", "z", "y", "x"], "left").select("seg_id", "z", "y", "x", F.coalesce("v", F.lit(0)).alias("v"))
-    # tiles of 32 at every 16 that begin at 0 and 16 only cover 48 of 64 where the last doesn't fit: here 33 by 33 rows are cut off
-    part = vox.where("y < 63 and x < 63")
-    out = tiles.predict_segment(part, _mean_model, 32, 16)
-    rest = reduce.derive_mask(vox).where("y = 63 or x = 63").select("seg_id", "y", "x", F.lit(0.0).alias("p"))
-    return out.unionByName(rest).withColumn("p", R("p", 5))
+    # tiles of 24 at 0, 16 and 32: what lies from 56 on is not covered
+    return tiles.predict_segment(vox, _mean_model, 24, 16).withColumn("p", R("p", 5))
 
 
 @query("SELECT seg_id, y // 8 AS wy, x // 8 AS wx, y % 8 AS iy, x % 8 AS ix, p FROM prob", uses="prob")
@@ -209,13 +206,14 @@ def f28_window_partition(t):
     return tiles.window_partition(t.prob, 8).drop("y", "x")
 
 
-@query("SELECT seg_id, cast(63 - x AS int) AS y, cast(63 - y AS int) AS x, p FROM prob WHERE seg_id IN (SELECT seg_id FROM prob GROUP BY seg_id HAVING max(y) = 63 AND max(x) = 63)", uses="prob")
+@query(""", e AS (SELECT seg_id, max(y) + 1 AS h, max(x) + 1 AS w FROM prob GROUP BY seg_id)
+SELECT seg_id, cast(w - 1 - x AS int) AS y, cast(h - 1 - y AS int) AS x, p FROM prob JOIN e USING (seg_id)""", uses="prob")
 def f14_orientations(t):
     """Upside down, then a quarter turn: (y, x) becomes (W - 1 - x, H - 1 - y)."""
     return tiles.oriented(t.prob, flip_y=True, turns=1)
 
 
-@query("""SELECT seg_id, y, x, round(p, 6) AS p FROM prob WHERE seg_id IN (SELECT seg_id FROM prob GROUP BY seg_id HAVING max(y) = 63 AND max(x) = 63)""", uses="prob")
+@query("SELECT seg_id, y, x, round(p, 6) AS p FROM prob", uses="prob")
 def m7_orientation_average(t):
     """A model that looks at single pixels gives the same from all eight sides."""
     return tiles.orientation_average(t.prob, lambda d: d).withColumn("p", R("p"))

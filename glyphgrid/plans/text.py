@@ -13,8 +13,7 @@ R = lambda c, n=6: F.round(c, n)
 
 
 def _preds(t):
-    """Predictions of half of the lines, by their number on a page."""
-    return t.predictions.where("event_id % 10 = 0").select(F.col("event_id").alias("pid"), "line_id", "pos", "conf", "source")
+    return t.predictions.select(F.col("event_id").alias("pid"), "line_id", "pos", "conf", "source")
 
 
 @query("SELECT source, count(*) AS n, round(avg(conf), 6) AS mean_conf FROM predictions GROUP BY source", uses="predictions")
@@ -53,7 +52,7 @@ def o7_f18_batch_messages(t):
 
 def _answers(t):
     """One answer for every five lines, with fewer blocks than lines in each third and more in each fourth."""
-    p = t.predictions.where("event_id % 50 = 0").groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("event_id", R("pos", 3).alias("pos"), R("conf", 3).alias("conf"), "source"))).alias("ps"))
+    p = t.predictions.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("event_id", R("pos", 3).alias("pos"), R("conf", 3).alias("conf"), "source"))).alias("ps"))
     one = F.transform("ps", lambda q: F.format_string('{"pos": %s, "char": "x", "conf": %s, "source": "%s"}', S.fixed(q["pos"], 3), S.fixed(q["conf"], 3), q["source"]))
     b = p.select("line_id", F.concat(F.lit('```json\n{"line_id": '), F.col("line_id").cast("string"), F.lit(', "positions": ['), F.array_join(one, ", "), F.lit("]}\n```")).alias("block"))
     g = b.withColumn("batch", F.floor(F.col("line_id") / 5).cast("int")).groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("line_id", "block"))).alias("bs"))
@@ -62,7 +61,7 @@ def _answers(t):
     return g.select("batch", F.transform("bs", lambda x: x["line_id"]).alias("line_ids"), F.array_join(cut, "\n---\n").alias("raw"), F.lit(None).cast("string").alias("error"))
 
 
-@query(""", p AS (SELECT line_id, count(*) AS n, round(sum(round(pos, 3)), 3) AS pos FROM predictions WHERE event_id % 50 = 0 GROUP BY line_id),
+@query(""", p AS (SELECT line_id, count(*) AS n, round(sum(round(pos, 3)), 3) AS pos FROM predictions GROUP BY line_id),
 o AS (SELECT *, row_number() OVER (PARTITION BY line_id // 5 ORDER BY line_id) AS k FROM p)
 SELECT line_id, n, pos FROM o WHERE (line_id // 5) % 3 <> 2 OR k <= 3""", uses="predictions")
 def j5_j6_f19_f20_x3_parsed_answers(t):
@@ -75,15 +74,15 @@ def f20_malformed_answers(t):
     return t.documents.select("doc_id", F.size(responses.positions(F.col("text"))).alias("n"))
 
 
-@query("""SELECT event_id, cast(json_extract(props, '$.k') AS bigint) AS k FROM events WHERE event_id % 10 = 0""")
+@query("""SELECT event_id, cast(json_extract(props, '$.k') AS bigint) AS k FROM events""")
 def f20_f21_json_fields(t):
     k = F.from_json("props", "k bigint")["k"]
-    return t.events.where("event_id % 10 = 0").select("event_id", k.alias("k"))
+    return t.events.select("event_id", k.alias("k"))
 
 
 _NEAR = _LINES + """, st AS (SELECT line_id, avg(cy) AS line_y, median(h) AS char_h FROM ln GROUP BY line_id),
 un AS (SELECT line_id, cx, min(id) AS ord, max(id) AS id FROM ln GROUP BY line_id, cx),
-pr AS (SELECT event_id AS pid, line_id, pos, conf, source FROM predictions WHERE event_id % 10 = 0),
+pr AS (SELECT event_id AS pid, line_id, pos, conf, source FROM predictions),
 mt AS (SELECT pid, un.id AS cand_id, abs(un.cx / cast(1000 AS double) - pos) * 1000 AS d, ord FROM pr JOIN un USING (line_id) JOIN st USING (line_id) WHERE abs(un.cx / cast(1000 AS double) - pos) * 1000 < char_h * 0.6),
 bs AS (SELECT pid, cand_id, d FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, ord) AS k FROM mt) WHERE k = 1)
 """
@@ -97,7 +96,7 @@ def j4_nearest_candidates(t):
 
 _PAINT = """, pr AS (SELECT event_id, source, conf, CASE WHEN source = 'llm_med' AND event_id % 3 = 0 THEN true ELSE false END AS boxed,
  cast(least(greatest(round_even(event_id % 1300 / cast(20 AS double), 0), 0), 63) AS int) AS cy, cast(least(greatest(round_even(pos * 64, 0), 0), 63) AS int) AS cx, CASE cast(event_id % 3 AS int) WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS seg_id
- FROM predictions WHERE event_id % 100 = 0 AND source <> 'anchor'),
+ FROM predictions WHERE source <> 'anchor'),
 px AS (SELECT pr.seg_id, cy + dy AS y, cx + dx AS x, exp(-(dy * dy + dx * dx) / (2 * pow(12 / cast(2.5 AS double), 2))) * conf * 0.75 AS v FROM pr, range(-12, 13) a(dy), range(-12, 13) b(dx) WHERE NOT boxed
  UNION ALL SELECT pr.seg_id, y, x, least(0.90, conf) FROM pr, range(64) a(y), range(64) b(x) WHERE boxed AND y >= cy - 3 AND y < cy + 4 AND x >= cx - 2 AND x < cx + 3),
 mx AS (SELECT seg_id, y, x, max(v) AS v FROM px GROUP BY ALL)
@@ -106,7 +105,7 @@ SELECT p.seg_id, p.y, p.x, round(least(greatest(greatest(p.p, coalesce(mx.v, p.p
 
 @query(_PAINT, uses="prob predictions")
 def j8_f12_f13_f26_painted_map(t):
-    p = t.predictions.where("event_id % 100 = 0").withColumn("seg_id", F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("event_id") % 3 + 1).cast("int")))
+    p = t.predictions.withColumn("seg_id", F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("event_id") % 3 + 1).cast("int")))
     p = p.withColumns({"pos_y": F.col("event_id") % 1300 / 20.0, "pos_x": F.col("pos") * 64})
     cy, cx = S.clamp_pixel(F.col("pos_y"), 64), S.clamp_pixel(F.col("pos_x"), 64)
     box = F.col("event_id") % 3 == 0
