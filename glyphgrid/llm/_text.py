@@ -57,7 +57,7 @@ def bytes_of(col) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def chunks(off: np.ndarray, limit: int = 2 << 20):
+def chunks(off: np.ndarray, limit: int = 1 << 19):
     """Row ranges whose texts hold about `limit` bytes; a longer text is a range of its own."""
     i, n = 0, len(off) - 1
     while i < n:

@@ -135,7 +135,7 @@ def _tokenise(path: str, end_id: int):
         for batch in batches:
             data, off = bytes_of(batch["text"])
             ids = batch["doc_id"]
-            for i, j in chunks(off):
+            for i, j in chunks(off, 2 << 20):
                 got, n = words.encode(data[off[i] : off[j]], off[i : j + 1] - off[i], end_id)
                 c = np.bincount(got)
                 if len(c) > len(total):

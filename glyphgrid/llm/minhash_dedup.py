@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components, star
-from ._session import by_key, parts, written
+from ._session import by_key, give_back, parts, written
 from ._text import U64, bytes_of, chunks, column, lower_ascii, mix, rolling, span_hashes, word_spans
 
 _MASK = U64((1 << 50) - 1)
@@ -138,6 +138,8 @@ def _signatures(s: MinHashSettings, shards: int):
         if rest:
             n = len(rest)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rest], pa.int64()), pa.array([x[1] for x in rest], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=_SIGNATURE)
+        del known, rest, what, size, least, rep, keys
+        give_back()
 
     return run
 

@@ -79,7 +79,7 @@ def tokenizer_counts(docs: DataFrame, tokenizers: dict[str, str], id_col: str =
     def run(batches):
         for b in batches:
             data, off = bytes_of(b["text"])
-            for i, j in chunks(off):
+            for i, j in chunks(off, 2 << 20):
                 for version, path in tokenizers.items():
                     _, n = WordTokenizer.at(path).encode(data[off[i] : off[j]], off[i : j + 1] - off[i], None)
                     yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array([version] * (j - i)), pa.array(n)], names=["doc_id", "tokenizer", "n_tokens"])

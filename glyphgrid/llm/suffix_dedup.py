@@ -33,11 +33,13 @@ _LAST = np.iinfo(np.int64).max
 class SuffixSettings:
     """width: bytes of the shortest match. gram: bytes of an anchor gram. route: bytes of a holder's neighbourhood
     under one routing key. hot: stretches of one key in one block from which the block sorts its own first.
-    chunk: bytes of text in one suffix array, unless one key alone has more."""
+    blocks: blocks of texts for each shuffle partition. chunk: bytes of text in one suffix array, unless one key alone has
+    more."""
 
     width: int = 50
     gram: int = 24
     route: int = 512
+    blocks: int = 2
     hot: int = 12
     chunk: int = 1 << 20
 
@@ -323,7 +325,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     s = settings or SuffixSettings()
     n = parts(docs.sparkSession)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), block_of(F.col(id_col).cast("long"), n).alias("block"), *(F.col(c).alias(f"c_{c}") for c in carry))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), block_of(F.col(id_col).cast("long"), s.blocks * n).alias("block"), *(F.col(c).alias(f"c_{c}") for c in carry))
     kinds = {f.name: f.dataType.simpleString() for f in d.schema}
     sent = d.groupBy("block").applyInArrow(by_key(_send, s=s, shards=n), "shard int, block int, data binary")
     answers = sent.groupBy("shard").applyInArrow(by_key(_answer), "block int, shard int, data binary")
