@@ -103,3 +103,20 @@ def paint(prob: DataFrame, preds: DataFrame, *, radius: int = 12, discount: floa
     best = px.select("seg_id", "y", "x", value.alias("_v")).groupBy("seg_id", "y", "x").agg(F.max("_v").alias("_v"))
     new = F.greatest("p", F.coalesce("_v", F.col("p")))
     return prob.join(best, ["seg_id", "y", "x"], "left").select("seg_id", "y", "x", F.least(F.greatest(new, F.lit(0.0)), F.lit(1.0)).alias("p"))
+
+
+def transcribe(images: DataFrame, load: Callable[[], Callable[[bytes], str]]) -> DataFrame:
+    """Reads (seg_id, tiff) images as text by an injected reader: seg_id, text, error. An exception stays with its row."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = load()
+        for p in parts:
+            text, error = [], []
+            for data in p["tiff"]:
+                try:
+                    text.append(read(bytes(data))), error.append(None)
+                except Exception as e:  # noqa: BLE001
+                    text.append(None), error.append(str(e))
+            yield pd.DataFrame({"seg_id": p["seg_id"], "text": text, "error": error})
+
+    return images.mapInPandas(run, "seg_id string, text string, error string")
