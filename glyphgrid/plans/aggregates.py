@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import metrics, reduce
+from ..operators import augment, metrics, reduce
 from ..sources import raster
 from .catalog import query
 
@@ -302,3 +302,25 @@ i AS (SELECT * FROM a INTERSECT SELECT * FROM b), u AS (SELECT * FROM a UNION SE
 SELECT seg_id, (SELECT count(*) FROM i WHERE i.seg_id = u.seg_id) AS inter, count(*) AS union_px, round((SELECT count(*) FROM i WHERE i.seg_id = u.seg_id) / (count(*) + 1e-8), 6) AS iou FROM u GROUP BY seg_id""", uses="prob prob_next")
 def u3_u6_pixel_set_iou(t):
     return metrics.set_iou(t.prob.where("p > 0.6"), t.prob_next.where("p > 0.6")).withColumn("iou", R("iou"))
+
+
+@query("""SELECT seg_id, y, x, round(sum(e * v) / sum(e), 6) AS p FROM (SELECT *, exp(v / cast(64 AS double) - max(v / cast(64 AS double)) OVER (PARTITION BY seg_id, y, x)) AS e FROM voxels) GROUP BY seg_id, y, x""", uses="voxels")
+def m8_attention_pool(t):
+    return augment.attention_pool(t.voxels, F.col("v") / 64.0).withColumn("p", R("p"))
+
+
+@query("SELECT user_id % 20 AS run, event_id, round(avg(value) OVER (PARTITION BY user_id % 20 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 1e-9, 6) AS running_mean FROM events")
+def t3_running_mean(t):
+    h = t.events.select((F.col("user_id") % 20).alias("run"), "event_id", "value")
+    return augment.running_mean(h, "event_id", "value", ["run"]).select("run", "event_id", R(F.col("running_mean") + 1e-9).alias("running_mean"))  # no ties to round
+
+
+@query("SELECT seg_id, y, x, round(1 / (1 + exp(-(v - 128) / cast(32 AS double))), 6) AS p FROM voxels WHERE z = 0", uses="voxels")
+def f1_sigmoid_map(t):
+    return t.voxels.where("z = 0").select("seg_id", "y", "x", R(S.sigmoid((F.col("v") - 128) / 32.0)).alias("p"))
+
+
+@query()
+def f15_noisy_volume(t):
+    v = t.voxels.select("seg_id", "z", "y", "x", (F.col("v") / 255.0).alias("v"))
+    return augment.noisy(v, ["seg_id"]).withColumn("v", R("v"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import lines, match
+from ..operators import augment, lines, match
 from ..sources import raster
 from .catalog import query
 
@@ -174,3 +173,11 @@ def w9_f9_f10_normalised_patches(t):
 @query(_LINES + "SELECT line_id, round(avg(cy), 6) AS line_y, median(h) AS median_h, median(w) AS median_w, count(*) AS n FROM ln GROUP BY line_id", uses="candidates", recursive=True)
 def a17_line_stats(t):
     return lines.line_stats(_lined(t)).withColumn("line_y", R("line_y"))
+
+
+@query()
+def f16_f17_changed_patches(t):
+    """Patches bent, moved, blurred and holed, and the sum of each."""
+    change = augment.patch_change(augment.elastic, augment.moved, lambda img, _: augment.blurred(img), augment.holes)
+    p = _patches(t).withColumn("new", change("cand", F.lit(_SIDE), F.lit(_SIDE), F.col("id")))
+    return p.select("id", R(S.array_sum(F.col("new"))).alias("total"))

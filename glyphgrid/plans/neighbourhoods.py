@@ -272,3 +272,11 @@ def f22_layer_addresses(t):
 @query("SELECT seg_id, round(sum(n_px) / 1e9, 9) AS gb, round(sum(n_px) / 1073741824, 9) AS gib FROM manifest GROUP BY seg_id", uses="manifest")
 def f27_sizes(t):
     return t.manifest.groupBy("seg_id").agg(R(S.gigabytes(F.sum("n_px")), 9).alias("gb"), R(S.gigabytes(F.sum("n_px"), binary=True), 9).alias("gib"))
+
+
+@query(_GRID + """, tl AS (SELECT cast(a * 16 AS int) AS ty, cast(b * 16 AS int) AS tx FROM range(3) r(a), range(3) s(b))
+SELECT g.seg_id, ty, tx, count(*) AS n, round(sum(g.p), 3) AS total FROM grid g JOIN tl ON g.y >= ty AND g.y < ty + 28 AND g.x >= tx AND g.x < tx + 28 GROUP BY ALL""", uses="prob")
+def x6_patch_rows(t):
+    """One row for each patch, its values in order."""
+    p = tiles.patch_rows(_grid(t).select("seg_id", F.lit(0).alias("z"), "y", "x", F.col("p").alias("v")), 28, 16)
+    return p.select("seg_id", "ty", "tx", F.size("img").cast("long").alias("n"), R(F.aggregate("img", F.lit(0.0), lambda a, v: a + v), 3).alias("total"))
