@@ -122,7 +122,7 @@ def brute_near(rows, width, percent):
     return [(i, n, None if i is None else root.get(i, i), i is None or root.get(i, i) == i) for (i, _), n in zip(rows, sizes, strict=True)]
 
 
-@pytest.mark.parametrize("settings", [MinHashSettings(), MinHashSettings(square=3, collections=14)])
+@pytest.mark.parametrize("settings", [MinHashSettings(), MinHashSettings(square=3, collections=18)])
 def test_minhash_dedup_matches_brute_force(spark, settings):
     df, rows = odd_documents(spark, seed=5)
     got = [tuple(r) for r in minhash_dedup(df, settings=settings).collect()]
