@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -131,6 +134,8 @@ def _first_choice():
 
 @query()
 def t5_refinement_step(t):
-    """Two steps of the loop on one segment; the map that they end with."""
-    cfg = refine.RefinementConfig(max_iterations=2, level=0.5, min_area=4, max_area=800)
-    return refine.refine(t.spark, t.prob, 64, seg_id="A", config=cfg, complete=_first_choice).labels.withColumn("p", R("p"))
+    """One step of the loop on each segment of the registry; the maps that it ends with."""
+    cfg = refine.RefinementConfig(max_iterations=1, level=0.5, min_area=4, max_area=800)
+    segments = [r["seg_id"] for r in t.prob.select("seg_id").distinct().orderBy("seg_id").collect()]
+    maps = [refine.refine(t.spark, t.prob, 64, seg_id=s, config=cfg, complete=_first_choice).labels for s in segments]
+    return functools.reduce(DataFrame.unionByName, maps).withColumn("p", R("p"))
