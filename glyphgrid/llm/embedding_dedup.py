@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ._components import components, star
 from ._session import by_key, parts, written
-from ._text import U64, column, mix
-from .minhash_dedup import _CLASS, _least, squares
+from ._text import column
+from .minhash_dedup import squares
 
 
 @dataclass(frozen=True)

@@ -43,7 +43,7 @@ def quantised(values: np.ndarray, scale: float) -> np.ndarray:
     return np.array([int(v) if np.isfinite(v) else (_LIMIT if v > 0 else -_LIMIT) for v in x], object)
 
 
-def _prepare(scale: float, every: int):
+def _prepare(scale: float):
     def run(batches):
         for batch in batches:
             values, starts, lengths = matrix_rows(batch["vector"])
@@ -75,7 +75,7 @@ def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(out, -_LIMIT - 1, _LIMIT).astype(np.int64)
 
 
-def _meetings(table: pa.Table, ranges: dict[int, tuple[int, int, int]] | None, s: TopKSettings):
+def _meetings(table: pa.Table):
     """For each meeting of a query and a candidate block: query ids, candidate ids and their scores, own pairs apart."""
     where = np.column_stack([table[c].to_numpy() for c in ("dim", "qb", "cb")])
     ids, query = table["id"].to_numpy(), table["query"].to_numpy(zero_copy_only=False).astype(bool)
@@ -93,10 +93,10 @@ def _meetings(table: pa.Table, ranges: dict[int, tuple[int, int, int]] | None, s
             yield own, there, scores(q[i : i + 256], c), own[:, None] != there[None, :]
 
 
-def _extent(key: tuple, table: pa.Table, *, s: TopKSettings) -> pa.Table:
+def _extent(key: tuple, table: pa.Table) -> pa.Table:
     """Of each query: candidates, least and greatest score in the shard."""
     out = defaultdict(list)
-    for own, _, x, other in _meetings(table, None, s):
+    for own, _, x, other in _meetings(table):
         n = other.sum(axis=1)
         lo, hi = np.where(other, x, _LIMIT).min(axis=1), np.where(other, x, -_LIMIT - 1).max(axis=1)
         for k, v in (("q", own[n > 0]), ("n", n[n > 0]), ("lo", lo[n > 0]), ("hi", hi[n > 0])):
@@ -112,10 +112,9 @@ def _ranges(table: pa.Table):
 
 def _histograms(key: tuple, table: pa.Table, *, s: TopKSettings) -> pa.Table:
     """Of each query: counts of scores in the bins of its range, those above it in bin `bins`, down to the shard's k-th best."""
-    known = table.filter(table["query"])
-    at = _ranges(known)
+    at = _ranges(table.filter(table["query"]))
     out = defaultdict(list)
-    for own, _, x, other in _meetings(table, None, s):
+    for own, _, x, other in _meetings(table):
         lo = np.array([at[int(i)][0] for i in own], object)
         width = np.array([max(1, at[int(i)][1]) for i in own], object)
         for r in range(len(own)):
@@ -134,7 +133,7 @@ def _reached(key: tuple, table: pa.Table, *, s: TopKSettings) -> pa.Table:
     """Pairs whose score reaches the query's k-th value; of ties at it, the k smallest ids of each meeting."""
     at = _ranges(table.filter(table["query"]))
     out = defaultdict(list)
-    for own, there, x, other in _meetings(table, None, s):
+    for own, there, x, other in _meetings(table):
         for r in range(len(own)):
             least = at[int(own[r])][0]
             some = np.flatnonzero((x[r] >= least) & other[r])
@@ -157,7 +156,7 @@ def exact_topk(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col:
     s = settings or TopKSettings()
     spark = vectors.sparkSession
     d = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), queries.alias("query"))
-    ready = d.select("id", "vector").mapInArrow(_prepare(s.scale, s.k), "id long, dim int, big boolean, data binary")
+    ready = d.select("id", "vector").mapInArrow(_prepare(s.scale), "id long, dim int, big boolean, data binary")
     ready = written(ready, "quantised")
     marked = written(d.where("query").select("id").distinct(), "queries")
     n = ready.count()
@@ -174,7 +173,7 @@ def exact_topk(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col:
         q = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cbs - 1)))).select("id", "dim", "big", "data", "qb", "cb", F.lit(True).alias("query"), lo.alias("lo"), width.alias("width"))
         return q.unionByName(c).withColumn("shard", shard).groupBy("shard")
 
-    extent = met(None).applyInArrow(by_key(_extent, s=s), "q long, n long, lo long, hi long").groupBy("q").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    extent = met(None).applyInArrow(by_key(_extent), "q long, n long, lo long, hi long").groupBy("q").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     span = (F.col("hi").cast("decimal(38,0)") - F.col("lo").cast("decimal(38,0)") + 1) / s.bins
     # fewer candidates than k: the k-th value is the least
     state = written(extent.select(F.col("q").alias("id"), F.least("n", F.lit(s.k).cast("long")).alias("need"), "lo", F.ceil(span).cast("long").alias("width")), "range")
