@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphgrid.llm._session import table, work_path
-from glyphgrid.llm.minhash_dedup import minhash_dedup
+from glyphgrid.llm.minhash_dedup import MinHashSettings, minhash_dedup
 from glyphgrid.llm.mixing import mixed_documents
 from glyphgrid.llm.packing import best_fit_pack
 from glyphgrid.llm.suffix_dedup import suffix_dedup
@@ -26,8 +26,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id; so do rows without an id."""
-    kept = minhash_dedup(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    """One document of each group of near-duplicates, linked at a similarity of 0.8 or more, stays, that of the smallest id;
+    so do rows without an id."""
+    kept = minhash_dedup(docs, settings=MinHashSettings(percent=80)).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
     own = docs.select(*COLUMNS)
     return own.join(kept, own["doc_id"] == kept["_kept"], "left_semi").unionByName(own.where("doc_id is null"))
 

@@ -111,6 +111,16 @@ def test_pipeline_on_odd_documents(spark, sf_dir):
         frame.collect()
 
 
+def test_pipeline_links_near_copies_from_eight_tenths(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = []
+    for k, (n, changed) in enumerate(((91, 9), (89, 11))):  # of n shingles each, `changed` differ: similarity 0.82 and 0.78
+        w = [f"w{k}x{i}" for i in range(n + 4)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:-changed] + [f"n{k}x{i}" for i in range(changed)]))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, sf_dir).collect()) == [0, 2, 3]
+
+
 def test_all_ten_operators_are_registered_once():
     names = sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
