@@ -79,8 +79,9 @@ def _md5(*of: Column) -> Column:
     return F.md5(F.concat_ws(":", *(x.cast("string") for x in of)).cast("binary"))
 
 
-def temperature_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, n_tokens: Column | None = None, settings: MixSettings | None = None) -> DataFrame:
-    """The documents of each pass: doc_id, source, epoch (from 0), start (tokens of the pass before it), n_tokens.
+def temperature_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, n_tokens: Column | None = None, settings: MixSettings | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The documents of each pass: doc_id, source, epoch (from 0), start (tokens of the pass before it), n_tokens, and the
+    columns to carry, which also settle the order of rows alike in id and length.
 
     n_tokens: length of a document; the words of its text if not given. Nulls count 0. A null source is a source of its
     own. A document is in the last pass if it starts within the quota, so a source may exceed it by less than a document.
@@ -89,7 +90,7 @@ def temperature_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     s = settings or MixSettings()
     count = F.coalesce(n_tokens if n_tokens is not None else word_count(F.col(text_col)), F.lit(0)).cast("long")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), count.alias("n_tokens"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), count.alias("n_tokens"), *carry)
     key = _md5(F.coalesce(F.col("doc_id"), -F.col("n_tokens")), F.lit(s.seed))
     d = d.withColumn("key", key).withColumn("block", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.lit(s.blocks)).cast("int"))
     d = written(d, "counted")
@@ -103,14 +104,21 @@ def temperature_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     passes = passes.withColumn("first", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
     limit = F.col("quota") - F.col("epoch") * F.col("q_tokens")
     passes = passes.where(F.col("first") < limit).select(F.col("source").alias("p_source"), F.col("block").alias("p_block"), "epoch", "first", limit.alias("limit"))
-    within = W.partitionBy("source", "block").orderBy("key", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "block").orderBy("key", "doc_id", "n_tokens", *carry).rowsBetween(W.unboundedPreceding, -1)
     placed = d.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     out = placed.join(passes, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("p_block")))
     start = F.col("first") + F.col("within")
-    return out.where(start < F.col("limit")).select("doc_id", "source", "epoch", start.alias("start"), "n_tokens")
+    return out.where(start < F.col("limit")).select("doc_id", "source", "epoch", start.alias("start"), "n_tokens", *carry)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **given) -> DataFrame:
-    """The rows of `docs` as often as the mix has them. Ids must be unique; rows without an id are left out."""
-    times = temperature_mix(docs, id_col, **given).where("doc_id is not null").select(F.col("doc_id").alias("_mixed_id"))
-    return docs.join(times, docs[id_col] == times["_mixed_id"]).select(*docs.columns)
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", *, n_tokens: Column | None = None, **given) -> DataFrame:
+    """The rows of `docs` as often as the mix has them, each for itself: rows without an id and rows that repeat one too.
+
+    Rows get a number, written once, by which the mix finds them again."""
+    rows = docs.withColumn("_mixed_row", F.monotonically_increasing_id())
+    if n_tokens is not None:
+        rows = rows.withColumn("_mixed_tokens", n_tokens)
+        n_tokens = F.col("_mixed_tokens")
+    rows = written(rows, "rows")
+    times = temperature_mix(rows, id_col, n_tokens=n_tokens, carry=("_mixed_row",), **given).select(F.col("_mixed_row").alias("_mixed"))
+    return rows.join(times, F.col("_mixed_row") == F.col("_mixed")).select(*docs.columns)

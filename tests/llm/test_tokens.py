@@ -180,6 +180,19 @@ def test_mixed_documents_keep_their_columns(spark):
     assert len(times) == 3 and max(times.values()) > 1
 
 
+def test_mixed_documents_hold_each_row_once_a_pass(spark):
+    rows = [(None, "a", "x y"), (None, "a", "u v"), (None, "b", "z"), (None, "b", None), (7, "a", "p q"), (7, "a", "r s"), (7, "b", "t"), (8, "a", "x y"), (8, "a", "x y"), (9, None, "o")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    for given in ({"settings": MixSettings(entropy=0.0, budget=30)}, {"settings": MixSettings(entropy=0.0, budget=42), "n_tokens": F.length(df["text"])}):
+        # one whole pass and most of another
+        got = Counter(tuple(r) for r in mixed_documents(df, **given).collect())
+        assert got.keys() == Counter(rows).keys() and all(n <= got[r] <= 2 * n for r, n in Counter(rows).items())
+    often = MixSettings(entropy=0.9, repeats=5.0, budget=40)
+    got = Counter(r["doc_id"] for r in mixed_documents(df, settings=often).collect())
+    assert got == Counter(r["doc_id"] for r in temperature_mix(df, settings=often).collect()) and got[None] > 4
+    assert mixed_documents(df.limit(0)).count() == 0
+
+
 def test_rollup_batches_are_idempotent(spark):
     schema = "source string, lang string, tokenizer string, n_tokens long, old_tokens long"
     rows = spark.createDataFrame([("a", "en", "v1", 10, None), ("a", "en", "v1", 5, None), (None, "de", "v1", None, None)], schema)
