@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import graph
 
 #: The alphabet, its older forms, expected holes of each letter, and template sizes and styles.
 ALPHABET = "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
@@ -103,6 +104,34 @@ def match_letters(patches: DataFrame, bank: DataFrame, side: int, k: int = 5) ->
     return best_letters(scored, "id", "letter", "score", k, F.col("ord"))
 
 
+def candidate_patches(candidates: DataFrame, labelled: DataFrame, size: int) -> DataFrame:
+    """(id, cand): each candidate's own pixels, cut at its box and fitted to a square."""
+
+    @F.pandas_udf("array<double>")
+    def cut(cells: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
+        rows = []
+        for at, a, b in zip(cells, h, w, strict=True):
+            img = np.zeros(int(a) * int(b))
+            img[np.asarray(at, np.int64)] = 1
+            rows.append(fitted(img.reshape(int(a), int(b)), size).reshape(size * size))
+        return pd.Series(rows)
+
+    box = candidates.select("seg_id", F.col("id").alias("label"), "y0", "x0", "h", "w")
+    at = (F.col("y") - F.col("y0")) * F.col("w") + F.col("x") - F.col("x0")
+    g = labelled.join(box, ["seg_id", "label"]).groupBy("label").agg(F.collect_list(at.cast("int")).alias("cells"), F.first("h").alias("h"), F.first("w").alias("w"))
+    return g.select(F.col("label").alias("id"), cut("cells", "h", "w").alias("cand"))
+
+
+def described(patches: DataFrame, key: str, column: str, side: int) -> DataFrame:
+    """Adds what the matcher compares: `column`_dt, `column`_hu and holes, the holes of the patch as a whole."""
+    cells = patch_cells(patches, key, column, side)
+    hu = hu_moments(cells, [key]).select(F.col(key).alias("_hu_key"), F.array(*(f"hu{i}" for i in range(1, 8))).alias("_hu"))
+    holes = graph.hole_counts(cells.select(F.lit("").alias("seg_id"), F.col(key).alias("label"), "y", "x")).select(F.col("label").alias("_hole_key"), F.col("holes").alias("_holes"))
+    d = distance_transform(patches, column, side, f"{column}_dt")
+    d = d.join(hu, F.col(key) == F.col("_hu_key"), "left").join(holes, F.col(key) == F.col("_hole_key"), "left")
+    return d.select(*patches.columns, f"{column}_dt", F.coalesce("_hu", F.array(*[F.lit(0.0)] * 7)).alias(f"{column}_hu"), F.coalesce(F.col("_holes").cast("int"), F.lit(0)).alias("holes"))
+
+
 def simple_scores(patches: DataFrame, bank: DataFrame) -> DataFrame:
     """The single-style score: mean of the correlation and the overlap."""
     both = with_bank(patches, bank)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import lines, refine, responses
+from ..operators import lines, match, refine, responses
+from ..session import written
 from .catalog import query
-from .letters import _GAPS, _LINES, _lined
+from .letters import _GAPS, _LINES, _SIDE, _bank, _lined
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -132,10 +133,23 @@ def _first_choice():
     return ask
 
 
+def _matcher(t, size: int = 16, k: int = 3):
+    """Matches candidates with the bank of templates, fitted like them; the holes expected are those of each template."""
+    fit = match.patch_udf(lambda img: match.fitted(img, size), size)
+    bank = _bank(t).select("ord", F.col("letter").cast("string").alias("letter"), fit("tpl", F.lit(_SIDE), F.lit(_SIDE)).alias("tpl"))
+    bank = written(match.described(bank, "ord", "tpl", size).withColumnRenamed("holes", "expected"), "bank")
+
+    def find(candidates: DataFrame, labelled: DataFrame) -> DataFrame:
+        return match.match_letters(match.described(written(match.candidate_patches(candidates, labelled, size), "patches"), "id", "cand", size), bank, size, k)
+
+    return find
+
+
 @query()
 def t5_refinement_step(t):
-    """One step of the loop on each segment of the registry; the maps that it ends with."""
+    """One step of the loop on each segment of the registry, letters matched and gaps filled; the maps that it ends with."""
     cfg = refine.RefinementConfig(max_iterations=1, level=0.5, min_area=4, max_area=800)
     segments = [r["seg_id"] for r in t.prob.select("seg_id").distinct().orderBy("seg_id").collect()]
-    maps = [refine.refine(t.spark, t.prob, 64, seg_id=s, config=cfg, complete=_first_choice).labels for s in segments]
+    letters = _matcher(t)
+    maps = [refine.refine(t.spark, t.prob, 64, seg_id=s, config=cfg, complete=_first_choice, match=letters).labels for s in segments]
     return functools.reduce(DataFrame.unionByName, maps).withColumn("p", R("p"))

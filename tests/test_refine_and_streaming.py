@@ -25,6 +25,27 @@ def test_loop_blends_by_its_schedule(spark, sf_dir):
     assert all(0 <= e["pixels_unchanged_pct"] <= 100 for e in out.log)
 
 
+def test_refinement_step_matches_letters(spark, sf_dir, monkeypatch):
+    from glyphgrid.operators import match
+    from glyphgrid.plans import text
+    from glyphgrid.plans.catalog import Tables
+
+    given, real = [], refine.refine
+    monkeypatch.setattr(text.refine, "refine", lambda spark, labels, width, **k: given.append(k) or refine.RefinementResult(labels))
+    text.t5_refinement_step(Tables(spark, sf_dir))
+    # a ring around a hole: one medium candidate, without gaps beside it
+    cells = [("s", y, x, 0.6 if 4 <= y < 20 and 6 <= x < 22 and not (8 <= y < 16 and 10 <= x < 18) else 0.0) for y in range(32) for x in range(32)]
+    prob = spark.createDataFrame(cells, "seg_id string, y int, x int, p double")
+    found, labelled = refine.letter_candidates(prob, 32, level=0.5, min_area=4, max_area=800)
+    patch = match.described(match.candidate_patches(found, labelled, 16), "id", "cand", 16).collect()
+    # at half its size, 8 x 8 without 4 x 4, whose four corners the closing has filled
+    assert [r["holes"] for r in patch] == [1] and sum(patch[0]["cand"]) == 64 - 16 + 4
+    letters = given[0]["match"](found, labelled).orderBy("rank").collect()
+    assert [r["rank"] for r in letters] == [1, 2, 3] and letters[0]["score"] >= letters[2]["score"] > 0
+    cfg = refine.RefinementConfig(max_iterations=1, level=0.5, min_area=4, max_area=800, enhance=None)
+    assert real(spark, prob, 32, seg_id="s", config=cfg, complete=given[0]["complete"], match=given[0]["match"]).log[0]["n_llm_results"] == 1
+
+
 def test_layers_that_arrive(spark, tmp_path):
     src, done = str(tmp_path / "in"), []
     rows = [("s", z, y, 0, y, f"2024-01-01 00:0{z}:00") for z in range(4) for y in range(5)]
