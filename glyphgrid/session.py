@@ -46,22 +46,33 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, set to a temporary one only where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a local session gets a
+    temporary one; with executors on other machines that would lose data, so it is an error there."""
     where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         where = tempfile.mkdtemp(prefix="glyphgrid-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back: cuts the lineage, resets the statistics and outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = work_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def leaf_bytes(df: DataFrame) -> int:
+    """Bytes of the files and tables that `df` is read from, by the plan's statistics; 0 where they are not known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(x for x in sizes if x < 1 << 60)
