@@ -2,43 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import leaf_bytes, shared_dir, work_path, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, set to a temporary one only where it is unset."""
-    where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="glyphgrid-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once to the shared folder and read back: cuts the lineage, resets the statistics and outlives executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+__all__ = ["block_of", "by_key", "by_key2", "give_back", "parts", "shared_dir", "table", "work_path", "written"]
 
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+#: Bytes of input files for each block or shard, at most. Texts are about three times as long as their compressed files.
+_BLOCK = 64 << 20
 
 
-def parts(spark: SparkSession) -> int:
-    """Number of blocks and shards: the session's shuffle partitions, which a cluster sizes to its data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def parts(df: DataFrame) -> int:
+    """Number of blocks and shards for `df`: the session's shuffle partitions, more where the input's files are so large
+    that a block would hold over 64 MB of them."""
+    least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-leaf_bytes(df) // _BLOCK))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

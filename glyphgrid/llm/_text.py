@@ -6,6 +6,8 @@ which is what an Arrow string column already is, so nothing is copied per row.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -98,15 +100,76 @@ def _power(base: int, n: int) -> np.ndarray:
 _INVERSE = pow(int(_BASE), -1, 1 << 64)
 
 
+_PAD = np.zeros(8, np.uint8)
+_KEYS = tuple(mix(np.arange(1, 5, dtype=U64) * _BASE + U64(0x243F6A8885A308D3)))
+_TAIL = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+#: Bytes of a span from which on a cryptographic hash takes it at once.
+_LONG = 64
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the data."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, _PAD]), strides=(1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of each span's bytes."""
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_CODES[seed][data] * _power(int(_BASE), len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(U64))
+    """64-bit hash of each span's bytes, under a key of the seed. Eight bytes at a time go through a non-linear mix, so that
+    no regular make-up of the bytes makes two spans alike; long spans take a keyed cryptographic hash."""
+    n = ends - starts
+    key = _KEYS[seed]
+    look = eights(data)
+    h = mix((look[starts] & _TAIL[np.minimum(n, 8)]) ^ (n.astype(U64) * U64(0xD6E8FEB86659FD93) + key))
+    at, k = np.flatnonzero((n > 8) & (n <= _LONG)), 8
+    while len(at):
+        h[at] = mix((h[at] * U64(0x9FB21C651E98DF25) + key) ^ (look[starts[at] + k] & _TAIL[np.minimum(n[at] - k, 8)]))
+        k += 8
+        at = at[n[at] > k]
+    long = np.flatnonzero(n > _LONG)
+    if len(long):
+        secret, raw = int(key).to_bytes(8, "little"), memoryview(np.ascontiguousarray(data))
+        h[long] = [int.from_bytes(hashlib.blake2b(raw[a:z], digest_size=8, key=secret).digest(), "little") for a, z in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return h
+
+
+def alike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, to: np.ndarray) -> bool:
+    """Whether each span has the bytes of the span numbered `to`."""
+    n = ends - starts
+    if (n != n[to]).any():
+        return False
+    look = eights(data)
+    at, k = np.flatnonzero(n <= _LONG), 0
+    while len(at):
+        if (((look[starts[at] + k] ^ look[starts[to[at]] + k]) & _TAIL[np.minimum(n[at] - k, 8)]) != 0).any():
+            return False
+        k += 8
+        at = at[n[at] > k]
+    return all(np.array_equal(data[starts[i] : ends[i]], data[starts[to[i]] : ends[to[i]]]) for i in np.flatnonzero(n > _LONG).tolist())
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix((a ^ (a >> U64(29))) * U64(0x9FB21C651E98DF25) + b)
+
+
+def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every `width` consecutive codes, by doubling, each step of it non-linear; length len(codes) - width + 1 (or none)."""
+    if len(codes) < width:
+        return np.zeros(0, U64)
+    have, at, out, done = codes, 1, None, 0
+    while True:
+        if width & at:
+            n = len(codes) - (done + at) + 1
+            out = have[:n] if out is None else _joined(out[:n], have[done : done + n])
+            done += at
+        if done == width:
+            return out if width > 1 else mix(out)
+        n = len(codes) - 2 * at + 1
+        have = _joined(have[:n], have[at : at + n])
+        at *= 2
 
 
 def rolling(codes: np.ndarray, width: int) -> np.ndarray:
-    """Polynomial hash of every `width` consecutive codes, by doubling; length len(codes) - width + 1 (or none)."""
+    """Polynomial hash of every `width` consecutive codes, by doubling; length len(codes) - width + 1 (or none). Its
+    collisions can be built on purpose, so it may choose what meets, never decide what is equal."""
     if len(codes) < width:
         return np.zeros(0, U64)
     base, have, at = int(_BASE), codes, 1
@@ -166,7 +229,7 @@ def letter_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Hasher:
-    """Hashes of any spans of one text, from one pass over it."""
+    """Hashes of any spans of one text, from one pass over it, for numbers of features; see `rolling` for what it can't do."""
 
     def __init__(self, data: np.ndarray, seed: int = 0):
         self.total = np.zeros(len(data) + 1, U64)

@@ -7,7 +7,7 @@ import unicodedata
 
 import numpy as np
 
-from ._text import lower_ascii, ragged, span_hashes, word_spans
+from ._text import alike, lower_ascii, ragged, span_hashes, word_spans
 
 _loaded: dict[tuple, WordTokenizer] = {}  # noqa: F821
 
@@ -82,7 +82,7 @@ class WordTokenizer:
         return _loaded[key]
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
         self.starts, self.lengths, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
@@ -114,7 +114,8 @@ class WordTokenizer:
         words = ["a", "the", "unhappiness", "é", "été", "über", "straße", "niño", "œuvre", "čaj", "ǆ", "zzzzqx"]
         return [self._direct(w) for w in words] == self._ids(words)
 
-    def _learn(self, hashes: list[int], words: list[str], letters: list[bool]) -> None:
+    def _learn(self, pieces: list[bytes], letters: list[bool]) -> None:
+        words = [x.decode("utf-8", "replace") for x in pieces]
         if self.direct:
             tokenize, names = self.tokenizer.model.tokenize, self.names
             # letters that one change of case makes two, or that aren't composed, are left to the whole tokenizer
@@ -133,7 +134,7 @@ class WordTokenizer:
         self.ids[self.used : self.used + total] = np.array([i for x in got for i in x], np.uint32)
         self.starts[n : n + len(got)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[n : n + len(got)] = lengths
-        self.place.update(zip(hashes, range(n, n + len(got)), strict=True))
+        self.place.update(zip(pieces, range(n, n + len(got)), strict=True))
         self.used += total
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -166,18 +167,20 @@ class WordTokenizer:
         data = lower_ascii(data)
         a, z, letters = piece_spans(data, off)
         first = np.searchsorted(a, off)
-        h, one, of = np.unique(span_hashes(data, a, z), return_index=True, return_inverse=True)
-        if len(self.place) + len(h) > self.capacity:
+        _, one, of = np.unique(span_hashes(data, a, z), return_index=True, return_inverse=True)
+        if not alike(data, a, z, one[of]):  # two pieces of one hash
+            raw = data.tobytes()
+            one, of = np.unique(np.array([raw[x:y] for x, y in zip(a.tolist(), z.tolist(), strict=True)], object), return_index=True, return_inverse=True)[1:]
+        if len(self.place) + len(one) > self.capacity:
             self._clear()
-        hashes = h.tolist()
-        at = list(map(self.place.get, hashes))
+        raw = data.tobytes()
+        pieces = [raw[x:y] for x, y in zip(a[one].tolist(), z[one].tolist(), strict=True)]
+        at = list(map(self.place.get, pieces))
         new = [k for k, x in enumerate(at) if x is None]
         if new:
-            raw = data.tobytes()
-            place = one[new]
-            self._learn([hashes[k] for k in new], [raw[x:y].decode("utf-8", "replace") for x, y in zip(a[place].tolist(), z[place].tolist(), strict=True)], letters[place].tolist())
+            self._learn([pieces[k] for k in new], letters[one[new]].tolist())
             for k in new:
-                at[k] = self.place[hashes[k]]
+                at[k] = self.place[pieces[k]]
         which = np.array(at, np.int64)[of] if len(at) else np.zeros(0, np.int64)
         lengths = self.lengths[which]
         upto = np.append(0, np.cumsum(lengths))

@@ -1,9 +1,11 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
 A vector is described by its nearest reference points (pivots), in order. Each pivot of a label has an inverted list
-of the vectors that have it among theirs; two vectors are candidates if they share enough pivots, which products of
-incidence matrices count within a list, and a candidate is verified by its cosine in the list of the first pivot that
-the two share. Long lists are cut into parts that meet in squares of bounded size. Equal vectors are one class.
+of the vectors that have it among their nearest few; long lists are cut into parts that meet in squares of bounded size.
+Within a square, products of incidence matrices count the pivots that two vectors share, each weighed by its ranks with both;
+pairs that share enough are candidates, and only these have their cosines computed, in the list of the first pivot that
+the two share. Equal vectors are one class. The number of pivots grows with the square root of the vectors, and so do
+the lists.
 """
 
 from __future__ import annotations
@@ -23,15 +25,18 @@ from .minhash_dedup import squares
 
 @dataclass(frozen=True)
 class PivotSettings:
-    """cosine: least cosine of a link. pivots: reference points. prefix: nearest ones that describe a vector. shared:
-    least number of them that candidates have in common. sample: rows at most that the pivots are chosen from, those
-    of least hash. square: vectors on a side of one comparison."""
+    """cosine: least cosine of a link. density: pivots for each square root of the vectors; least_pivots, most_bytes: bounds
+    of their number and of their size, which is sent to all tasks. prefix: nearest pivots in whose lists a vector
+    stands. order: nearest ones that describe it. shared: least rank-weighted count of pivots that candidates share, as a
+    share of a vector's count with itself. square: vectors on a side of one comparison."""
 
     cosine: float = 0.93
-    pivots: int = 128
+    density: float = 4.0
+    least_pivots: int = 64
+    most_bytes: int = 32 << 20
     prefix: int = 8
-    shared: int = 2
-    sample: int = 2048
+    order: int = 12
+    shared: float = 0.25
     square: int = 256
 
 
@@ -50,44 +55,72 @@ def matrix_rows(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, starts, np.where(out, -1, lengths) if n else lengths
 
 
+#: Vectors that are looked through for copies at a time.
+_FLUSH = 100_000
+_NAMES = ["vec_id", "local", "label", "copies", "least", "vector"]
+_KINDS = "vec_id long, local long, label long, copies long, least long, vector binary"
+
+
 def _vectors(batches):
-    """Every row with the least id of its class in the partition; one row of each class has the vector and the count."""
-    ids, labels, local_of, seen = [], [], [], {}
-    keep: list[tuple[bytes, int, int]] = []  # vector, label, count
+    """Every row with the number of its class among the rows looked at with it; one row of each such class has the vector, the
+    number of copies and the least id."""
+    from pyspark import TaskContext
+
+    base = TaskContext.get().partitionId() << 40
+    seen: dict[tuple[int, bytes], int] = {}
+    copies: list[int] = []
     least: list[int] = []
+
+    def classes():
+        keys = list(seen)
+        for i in range(0, len(keys), 10_000):
+            part = keys[i : i + 10_000]
+            n, m = len(part), i + len(part)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(range(base + i, base + m), pa.int64()), pa.array([x for x, _ in part], pa.int64()), pa.array(copies[i:m], pa.int64()), pa.array(least[i:m], pa.int64()), pa.array([x for _, x in part], pa.binary())], names=_NAMES)
+
     for batch in batches:
         values, starts, lengths = matrix_rows(batch["embedding"])
-        for vec, label, a, n in zip(batch["vec_id"].to_pylist(), batch["label"].to_pylist(), starts.tolist(), lengths.tolist(), strict=True):
+        ids, local_of = batch["vec_id"].to_pylist(), []
+        for vec, label, a, n in zip(ids, batch["label"].to_pylist(), starts.tolist(), lengths.tolist(), strict=True):
             x = values[a : a + n] + 0.0 if n > 0 else None
-            at = None
-            if vec is not None and label is not None and x is not None and x.any():
-                key = (label, x.tobytes())
-                at = seen.setdefault(key, len(keep))
-                if at == len(keep):
-                    keep.append((key[1], label, 0)), least.append(vec)
-                keep[at] = (key[1], label, keep[at][2] + 1)
-                least[at] = min(least[at], vec)
-            ids.append(vec), labels.append(label), local_of.append(at)
-    if ids:
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([None if k is None else least[k] for k in local_of], pa.int64()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary())], names=_NAMES)
-    for i in range(0, len(keep), 10_000):
-        part = keep[i : i + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(least[i : i + len(part)], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array([x[2] for x in part], pa.int64()), pa.array([x[0] for x in part], pa.binary())], names=_NAMES)
-
-
-_NAMES = ["vec_id", "local", "label", "copies", "vector"]
+            if vec is None or label is None or x is None or not x.any():
+                local_of.append(None)
+                continue
+            at = seen.setdefault((label, x.tobytes()), len(seen))
+            if at == len(copies):
+                copies.append(0), least.append(vec)
+            copies[at] += 1
+            least[at] = min(least[at], vec)
+            local_of.append(base + at)
+        n = len(ids)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(local_of, pa.int64()), *(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.binary())], names=_NAMES)
+        if len(seen) >= _FLUSH:
+            yield from classes()
+            base += len(seen)
+            seen.clear(), copies.clear(), least.clear()
+    yield from classes()
 
 
 def unit_rows(vectors: list[bytes]) -> np.ndarray:
     """Rows of length 1; scaled first, so that neither large nor small values overflow."""
-    x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+    return _unit(np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def nearest(unit: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """Numbers of the nearest pivots, nearest first; ties to the smaller number."""
-    return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :prefix]
+def nearest(unit: np.ndarray, pivots: np.ndarray, order: int) -> np.ndarray:
+    """Numbers of the nearest pivots, nearest first."""
+    k = min(order, len(pivots))
+    out = np.empty((len(unit), k), np.int32)
+    for i in range(0, len(unit), 1024):
+        far = -(unit[i : i + 1024] @ pivots.T)
+        some = np.sort(np.argpartition(far, k - 1, axis=1)[:, :k], axis=1)
+        by = np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable")
+        out[i : i + 1024] = np.take_along_axis(some, by, axis=1)
+    return out
 
 
 def choose_pivots(sample: np.ndarray, k: int) -> np.ndarray:
@@ -104,10 +137,17 @@ def choose_pivots(sample: np.ndarray, k: int) -> np.ndarray:
     return sample[np.unique(chosen)]
 
 
+def _pivots_for(dim: int, pivots: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """The sample's pivots, or directions drawn at random for a length that the sample doesn't have."""
+    if dim not in pivots:
+        pivots[dim] = _unit(np.random.default_rng(dim).normal(size=(n, dim)))
+    return pivots[dim]
+
+
 def _index(key: tuple, table: pa.Table, *, pivots: dict[int, np.ndarray], s: PivotSettings) -> pa.Table:
-    """One row for each class: its least id, members' local ids, copies, vector and pivots."""
+    """One row for each class: a number of its own, its least id, members' local numbers, copies, vector and pivots."""
     vectors, labels = table["vector"].to_pylist(), table["label"].to_numpy()
-    local, copies = table["local"].to_numpy(), table["copies"].to_numpy()
+    local, copies, least = table["local"].to_numpy(), table["copies"].to_numpy(), table["least"].to_numpy()
     by: dict[tuple[int, bytes], list[int]] = {}
     for k, x in enumerate(zip(labels.tolist(), vectors, strict=True)):
         by.setdefault(x, []).append(k)
@@ -115,25 +155,56 @@ def _index(key: tuple, table: pa.Table, *, pivots: dict[int, np.ndarray], s: Piv
     near: list = [None] * len(rows)
     for n in {len(x) for (_, x), _ in rows}:
         some = [k for k, ((_, x), _) in enumerate(rows) if len(x) == n]
-        if n // 8 in pivots:
-            for k, p in zip(some, nearest(unit_rows([rows[k][0][1] for k in some]), pivots[n // 8], s.prefix).tolist(), strict=True):
-                near[k] = p
-        else:  # a length that the sample doesn't have: one list of all
-            for k in some:
-                near[k] = [0]
+        own = _pivots_for(n // 8, pivots, s.least_pivots)
+        for k, p in zip(some, nearest(unit_rows([rows[k][0][1] for k in some]), own, s.order).tolist(), strict=True):
+            near[k] = p
+    base = key[0].as_py() << 40
     return pa.table({
-        "id": pa.array([int(local[v].min()) for _, v in rows], pa.int64()), "locals": pa.array([local[v].tolist() for _, v in rows], pa.list_(pa.int64())), "copies": pa.array([int(copies[v].sum()) for _, v in rows], pa.int64()),
+        "id": pa.array(range(base, base + len(rows)), pa.int64()), "least": pa.array([int(least[v].min()) for _, v in rows], pa.int64()),
+        "locals": pa.array([local[v].tolist() for _, v in rows], pa.list_(pa.int64())), "copies": pa.array([int(copies[v].sum()) for _, v in rows], pa.int64()),
         "label": pa.array([k[0] for k, _ in rows], pa.int64()), "vector": pa.array([k[1] for k, _ in rows], pa.binary()), "near": pa.array(near, pa.list_(pa.int32())),
     })
 
 
-def _links(key: tuple, table: pa.Table, *, pivots: int, s: PivotSettings) -> pa.Table:
+def _candidates(near: np.ndarray, left: int, cross: bool, own: int, s: PivotSettings) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (first row before the second, if not across) that share enough pivots and of whose shared lists `own` is the first."""
+    n, k = near.shape
+    known, at = np.unique(near, return_inverse=True)
+    mark = np.zeros((n, len(known)), np.float32)
+    weight = np.arange(s.order, s.order - k, -1, dtype=np.float32)
+    np.put_along_axis(mark, at.reshape(n, k), np.broadcast_to(weight, (n, k)), 1)
+    least = s.shared * float((weight**2).sum())
+    if cross:
+        p, q = np.nonzero(mark[:left] @ mark[left:].T >= least)
+        q = q + left
+    else:
+        p, q = np.nonzero(np.triu(mark @ mark.T, 1) >= least)
+    first = np.empty(len(p), bool)
+    lists = near[:, : s.prefix]
+    for i in range(0, len(p), 1 << 14):
+        x, y = lists[p[i : i + (1 << 14)]], lists[q[i : i + (1 << 14)]]
+        both = (x[:, :, None] == y[:, None, :]).any(axis=2)
+        first[i : i + (1 << 14)] = np.where(both, x, np.iinfo(np.int32).max).min(axis=1) == own
+    return p[first], q[first]
+
+
+def _close(unit: np.ndarray, p: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
+    """Which of the pairs have the cosine."""
+    out = np.empty(len(p), bool)
+    for i in range(0, len(p), 1 << 14):
+        out[i : i + (1 << 14)] = np.einsum("ij,ij->i", unit[p[i : i + (1 << 14)]], unit[q[i : i + (1 << 14)]]) >= least
+    return out
+
+
+def _links(key: tuple, table: pa.Table, *, s: PivotSettings) -> pa.Table:
     """Of the shard's squares: copies linked to each class (kind 0) and links between classes as stars (kind 1)."""
     ids = table["id"].to_numpy()
     where = np.column_stack([table[c].to_numpy() for c in ("cluster", "x", "y", "side")])
     order = np.lexsort((ids, where[:, 3], where[:, 2], where[:, 1], where[:, 0]))
     table, ids, where = table.take(pa.array(order)), ids[order], where[order]
-    vectors, near, own, copies = table["vector"].to_pylist(), table["near"].to_pylist(), table["pivot"].to_numpy(), table["copies"].to_numpy()
+    vectors, own, copies = table["vector"].to_pylist(), table["pivot"].to_numpy(), table["copies"].to_numpy()
+    near = table["near"].combine_chunks() if isinstance(table["near"], pa.ChunkedArray) else table["near"]
+    flat, cut = near.values.to_numpy(zero_copy_only=False), near.offsets.to_numpy()
     count = np.zeros(len(ids), np.int64)
     ea, eb = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     head = np.flatnonzero(np.append(True, (where[1:, :3] != where[:-1, :3]).any(axis=1)))
@@ -142,23 +213,16 @@ def _links(key: tuple, table: pa.Table, *, pivots: int, s: PivotSettings) -> pa.
         left = int((where[a:z, 3] == where[a, 1]).sum()) if cross else n
         if n < 2 or cross and left in (0, n):
             continue
+        # a cluster has one length of vectors, and so one number of pivots
+        p, q = _candidates(flat[cut[a] : cut[z]].reshape(n, -1), left, cross, int(own[a]), s)
+        if not len(p):
+            continue
         unit = unit_rows(vectors[a:z])
-        mark = np.zeros((n, pivots), np.float32)
-        for k, p in enumerate(near[a:z]):
-            mark[k, p] = 1
-        i, j = slice(0, left), slice(left, n) if cross else slice(0, n)
-        shared = mark[i] @ mark[j].T
-        before = mark[i, : own[a]] @ mark[j, : own[a]].T
-        # a vector described by fewer pivots shares fewer
-        fewer = np.minimum.outer(mark[i].sum(axis=1), mark[j].sum(axis=1))
-        linked = (shared >= np.minimum(s.shared, fewer)) & (before == 0) & (unit[i] @ unit[j].T >= s.cosine)
-        if not cross:
-            np.fill_diagonal(linked, False)
-        count[a : a + left] += linked @ copies[a:z][j]
-        if cross:
-            count[a + left : z] += linked.T @ copies[a:z][i]
-        p, q = np.nonzero(linked)
-        p, q = star(ids[a:z][i][p], ids[a:z][j][q])
+        linked = _close(unit, p, q, s.cosine)
+        p, q = p[linked], q[linked]
+        np.add.at(count, a + p, copies[a + q])
+        np.add.at(count, a + q, copies[a + p])
+        p, q = star(ids[a + p], ids[a + q])
         ea.append(p), eb.append(q)
     a, b = np.concatenate(ea), np.concatenate(eb)
     some = count > 0
@@ -172,38 +236,41 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     included) and kept (vec_id = component_id).
 
     Rows without a label or an id, and vectors that are null, empty, zero, or hold nulls or values that aren't finite,
-    link with nothing, and so do vectors of different lengths. Repeated rows count as other rows. A row without an id has
-    no component and is kept. An empty table gives none.
+    link with nothing and are their own component, and so do vectors of different lengths. Repeated rows count as other
+    rows. Rows with one id and different vectors keep their own links and are in one component. A row without an id
+    has no component and is kept. An empty table gives none.
     """
     s = settings or PivotSettings()
-    spark = vectors.sparkSession
-    n = parts(spark)
+    n = parts(vectors)
     d = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    rows = written(d.mapInArrow(_vectors, "vec_id long, local long, label long, copies long, vector binary"), "vectors")
-    own = rows.where("vector is not null")
-    sample = own.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(s.sample).collect()
+    rows = written(d.mapInArrow(_vectors, _KINDS), "vectors")
+    own = rows.where("vector is not null").drop("vec_id")
+    size = own.agg(F.count("*"), F.max(F.length("vector"))).first()  # one row
+    wanted = max(s.least_pivots, int(min(s.density * size[0] ** 0.5, s.most_bytes / max(size[1] or 0, 8))))
     by: dict[int, list[bytes]] = {}
-    for (x,) in sample:
+    for (x,) in own.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(2 * wanted).collect():  # twice the bytes of the pivots
         by.setdefault(len(x) // 8, []).append(bytes(x))
-    pivots = {dim: choose_pivots(unit_rows(x), s.pivots) for dim, x in by.items()}
+    pivots = {dim: choose_pivots(unit_rows(x), wanted) for dim, x in by.items()}
     shard = lambda *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
-    index = own.drop("vec_id").withColumn("shard", shard("label", "vector")).groupBy("shard").applyInArrow(by_key(_index, pivots=pivots, s=s), "id long, locals array<long>, copies long, label long, vector binary, near array<int>")
+    index = own.withColumn("shard", shard("label", "vector")).groupBy("shard").applyInArrow(by_key(_index, pivots=pivots, s=s), "id long, least long, locals array<long>, copies long, label long, vector binary, near array<int>")
     index = written(index, "index")
-    lists = index.select("id", F.explode("near").alias("pivot"), "label", F.length("vector").alias("dim"))
-    lists = lists.withColumn("cluster", F.xxhash64("label", "dim", "pivot"))
+    lists = index.select("id", F.explode(F.slice("near", 1, s.prefix)).alias("pivot"), "label", F.length("vector").alias("dim"))
+    lists = lists.select("id", "pivot", F.xxhash64("label", "dim", "pivot").alias("cluster"))
     where = squares(lists.select("id", "cluster"), s.square, n)
-    number = lists.select("id", "cluster", "pivot")
-    met = where.join(number.join(index.select("id", "vector", "copies", "near"), "id"), ["id", "cluster"])
-    links = met.select("id", "vector", "copies", "near", "pivot", "cluster", "x", "y", "side", "shard").groupBy("shard").applyInArrow(by_key(_links, pivots=s.pivots, s=s), "kind int, a long, b long")
+    met = where.join(lists.join(index.select("id", "vector", "copies", "near"), "id"), ["id", "cluster"])
+    links = met.select("id", "vector", "copies", "near", "pivot", "cluster", "x", "y", "side", "shard").groupBy("shard").applyInArrow(by_key(_links, s=s), "kind int, a long, b long")
     links = written(links, "links")
     counts = links.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n"))
-    found = components(links.where("kind = 1"))
-    classes = index.select(F.col("id").alias("_class"), "copies", F.explode("locals").alias("local"))
-    classes = classes.join(counts.withColumnRenamed("a", "_class"), "_class", "left").join(found.select(F.col("id").alias("_class"), "component"), "_class", "left")
-    classes = written(classes.select("local", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "_class").alias("component")), "classes")
-    # a local id may be the least of several labels' or vectors' classes only where ids repeat; the first row serves
-    classes = classes.groupBy("local").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
-    classes = written(classes, "classes")
-    out = rows.where("vector is null").select("vec_id", "local").join(classes, "local", "left")
-    component = F.coalesce("component", "vec_id")
+    at = rows.where("vector is null").select("vec_id", "local")
+    number = index.select(F.col("id").alias("_class"), F.explode("locals").alias("local"))
+    held = written(at.join(number, "local", "left"), "held")
+    several = held.where("_class is not null").groupBy("vec_id").agg(F.min("_class").alias("a"), F.max("_class").alias("b")).where("a <> b")
+    joined = held.join(several.select("vec_id", "a"), "vec_id").select("a", F.col("_class").alias("b")).where("a <> b").distinct()
+    found = components(links.where("kind = 1").select("a", "b").unionByName(joined)).withColumnRenamed("id", "_class")
+    classes = index.select(F.col("id").alias("_class"), "least", "copies").join(found, "_class", "left").withColumn("component", F.coalesce("component", "_class"))
+    classes = classes.join(classes.groupBy("component").agg(F.min("least").alias("component_id")), "component").join(counts.withColumnRenamed("a", "_class"), "_class", "left")
+    classes = written(classes.select("_class", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id"), "classes")
+    # through the local numbers, so that a class of many rows isn't one key
+    out = at.join(number.join(classes, "_class").drop("_class"), "local", "left")
+    component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

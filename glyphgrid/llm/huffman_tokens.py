@@ -233,7 +233,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     lengths = code_lengths(counts, s.limit)
     spark.createDataFrame([(lengths.tobytes(), s.step)], "lengths binary, step int").coalesce(1).write.parquet(f"{path}/code")
     ordered = got.where("token is null").select("doc_id", "n_tokens", "width", "ids")
-    ordered = ordered.repartitionByRange(parts(spark), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "ids")
+    ordered = ordered.repartitionByRange(parts(docs), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "ids")
     schema = "part int, number long, n_symbols long, doc_ids array<long>, doc_lengths array<long>, bits binary, checkpoints binary"
     ordered.mapInArrow(_blocks(lengths, s), schema).write.option("compression", "none").parquet(f"{path}/blocks")
 

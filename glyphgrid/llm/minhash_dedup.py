@@ -2,9 +2,11 @@
 
 A document takes few hash collections of a few minhashes each; every pair of collections forms the key of one
 table, so m collections give m * (m - 1) / 2 tables. Documents with equal sets are one class from the start; blocks
-and shards pass on one holder of each table key, so a key held by many documents stays small. The candidate graph's
-components are then compared in full, in squares of bounded size, by products of incidence matrices, and the
-components of the confirmed links are the result.
+and shards pass on one holder of each table key, so a key held by many documents stays small. Classes that share a
+key are candidates and are compared in full, in squares of bounded size, by products of incidence matrices: a small
+component of candidates at once; a large one, which chains of chance candidates can make, either at once or bucket by
+bucket, whichever compares less, so that the work keeps to the candidate pairs. The components of the confirmed links
+are the result.
 """
 
 from __future__ import annotations
@@ -19,9 +21,7 @@ from pyspark.sql import functions as F
 
 from ._components import components, star
 from ._session import by_key, give_back, parts, written
-from ._text import U64, bytes_of, chunks, column, lower_ascii, mix, rolling, span_hashes, word_spans
-
-_MASK = U64((1 << 50) - 1)
+from ._text import U64, bytes_of, chunks, column, lower_ascii, mix, span_hashes, window_hashes, word_spans
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
     h = span_hashes(low, a, z)
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
-    whole = mix(rolling(h, width)) if len(h) >= width else np.zeros(0, U64)
+    whole = window_hashes(h, width)
     inside = (first[1:][row] >= np.arange(len(a)) + width)[: len(whole)]
     out, of = whole[inside], row[: len(whole)][inside]
     short = np.flatnonzero((n > 0) & (n < width))
@@ -58,12 +58,22 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
 
 
 def _sequence(h: np.ndarray) -> int:
-    return int(mix(rolling(h, len(h)) + U64(len(h)))[0])
+    return int(mix(window_hashes(h, len(h)) + U64(len(h)))[0])
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(1, n + 1, dtype=U64)
-    return mix(at) | U64(1), mix(at + U64(1 << 32)) & _MASK
+    return mix(at) | U64(1), mix(at + U64(1 << 32))
+
+
+def sets(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each row, by row and hash, and their rows."""
+    by = np.argsort(h)
+    narrow = row[by].astype(np.uint16) if len(row) and row.max() < 1 << 16 else row[by]  # so that the second sort counts
+    by = by[np.argsort(narrow, kind="stable")]
+    h, row = h[by], row[by]
+    new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])) if len(h) else np.zeros(0, bool)
+    return h[new], row[new]
 
 
 def _describe(data: np.ndarray, off: np.ndarray, s: MinHashSettings) -> tuple[np.ndarray, ...]:
@@ -74,26 +84,22 @@ def _describe(data: np.ndarray, off: np.ndarray, s: MinHashSettings) -> tuple[np
     keys = np.zeros((n, len(pairs)), U64)
     factor, change = _seeds(s.collections * s.rows)
     for i, j in chunks(off):
-        for i, j in ((k, min(k + 8192, j)) for k in range(i, j, 8192)):  # rows and 50 bits of hash share a word
-            h, row = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], s.shingle)
-            if not len(h):
-                continue
-            both = np.sort((row.astype(U64) << U64(50)) | (h & _MASK))
-            both = both[np.append(True, both[1:] != both[:-1])]
-            row, h = (both >> U64(50)).astype(np.int64), both & _MASK
-            head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            have = i + row[head]
-            size[have] = np.diff(np.append(head, len(row)))
-            digest[have, 0] = np.add.reduceat(mix(h + U64(1)), head)
-            digest[have, 1] = np.add.reduceat(mix(h ^ U64(0x5DEECE66D)), head)
-            part = np.empty((s.collections, len(head)), U64)
-            for c in range(s.collections):
-                got = np.zeros(len(head), U64)
-                for k in range(c * s.rows, (c + 1) * s.rows):
-                    got = mix(got + np.minimum.reduceat(((h ^ change[k]) << U64(14)) * factor[k], head))
-                part[c] = got
-            for k, (x, y) in enumerate(pairs):
-                keys[have, k] = mix(part[x] * U64(3) + part[y] + U64(k))
+        h, row = sets(*shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], s.shingle))
+        if not len(h):
+            continue
+        head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        have = i + row[head]
+        size[have] = np.diff(np.append(head, len(row)))
+        digest[have, 0] = np.add.reduceat(mix(h + U64(1)), head)
+        digest[have, 1] = np.add.reduceat(mix(h ^ U64(0x5DEECE66D)), head)
+        part = np.empty((s.collections, len(head)), U64)
+        for c in range(s.collections):
+            got = np.zeros(len(head), U64)
+            for k in range(c * s.rows, (c + 1) * s.rows):
+                got = mix(got + np.minimum.reduceat((h ^ change[k]) * factor[k], head))
+            part[c] = got
+        for k, (x, y) in enumerate(pairs):
+            keys[have, k] = mix(part[x] * U64(3) + part[y] + U64(k))
     return size, digest, keys
 
 
@@ -146,46 +152,61 @@ def _signatures(s: MinHashSettings, shards: int):
 
 _SIGNATURE = ["doc_id", "n_shingles", "local", "shard", "d", "e", "keys"]
 _HELD = np.dtype([("key", "<u8"), ("doc", "<i8")])
+_MEMBER = np.dtype([("local", "<i8"), ("d", "<u8"), ("e", "<u8"), ("least", "<i8")])
 
 
-def _same_key(held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The least holder of each key, and the edges from the others to it."""
-    order = np.lexsort((held["doc"], held["key"]))
-    x = held[order]
+def _buckets(held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Holders by key, each once; first holder of each key; number of holders of each."""
+    x = held[np.lexsort((held["doc"], held["key"]))]
+    x = x[np.append(True, (x["key"][1:] != x["key"][:-1]) | (x["doc"][1:] != x["doc"][:-1]))] if len(x) else x
     first = np.flatnonzero(np.append(True, x["key"][1:] != x["key"][:-1])) if len(x) else np.zeros(0, np.int64)
-    least = np.repeat(x["doc"][first], np.diff(np.append(first, len(x))))
-    edge = x["doc"] != least
-    return x[first], x["doc"][edge], least[edge]
+    return x, first, np.diff(np.append(first, len(x)))
 
 
 def _classes(key: tuple, table: pa.Table, *, shards: int) -> pa.Table:
-    """Of a shard of class digests: class members (kind 0), edges between classes (kind 1), holders of table keys (kind 2)."""
+    """Of a shard of class digests: class members (kind 0) and holders of table keys, to the keys' shards (kind 1)."""
     every = np.empty(len(table), _CLASS)
     every["d"], every["e"], every["doc"] = table["d"].to_numpy().view(U64), table["e"].to_numpy().view(U64), table["local"].to_numpy()
     least, rep = _least(every)
     keys = np.frombuffer(b"".join(k for k, r in zip(table["keys"].to_pylist(), rep.tolist(), strict=True) if r), U64).reshape(int(rep.sum()), -1)
     held = np.empty(keys.size, _HELD)
     held["key"], held["doc"] = keys.ravel(), np.repeat(least[rep], keys.shape[1])
-    holders, a, b = _same_key(held)
+    held = held[np.argsort(held["key"], kind="stable")]
+    other = every["doc"] != least
+    member = np.empty(int(other.sum()), _MEMBER)
+    member["local"], member["d"], member["e"], member["least"] = every["doc"][other], every["d"][other], every["e"][other], least[other]
     own = key[0].as_py()
-    kind, shard, data = [0, 1], [own, own], [np.column_stack([every["doc"][~rep], least[~rep]]).tobytes(), np.column_stack(star(a, b)).tobytes()]
-    bounds = np.searchsorted(holders["key"], np.array([(k << 64) // shards for k in range(1, shards)], U64))
-    for k, x in enumerate(np.split(holders, bounds)):
+    kind, shard, data = [0], [own], [np.unique(member).tobytes()]
+    bounds = np.searchsorted(held["key"], np.array([(k << 64) // shards for k in range(1, shards)], U64))
+    for k, x in enumerate(np.split(held, bounds)):
         if len(x):
-            kind.append(2), shard.append(k), data.append(x.tobytes())
+            kind.append(1), shard.append(k), data.append(x.tobytes())
     return pa.table({"kind": pa.array(kind, pa.int32()), "shard": pa.array(shard, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
 def _meet(key: tuple, table: pa.Table) -> pa.Table:
-    """Class members as they are; edges between classes that hold a table key of this shard."""
+    """Class members as they are (kind 0: local, least, digests); of the keys of this shard that several classes hold, the
+    edges from each to the least (kind 1), and the members (kind 2: bucket, class). Buckets of the same members are one:
+    a bucket's number is a hash of them."""
     by = defaultdict(list)
     for kind, data in zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True):
         by[kind].append(data)
-    pairs = lambda k: np.frombuffer(b"".join(by[k]), np.int64).reshape(-1, 2)
-    _, a, b = _same_key(np.frombuffer(b"".join(by[2]), _HELD))
-    a, b = star(np.append(a, pairs(1)[:, 0]), np.append(b, pairs(1)[:, 1]))
-    m = pairs(0)
-    return pa.table({"kind": pa.array(np.repeat([0, 1], [len(m), len(a)]).astype(np.int32)), "a": pa.array(np.append(m[:, 0], a), pa.int64()), "b": pa.array(np.append(m[:, 1], b), pa.int64())})
+    member = np.frombuffer(b"".join(by[0]), _MEMBER)
+    x, first, size = _buckets(np.frombuffer(b"".join(by[1]), _HELD))
+    number = np.add.reduceat(mix(x["doc"].astype(U64) + U64(1)), first) if len(first) else np.zeros(0, U64)
+    several = np.flatnonzero(size > 1)
+    keep = np.zeros(len(size), bool)
+    keep[several[np.unique(number[several], return_index=True)[1]]] = True
+    row = np.repeat(keep, size)
+    doc, bucket = x["doc"][row], np.repeat(number[keep], size[keep]).view(np.int64)
+    least = np.repeat(x["doc"][first[keep]], size[keep])
+    a, b = star(doc[doc != least], least[doc != least])
+    kinds = np.repeat([0, 1, 2], [len(member), len(a), len(doc)]).astype(np.int32)
+    none = pa.nulls(len(a) + len(doc), pa.int64())
+    return pa.table({
+        "kind": pa.array(kinds), "a": pa.array(np.concatenate([member["local"], a, bucket]), pa.int64()), "b": pa.array(np.concatenate([member["least"], b, doc]), pa.int64()),
+        "d": pa.chunked_array([pa.array(member["d"].view(np.int64)), none]), "e": pa.chunked_array([pa.array(member["e"].view(np.int64)), none]),
+    })
 
 
 def _overlaps(hashes: list[np.ndarray], left: int, cross: bool) -> np.ndarray:
@@ -217,23 +238,21 @@ def _verify(key: tuple, table: pa.Table, *, s: MinHashSettings) -> pa.Table:
     order = np.lexsort((doc, where[:, 3], where[:, 2], where[:, 1], where[:, 0]))
     table, doc, where = table.take(pa.array(order)), doc[order], where[order]
     data, off = bytes_of(table["text"])
-    sets: list[np.ndarray] = []
+    have: list[np.ndarray] = []
     for i, j in chunks(off):
-        h, row = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], s.shingle)
-        by = np.argsort(row, kind="stable")
-        cut = np.searchsorted(row[by], np.arange(j - i + 1))
-        h = h[by]
-        sets += [np.unique(h[cut[k] : cut[k + 1]]) for k in range(j - i)]
+        h, row = sets(*shingles(data[off[i] : off[j]], off[i : j + 1] - off[i], s.shingle))
+        cut = np.searchsorted(row, np.arange(j - i + 1))
+        have += [h[cut[k] : cut[k + 1]] for k in range(j - i)]
     edges_a, edges_b = [], []
     head = np.flatnonzero(np.append(True, (where[1:, :3] != where[:-1, :3]).any(axis=1))) if len(where) else []
     for a, z in zip(head, np.append(head[1:], len(where)), strict=True):
-        have, ids = sets[a:z], doc[a:z]
+        own, ids = have[a:z], doc[a:z]
         cross = where[a, 1] != where[a, 2]
         left = int((where[a:z, 3] == where[a, 1]).sum()) if cross else 0
         if len(ids) < 2 or cross and left in (0, len(ids)):
             continue
-        size = np.array([len(h) for h in have])
-        both = np.rint(_overlaps(have, left, cross)).astype(np.int64)
+        size = np.array([len(h) for h in own])
+        both = np.rint(_overlaps(own, left, cross)).astype(np.int64)
         union = (size[:left, None] + size[None, left:] if cross else size[:, None] + size[None, :]) - both
         i, j = np.nonzero((100 * both >= s.percent * union) & (union > 0))
         p, q = star(ids[i], ids[left + j] if cross else ids[j])
@@ -253,32 +272,49 @@ def squares(clusters: DataFrame, side: int, shards: int) -> DataFrame:
     return d.withColumn("shard", F.pmod(F.xxhash64("cluster", "x", "y"), F.lit(shards)).cast("int"))
 
 
+def _groups(near: DataFrame, buckets: DataFrame, side: int) -> DataFrame:
+    """(id, cluster): which classes to compare with which. The components of candidates, but of those of more than `side`
+    classes that take more comparisons than all their buckets together the buckets."""
+    nodes = near.select("id", F.col("component").alias("cluster")).unionByName(near.select(F.col("component").alias("id"), F.col("component").alias("cluster")).distinct())
+    nodes = written(nodes, "clusters")
+    large = nodes.groupBy("cluster").count().where(F.col("count") > side)
+    inside = written(buckets.join(nodes.join(large.select("cluster"), "cluster", "left_semi"), "id").distinct(), "buckets")
+    work = inside.groupBy("cluster", "bucket").count().groupBy("cluster").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("work"))
+    split = work.join(large, "cluster").where(F.col("work") < F.col("count").cast("double") * F.col("count")).select("cluster")
+    split = written(split, "split")
+    return written(nodes.join(split, "cluster", "left_anti").select("id", "cluster").unionByName(inside.join(split, "cluster", "left_semi").select("id", F.xxhash64("cluster", "bucket").alias("cluster"))), "groups")
+
+
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, settings: MinHashSettings | None = None) -> DataFrame:
     """Links documents whose sets of word shingles have a similarity of `settings.percent` hundredths or more.
 
     Returns per row: doc_id, n_shingles (size of the set), component_id (smallest id reachable over links, its own
     included), kept (doc_id = component_id). Letters A-Z count as a-z; words are runs of bytes other than blank, tab,
-    line and page ends. A text of fewer words than a shingle has one shingle of all of them.
+    line and page ends. A text of fewer words than a shingle has one shingle of all of them. Shingles are told apart by
+    64-bit hashes.
 
     A null, empty or wordless text has an empty set and links with nothing. Rows with one id are one document whose
-    links are those of all its rows. A row without an id links with nothing, has no component and is kept. An empty
-    table gives none.
+    links are those of all its rows, and each row is returned. A row without an id links with nothing, has no component
+    and is kept. An empty table gives none.
     """
     s = settings or MinHashSettings()
-    n = parts(docs.sparkSession)
+    n = parts(docs)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = written(d.mapInArrow(_signatures(s, n), "doc_id long, n_shingles long, local long, shard int, d long, e long, keys binary"), "signatures")
     held = signed.where("keys is not null").groupBy("shard").applyInArrow(by_key(_classes, shards=n), "kind int, shard int, data binary")
-    met = written(held.groupBy("shard").applyInArrow(by_key(_meet), "kind int, a long, b long"), "candidates")
-    members = met.where("kind = 0").select("a", "b")
-    near = components(met.where("kind = 1"))
-    clusters = written(near.select("id", F.col("component").alias("cluster")).unionByName(near.select(F.col("component").alias("id"), F.col("component").alias("cluster")).distinct()), "clusters")
-    where = squares(clusters, s.square, n)
+    met = written(held.groupBy("shard").applyInArrow(by_key(_meet), "kind int, a long, b long, d long, e long"), "candidates")
+    members = met.where("kind = 0").select(F.col("a").alias("local"), F.col("b").alias("_class"), "d", "e")
+    near = components(met.where("kind = 1").select("a", "b"))
+    groups = _groups(near, met.where("kind = 2").select(F.col("a").alias("bucket"), F.col("b").alias("id")), s.square)
+    where = squares(groups, s.square, n)
     texts = where.join(d.where("doc_id is not null").withColumnRenamed("doc_id", "id"), "id").select(F.col("id").alias("doc_id"), "text", "cluster", "x", "y", "side", "shard")
     links = texts.groupBy("shard").applyInArrow(by_key(_verify, s=s), "a long, b long")
-    found = components(links)
-    out = signed.select("doc_id", "n_shingles", "local")
-    out = out.join(members.select(F.col("a").alias("local"), F.col("b").alias("_class")), "local", "left").withColumn("_class", F.coalesce("_class", "local", "doc_id"))
+    # an id that stands in several classes joins them
+    own = signed.where("d is not null").select("doc_id", "local", "d", "e")
+    several = own.groupBy("doc_id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("d", "e") for f in (F.min, F.max))).where("min_d <> max_d or min_e <> max_e").select("doc_id")
+    joined = own.join(written(several, "several"), "doc_id", "left_semi").join(members, ["local", "d", "e"], "left").select(F.col("doc_id").alias("a"), F.coalesce("_class", "local").alias("b")).where("a <> b").distinct()
+    out = signed.select("doc_id", "n_shingles", "local", "d", "e").join(members, ["local", "d", "e"], "left").withColumn("_class", F.coalesce("_class", "local", "doc_id"))
+    found = components(links.unionByName(joined))
     out = out.join(found.select(F.col("id").alias("_class"), "component"), "_class", "left")
     component = F.coalesce("component", "_class")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

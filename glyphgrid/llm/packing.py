@@ -111,7 +111,7 @@ def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     without an id too. Lengths must not be negative; such count as 0. An empty table gives none.
     """
     s = settings or PackingSettings()
-    n = shards or parts(docs.sparkSession)
+    n = shards or parts(docs)
     count = F.greatest(F.coalesce(n_tokens if n_tokens is not None else word_count(F.col(text_col)), F.lit(0)), F.lit(0)).cast("long")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), count.alias("n_tokens"))
     d = d.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(n)).cast("int"))

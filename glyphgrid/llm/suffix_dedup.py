@@ -324,8 +324,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id don't take passages from each other; rows without an id come after all others. An empty table gives none.
     """
     s = settings or SuffixSettings()
-    n = parts(docs.sparkSession)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), block_of(F.col(id_col).cast("long"), s.blocks * n).alias("block"), *(F.col(c).alias(f"c_{c}") for c in carry))
+    n = parts(docs)
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), block_of(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))), s.blocks * n).alias("block"), *(F.col(c).alias(f"c_{c}") for c in carry))
     kinds = {f.name: f.dataType.simpleString() for f in d.schema}
     sent = d.groupBy("block").applyInArrow(by_key(_send, s=s, shards=n), "shard int, block int, data binary")
     answers = sent.groupBy("shard").applyInArrow(by_key(_answer), "block int, shard int, data binary")

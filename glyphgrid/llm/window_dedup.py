@@ -1,11 +1,11 @@
 """Removal of word windows that stand earlier in the corpus, behind a count-min prefilter.
 
-First pass: each block of texts sketches its windows and sends each shard its part of the sketch, sparsely: the
-distinct fingerprints with a mark for those the block holds more than once. A shard merges the parts into a
-count-min sketch (rows of saturating counters, whose least counter never falls short of the true count) and answers
-which windows it estimates repeated. Second pass: only those are grouped exactly, by a 128-bit hash, to find which
-occurrence is first. A window that occurs twice is always estimated repeated, so none is lost; one that does not
-merely takes part in the exact pass in vain.
+First pass: each block of texts sketches its windows: counters that saturate at two, in rows of cells that different bits of
+a window's hash choose. Sketches are sparse, so that a block sends only the cells it touches, to the shard that the hash
+names. Shards merge the sketches by adding the counters, folded to a width that fits what arrived, and answer for each
+cell sent whether the sum is two or more. A window all of whose cells say so is estimated repeated; sums never fall short
+of true counts, so no repeated window is missed. Second pass: only windows estimated repeated are sent, by 128 bits of
+hash, and grouped exactly, to find which occurrence is first.
 """
 
 from __future__ import annotations
@@ -19,26 +19,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._session import block_of, by_key, by_key2, parts
-from ._text import U64, bytes_of, chunks, column, mix, rolling, span_hashes, word_spans
-
-_LAST = np.iinfo(np.int64).max
-_CELLS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0xD6E8FEB86659FD93))
+from ._text import U64, bytes_of, chunks, column, span_hashes, window_hashes, word_spans
 
 
 @dataclass(frozen=True)
 class WindowSettings:
-    """window: words of a window. depth, width_bits: rows and binary logarithm of the counters a row of a shard's sketch."""
+    """window: words of a window. depth: rows of the sketch, 3 at most. width_bits: binary logarithm of the cells of a row in a
+    shard, 32 at most; shards fold rows to eight to sixteen cells for each one sent, where that is less."""
 
     window: int = 20
     depth: int = 2
-    width_bits: int = 24
+    width_bits: int = 26
 
 
 class _Block:
-    """The texts of one block in id order, rows without an id last, with their words and windows."""
+    """The texts of one block in order, with their words and windows."""
 
     def __init__(self, table: pa.Table, s: WindowSettings):
-        ids = column(table["doc_id"]).fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = column(table["place"]).to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")
         if len(ids) and (np.diff(ids[order]) == 0).any():
             texts = column(table["text"]).to_pylist()
@@ -54,77 +52,117 @@ class _Block:
             a, z = word_spans(self.data[lo:hi], local)
             yield i, j, lo, a, z, np.searchsorted(a, local)
 
-    def windows(self, seeds: tuple[int, ...] = (0, 1)) -> None:
-        """Hashes of the windows in order, by seed; their rows; and the number of words and of windows of each row."""
+    def windows(self) -> None:
+        """Two hashes of each window, in order; and the number of words and of windows of each row."""
         n = self.s.window
-        hashes: list[list[np.ndarray]] = [[] for _ in seeds]
+        hashes: tuple[list[np.ndarray], ...] = ([], [])
         self.n_words = np.zeros(len(self.ids), np.int64)
         for i, j, lo, a, z, first in self.words():
             self.n_words[i:j] = np.diff(first)
             if len(a) < n:
                 continue
             inside = np.repeat(first[1:], np.diff(first)) >= np.arange(len(a)) + n
-            for out, seed in zip(hashes, seeds, strict=True):
-                h = rolling(span_hashes(self.data[lo : self.off[j]], a, z, seed), n)
-                out.append(mix(h[inside[: len(h)]]))
+            for seed, out in enumerate(hashes):
+                h = window_hashes(span_hashes(self.data[lo : self.off[j]], a, z, seed), n)
+                out.append(h[inside[: len(h)]])
         self.hashes = [np.concatenate(x) if x else np.zeros(0, U64) for x in hashes]
         self.n_windows = np.maximum(self.n_words - n + 1, 0)
 
+    def cells(self, row: int, shards: int) -> np.ndarray:
+        """Shard and cell of each window in a row of the sketch, as one number."""
+        h, g = self.hashes
+        bits = (h, g, g >> U64(32))[row] & U64(0xFFFFFFFF)
+        return (((h >> U64(32)) * U64(shards) >> U64(32)) << U64(32)) | (bits >> U64(32 - self.s.width_bits))
+
     def distinct(self, shards: int) -> tuple[np.ndarray, ...]:
-        """Distinct windows by (shard, hash): hash, place of the first occurrence, whether there are more, shard bounds; and each window's number."""
-        h = self.hashes[0]
+        """Distinct windows, by both hashes, in shards' order: place of the first occurrence, shard bounds; and each window's number."""
+        h, g = self.hashes
         by = np.argsort(h, kind="stable")
-        v = h[by]
-        first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(v)))
+        v, w = h[by], g[by]
+        if ((v[1:] == v[:-1]) & (w[1:] != w[:-1])).any():
+            by = np.lexsort((g, h))
+            v, w = h[by], g[by]
+        first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1]))) if len(v) else np.zeros(0, np.int64)
         of = np.empty(len(v), np.int32)
-        of[by] = np.repeat(np.arange(len(first), dtype=np.int32), size)
+        of[by] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(v))))
         # hashes are sorted, so that the shards, which are their ranges, are too
-        edges = [(k << 64) // shards for k in range(1, shards)]
-        bounds = np.concatenate([[0], np.searchsorted(v[first], np.array(edges, U64)), [len(first)]])
-        return v[first], by[first], size > 1, bounds, of
+        bounds = np.searchsorted((v[first] >> U64(32)) * U64(shards) >> U64(32), np.arange(shards + 1, dtype=U64))
+        return by[first], bounds, of
+
+
+def _gaps(cells: np.ndarray) -> bytes:
+    """Ascending numbers as differences, each in as many bytes of seven bits as it needs."""
+    d = np.diff(cells, prepend=U64(0)).astype(U64)
+    size = 1 + sum((d >= U64(1 << (7 * k))).astype(np.int64) for k in range(1, 5))
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(5):
+        live = size > k
+        if not live.any():
+            break
+        out[at[live] + k] = ((d[live] >> U64(7 * k)) & U64(127)).astype(np.uint8) | ((size[live] > k + 1).astype(np.uint8) << 7)
+    return out.tobytes()
+
+
+def _from_gaps(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    head = np.flatnonzero(np.append(True, raw[:-1] < 128))
+    place = np.arange(len(raw)) - np.repeat(head, np.diff(np.append(head, len(raw))))
+    return np.cumsum(np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), head))
 
 
 def _sketch(key: tuple, table: pa.Table, *, s: WindowSettings, shards: int) -> pa.Table:
+    """The block's sketch: of each row and shard the cells touched, and a bit for those whose counter is two."""
     b = _Block(table, s)
-    b.windows(seeds=(0,))
-    h, _, several, bounds, _ = b.distinct(shards)
-    prints = h.astype(np.uint32)
-    some = np.flatnonzero(np.diff(bounds))
-    data = [prints[bounds[k] : bounds[k + 1]].tobytes() + np.packbits(several[bounds[k] : bounds[k + 1]]).tobytes() for k in some]
-    return pa.table({"shard": pa.array(some.astype(np.int32)), "block": pa.array(np.full(len(some), key[0].as_py(), np.int32)), "n": pa.array(np.diff(bounds)[some].astype(np.int32)), "data": pa.array(data, pa.binary())})
-
-
-def _estimate(key: tuple, table: pa.Table, *, s: WindowSettings) -> pa.Table:
-    """Merges the parts of a sketch; answers each with a bit for every window whose estimated count is two or more."""
-    sent = [(np.frombuffer(x, "<u4", n), np.unpackbits(np.frombuffer(x, np.uint8, -1, 4 * n))[:n]) for n, x in zip(table["n"].to_pylist(), table["data"].to_pylist(), strict=True)]
-    count = np.full(sum(len(p) for p, _ in sent), 2, np.uint8)
-    for seed in _CELLS[: s.depth]:
-        row = np.zeros(1 << s.width_bits, np.uint8)
-        cells = [((p.astype(U64) + U64(1)) * seed >> U64(64 - s.width_bits)).astype(np.int64) for p, _ in sent]
-        for c, (_, several) in zip(cells, sent, strict=True):  # counters saturate at 2
-            c = np.sort(c)
-            row[c[1:][c[1:] == c[:-1]]] = 2
-            row[c] = np.minimum(row[c] + 1, 2)
-        for c, (_, several) in zip(cells, sent, strict=True):
-            row[c[several.astype(bool)]] = 2
-        at = 0
-        for c in cells:
-            count[at : at + len(c)] = np.minimum(count[at : at + len(c)], row[c])
-            at += len(c)
-    out, at = [], 0
-    for p, _ in sent:
-        out.append(np.packbits(count[at : at + len(p)] >= 2).tobytes())
-        at += len(p)
-    return pa.table({"block": table["block"], "shard": table["shard"], "data": pa.array(out, pa.binary())})
-
-
-def _marked(answers: pa.Table, bounds: np.ndarray) -> np.ndarray:
-    mark = np.zeros(int(bounds[-1]), bool)
-    for k, data in zip(answers["shard"].to_pylist(), answers["data"].to_pylist(), strict=True):
-        n = int(bounds[k + 1] - bounds[k])
-        mark[bounds[k] : bounds[k + 1]] = np.unpackbits(np.frombuffer(data, np.uint8))[:n]
-    return mark
+    b.windows()
+    shard, row, data, twice = [], [], [], []
+    for r in range(s.depth):
+        c = np.sort(b.cells(r, shards))
+        head = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
+        more, c = np.diff(np.append(head, len(c))) > 1, c[head]
+        cut = np.searchsorted(c >> U64(32), np.arange(shards + 1, dtype=U64))
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            part = slice(cut[k], cut[k + 1])
+            shard.append(k), row.append(r), data.append(_gaps(c[part] & U64(0xFFFFFFFF))), twice.append(np.packbits(more[part]).tobytes())
+    n = len(shard)
+    return pa.table({"shard": pa.array(shard, pa.int32()), "block": pa.array([key[0].as_py()] * n, pa.int32()), "row": pa.array(row, pa.int32()), "data": pa.array(data, pa.binary()), "twice": pa.array(twice, pa.binary())})
+
+
+def _merge(key: tuple, table: pa.Table, *, s: WindowSettings) -> pa.Table:
+    """Adds up the blocks' sketches of a shard; answers each with a bit for every cell whose sum is two or more."""
+    rows, out = table["row"].to_numpy(), [b""] * len(table)
+    for r in range(s.depth):
+        own = np.flatnonzero(rows == r).tolist()
+        cells = [_from_gaps(table["data"][k].as_py()) for k in own]
+        fold = max(0, s.width_bits - (8 * max(1, sum(map(len, cells)))).bit_length())
+        count = np.zeros(1 << (s.width_bits - fold), np.uint8)
+        for k, c in zip(own, cells, strict=True):  # a block's cells differ, but may fold into one
+            c >>= fold
+            more = np.unpackbits(np.frombuffer(table["twice"][k].as_py(), np.uint8))[: len(c)]
+            if fold:
+                count[c[1:][c[1:] == c[:-1]]] = 2
+            count[c] = np.minimum(count[c] + 1 + more, 2)
+        for k, c in zip(own, cells, strict=True):
+            out[k] = np.packbits(count[c] >= 2).tobytes()
+    return pa.table({"block": table["block"], "shard": table["shard"], "row": table["row"], "data": pa.array(out, pa.binary())})
+
+
+def _repeated(b: _Block, answers: pa.Table, shards: int) -> np.ndarray:
+    """Whether each window is estimated repeated: all its cells are at two."""
+    out = np.ones(len(b.hashes[0]), bool)
+    shard, row = answers["shard"].to_numpy(), answers["row"].to_numpy()
+    for r in range(b.s.depth):
+        c = b.cells(r, shards)
+        by = np.argsort(c)
+        c = c[by]
+        head = np.append(True, c[1:] != c[:-1]) if len(c) else np.zeros(0, bool)
+        cut = np.searchsorted(c[head] >> U64(32), np.arange(shards + 1, dtype=U64))
+        mark = np.zeros(int(head.sum()), bool)
+        for k in np.flatnonzero(row == r).tolist():
+            x, y = int(cut[shard[k]]), int(cut[shard[k] + 1])
+            mark[x:y] = np.unpackbits(np.frombuffer(answers["data"][k].as_py(), np.uint8))[: y - x]
+        out[by] &= mark[np.cumsum(head) - 1]
+    return out
 
 
 _EXACT = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8")])
@@ -134,13 +172,13 @@ def _exact(key: tuple, docs: pa.Table, answers: pa.Table, *, s: WindowSettings,
     """For each window estimated repeated: its two hashes and the block's first document with it. A mark keeps the order."""
     b = _Block(docs, s)
     b.windows()
-    h, place, _, bounds, _ = b.distinct(shards)
-    mark = _marked(answers, bounds)
+    place, bounds, _ = b.distinct(shards)
+    mark = _repeated(b, answers, shards)[place]
     row = np.repeat(np.arange(len(b.ids)), b.n_windows)
     every = np.empty(int(mark.sum()), _EXACT)
-    every["h"], every["g"], every["doc"] = h[mark], b.hashes[1][place[mark]], b.ids[row[place[mark]]]
+    every["h"], every["g"], every["doc"] = b.hashes[0][place[mark]], b.hashes[1][place[mark]], b.ids[row[place[mark]]]
     at = np.append(0, np.cumsum(mark))[bounds]
-    some = np.flatnonzero(np.diff(bounds))
+    some = np.flatnonzero(np.diff(at))
     return pa.table({"shard": pa.array(some.astype(np.int32)), "block": pa.array(np.full(len(some), key[0].as_py(), np.int32)), "bits": pa.array([np.packbits(mark[bounds[k] : bounds[k + 1]]).tobytes() for k in some], pa.binary()), "data": pa.array([every[at[k] : at[k + 1]].tobytes() for k in some], pa.binary())})
 
 
@@ -164,8 +202,8 @@ def _first(key: tuple, table: pa.Table) -> pa.Table:
 
 def _cut(key: tuple, docs: pa.Table, answers: pa.Table, *, s: WindowSettings, shards: int) -> pa.Table:
     b = _Block(docs, s)
-    b.windows(seeds=(0,))
-    _, place, _, bounds, of = b.distinct(shards)
+    b.windows()
+    place, bounds, of = b.distinct(shards)
     elsewhere = np.zeros(int(bounds[-1]), bool)
     for k, bits, data in zip(answers["shard"].to_pylist(), answers["bits"].to_pylist(), answers["data"].to_pylist(), strict=True):
         n = int(bounds[k + 1] - bounds[k])
@@ -211,13 +249,16 @@ def window_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bytes other than blank, tab, line and page ends, unchanged. Windows are judged on the input.
 
     A null text has no words. Texts of fewer words than a window lose none. Rows with one id count as one document
-    in the order of their texts; rows without an id come after all others. An empty table gives none.
+    in the order of their texts. Rows without an id come after all others, ordered by a hash of their texts (from 2 ** 62
+    on among the ids), so that rows of equal texts are one document. An empty table gives none.
     """
     s = settings or WindowSettings()
-    n = parts(docs.sparkSession)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), block_of(F.col(id_col).cast("long"), n).alias("block"))
-    sketch = d.groupBy("block").applyInArrow(by_key(_sketch, s=s, shards=n), "shard int, block int, n int, data binary")
-    repeated = sketch.groupBy("shard").applyInArrow(by_key(_estimate, s=s), "block int, shard int, data binary")
+    n = parts(docs)
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    place = F.coalesce(doc_id, F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(1 << 62))
+    d = docs.select(doc_id.alias("doc_id"), text.alias("text"), place.alias("place"), block_of(place, n).alias("block"))
+    sketch = d.groupBy("block").applyInArrow(by_key(_sketch, s=s, shards=n), "shard int, block int, row int, data binary, twice binary")
+    repeated = sketch.groupBy("shard").applyInArrow(by_key(_merge, s=s), "block int, shard int, row int, data binary")
     exact = d.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(by_key2(_exact, s=s, shards=n), "shard int, block int, bits binary, data binary")
     answers = exact.groupBy("shard").applyInArrow(by_key(_first), "block int, shard int, bits binary, data binary")
     return d.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(by_key2(_cut, s=s, shards=n), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -13,7 +13,7 @@ from glyphgrid.llm.minhash_dedup import MinHashSettings, minhash_dedup
 from glyphgrid.llm.suffix_dedup import SuffixSettings, suffix_dedup
 from glyphgrid.llm.window_dedup import WindowSettings, window_dedup
 
-from .helpers import odd_documents, words
+from .helpers import odd_documents, spark_hash, words
 
 
 def test_suffix_array_and_common_prefixes():
@@ -73,8 +73,7 @@ def test_empty_tables(spark):
 
 
 def brute_windows(rows, n):
-    last = 1 << 62
-    order = sorted(((last if i is None else i, t or "", k) for k, (i, t) in enumerate(rows)))
+    order = sorted((((1 << 62) + (spark_hash(t) >> 2) if i is None else i, t or "", k) for k, (i, t) in enumerate(rows)))
     seen, out = set(), {}
     for _, t, k in order:
         w = words(t)
@@ -89,7 +88,7 @@ def brute_windows(rows, n):
     return list(out.values())
 
 
-@pytest.mark.parametrize("settings", [WindowSettings(), WindowSettings(depth=1, width_bits=4), WindowSettings(window=3)])
+@pytest.mark.parametrize("settings", [WindowSettings(), WindowSettings(depth=1, width_bits=4), WindowSettings(window=3), WindowSettings(depth=3, width_bits=12)])
 def test_window_dedup_is_exact(spark, settings):
     df, rows = odd_documents(spark, seed=3)
     got = [tuple(r) for r in window_dedup(df, settings=settings).collect()]

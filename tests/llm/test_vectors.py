@@ -13,7 +13,7 @@ from glyphgrid.llm.exact_topk import TopKSettings, exact_topk
 SCHEMA = "vec_id long, embedding array<float>, label int, id string, shard int, pivot int"
 
 
-def odd_vectors(spark, n=150, dim=16, seed=0):
+def odd_vectors(spark, n=150, dim=16, seed=0, shared_ids=False):
     rng = np.random.default_rng(seed)
     rows = []
     for i in range(n):
@@ -23,6 +23,8 @@ def odd_vectors(spark, n=150, dim=16, seed=0):
         if i % 10 == 7:
             v = np.array(rows[-1][1])
         rows.append((i * 2, [float(np.float32(x)) for x in v], int(i // 30)))
+    if shared_ids:  # ids that stand in several rows, alike or not
+        rows += [rows[4]] * 3 + [(4, rows[20][1], 0), (4, rows[40][1], 1), (8, rows[100][1], rows[100][2])]
     rows += [rows[4], (1001, None, 1), (1003, [0.0] * dim, 1), (1005, [1.0, None] * (dim // 2), 1), (1007, [float("nan")] * dim, 1), (1009, [float("inf")] * dim, 1), (1011, rows[0][1], None), (None, rows[0][1], 0), (1013, [1.0, 2.0], 1), (1015, [], 1), (1000, [3e38] * dim, 2)]
     random.Random(seed).shuffle(rows)
     return spark.createDataFrame([(*r, "x", 1, 2) for r in rows], SCHEMA).repartition(3), rows
@@ -50,12 +52,13 @@ def brute_links(rows, least):
                 links[a] += 1
                 x, y = find(rows[a][0]), find(rows[b][0])
                 parent[max(x, y)] = min(x, y)
-    return [(i, k, None if i is None else find(i), i is None or find(i) == i) for (i, _, _), k in zip(rows, links, strict=True)]
+    ends = [None if i is None else find(i) if k else i for (i, _, _), k in zip(rows, ok, strict=True)]
+    return [(i, k, e, e is None or e == i) for (i, _, _), k, e in zip(rows, links, ends, strict=True)]
 
 
-@pytest.mark.parametrize("settings", [PivotSettings(), PivotSettings(square=8, pivots=32, prefix=8), PivotSettings(sample=40)])
+@pytest.mark.parametrize("settings", [PivotSettings(), PivotSettings(square=8, least_pivots=32), PivotSettings(density=0.1, least_pivots=5)])
 def test_embedding_dedup_matches_brute_force(spark, settings):
-    df, rows = odd_vectors(spark)
+    df, rows = odd_vectors(spark, shared_ids=True)
     got = [tuple(r) for r in embedding_dedup(df, settings=settings).collect()]
     assert Counter(got) == Counter(brute_links(rows, settings.cosine))
 
