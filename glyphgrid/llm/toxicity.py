@@ -2,7 +2,7 @@
 
 Tokens are runs of letters in lower case; their features are the word, its head and its tail, hashed. The field is
 trained on the driver from a bounded sample of labelled documents: tokens of toxic documents count as toxic where the
-word is far commoner in toxic than in other documents, judged on the same sample. Forward-backward marginals give each
+word is far commoner in toxic than in other documents, judged on the same sample by the distinct surroundings it has there. Forward-backward marginals give each
 token's probability; a logistic model of their sum and maximum, fitted on documents that the field wasn't trained on,
 gives the document's score, and runs of tokens above one half its offending spans.
 
@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import give_back
-from ._text import U64, Hasher, bytes_of, chunks, letter_spans, lower_ascii, ragged
+from ._session import give_back, written
+from ._text import U64, Hasher, bytes_of, chunks, letter_spans, lower_ascii, mix, ragged
 
 _SEGMENT = 64
 #: Tokens of the training sample that are worked on at a time.
@@ -30,15 +30,19 @@ _PART = 1 << 18
 @dataclass(frozen=True)
 class ToxicitySettings:
     """toxic_sample, clean_sample: labelled documents at most of each kind that the model is fitted on, those of least
-    hash. least_documents, least_odds: toxic documents with a word, and its log odds, from which its tokens count as
-    toxic. bits: binary logarithm of the feature table. rounds, rate, decay: of the training. fold: one in so many
-    documents is held out, by the checksum of its id."""
+    hash. sample_bytes: bytes of their texts at most, the first ones by hash that fit. least_contexts, least_odds:
+    surroundings that a word has in toxic documents, and its log odds by them, from which its tokens count as toxic;
+    copies of a passage give the same surroundings and so count once. fit_tokens: tokens at most that the field's weights are
+    trained on, in documents of a sixteenth of it at most. bits: binary logarithm of the feature table.
+    rounds, rate, decay: of the training. fold: one in so many documents is held out, by the checksum of its id."""
 
     toxic_sample: int = 2500
-    clean_sample: int = 3500
-    least_documents: int = 4
+    clean_sample: int = 5000
+    sample_bytes: int = 16 << 20
+    least_contexts: int = 4
     least_odds: float = 2.5
-    bits: int = 18
+    fit_tokens: int = 1 << 20
+    bits: int = 20
     rounds: int = 30
     rate: float = 0.3
     decay: float = 1e-6
@@ -67,6 +71,13 @@ def token_features(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.nda
     return a, z, np.searchsorted(a, off), features
 
 
+def _surroundings(data: np.ndarray, off: np.ndarray, a: np.ndarray, z: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hash of the twelve bytes of its text before and behind each token."""
+    h = Hasher(lower_ascii(data))
+    row = np.repeat(np.arange(len(off) - 1), np.diff(first))
+    return mix(h(np.maximum(a - 12, off[row]), a) * U64(0x9E3779B97F4A7C15) + h(z, np.minimum(z + 12, off[row + 1])))
+
+
 def _segments(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, length, place in its document, document) of each segment."""
     n = np.diff(first)
@@ -78,59 +89,66 @@ def _segments(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def marginals(score: np.ndarray, first: np.ndarray, transitions: np.ndarray, pairs: bool = False):
-    """Probability of the toxic tag of each token of documents that begin at tokens `first`; with `pairs`, also the expected transitions."""
+    """Probability of the toxic tag of each token of documents that begin at tokens `first`; with `pairs`, also the expected transitions.
+
+    With two tags, a message is the ratio of its two parts. Segments are ordered by length, so that those with a k-th token
+    come first."""
+    expected = np.zeros((2, 2))
     if not len(score):
-        return (score, np.zeros((2, 2))) if pairs else score
-    t = np.exp(transitions)
+        return (score, expected) if pairs else score
+    (t00, t01), (t10, t11) = np.exp(transitions)
     start, length, place, doc = _segments(first)
-    m = len(start)
-    at = start[:, None] + np.arange(_SEGMENT)[None, :]
-    live = np.arange(_SEGMENT)[None, :] < length[:, None]
-    e = np.where(live, score[np.minimum(at, len(score) - 1)], 0.0)
-    e1, e0 = 1 / (1 + np.exp(-e)), 1 / (1 + np.exp(e))  # potentials, scaled
-    del at, e
-    head = place == 0
+    by = np.argsort(-length, kind="stable")
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    start, length, head = start[by], length[by], place[by] == 0
+    live = np.searchsorted(-length, -np.arange(_SEGMENT))  # segments longer than k
+    at = np.minimum(start[None, :] + np.arange(_SEGMENT)[:, None], len(score) - 1)
+    w = np.exp(np.clip(score, -30, 30))[at]
     # products of the segments' step matrices; the first token of a document has no step before it
-    p = np.zeros((m, 2, 2))
-    p[:, 0, 0] = p[:, 1, 1] = 1
-    for k in range(_SEGMENT):
-        q = p @ t if k else np.where(head[:, None, None], p, p @ t)
-        q = q * np.stack([e0[:, k], e1[:, k]], axis=1)[:, None, :]
-        q /= q.sum(axis=(1, 2), keepdims=True)
-        p = np.where(live[:, k, None, None], q, p)
-    into, onto = np.full((m, 2), 0.5), np.full((m, 2), 0.5)  # messages into a segment from its left and its right
-    order = np.argsort(place, kind="stable")
-    bounds = np.searchsorted(place[order], np.arange(int(place.max()) + 2))
-    for k in range(1, len(bounds) - 1):
-        s = order[bounds[k] : bounds[k + 1]]
-        v = np.einsum("ni,nij->nj", into[s - 1], p[s - 1])
-        into[s] = v / v.sum(axis=1, keepdims=True)
-    for k in range(len(bounds) - 2, 0, -1):
-        s = order[bounds[k] : bounds[k + 1]]
-        v = np.einsum("nij,nj->ni", p[s], onto[s])
-        onto[s - 1] = v / v.sum(axis=1, keepdims=True)
-    forward = np.empty((_SEGMENT, m, 2))
-    v = into
-    for k in range(_SEGMENT):
-        q = v @ t if k else np.where(head[:, None], v, v @ t)
-        q = q * np.stack([e0[:, k], e1[:, k]], axis=1)
-        v = forward[k] = q / q.sum(axis=1, keepdims=True)
-    out = np.empty((m, _SEGMENT))
-    expected = np.zeros((2, 2))
-    v = onto
+    a, b = np.where(head, 1, t00), np.where(head, 0, t01 * w[0])
+    c, d = np.where(head, 0, t10), np.where(head, w[0], t11 * w[0])
+    into, onto = np.ones(len(by)), np.ones(len(by))
+    if int(place.max()):
+        for k in range(1, _SEGMENT):
+            n = live[k]
+            u, v, x, y = a[:n], b[:n], c[:n], d[:n]
+            u, v, x, y = u * t00 + v * t10, (u * t01 + v * t11) * w[k, :n], x * t00 + y * t10, (x * t01 + y * t11) * w[k, :n]
+            z = 1 / (u + v + x + y)
+            a[:n], b[:n], c[:n], d[:n] = u * z, v * z, x * z, y * z
+        order = np.argsort(place, kind="stable")
+        bounds = np.searchsorted(place[order], np.arange(int(place.max()) + 2))
+        for k in range(1, len(bounds) - 1):
+            s = order[bounds[k] : bounds[k + 1]]
+            now, before = rank[s], rank[s - 1]
+            r = into[before]
+            into[now] = (b[before] + r * d[before]) / (a[before] + r * c[before])
+        for k in range(len(bounds) - 2, 0, -1):
+            s = order[bounds[k] : bounds[k + 1]]
+            now, before = rank[s], rank[s - 1]
+            r = onto[now]
+            onto[before] = (c[now] + d[now] * r) / (a[now] + b[now] * r)
+    forward = np.empty((_SEGMENT, len(by)))
+    r = forward[0] = np.where(head, into, (t01 + into * t11) / (t00 + into * t10)) * w[0]
+    for k in range(1, _SEGMENT):
+        r = r[: live[k]]
+        r = forward[k, : live[k]] = (t01 + r * t11) / (t00 + r * t10) * w[k, : live[k]]
+    out = np.empty(len(score))
     for k in range(_SEGMENT - 1, -1, -1):
-        b = np.where(live[:, k, None], v, onto)
-        both = forward[k] * b
-        out[:, k] = both[:, 1] / both.sum(axis=1)
-        pot = np.stack([e0[:, k], e1[:, k]], axis=1) * b
+        n = live[k]
+        o = onto[:n]
+        both = forward[k, :n] * o
+        out[at[k, :n]] = both / (1 + both)
+        pot = w[k, :n] * o
         if pairs:
-            left = forward[k - 1] if k else into
-            x = left[:, :, None] * t[None] * pot[:, None, :]
-            x /= x.sum(axis=(1, 2), keepdims=True)
-            expected += x[live[:, k] & ~head if k == 0 else live[:, k]].sum(axis=0)
-        v = pot @ t.T
-        v = np.where(live[:, k, None], v / v.sum(axis=1, keepdims=True), onto)
-    return (out[live], expected) if pairs else out[live]
+            left = forward[k - 1, :n] if k else into
+            x01, x10, x11 = t01 * pot, t10 * left, t11 * left * pot
+            z = 1 / (t00 + x01 + x10 + x11)
+            if not k:
+                z = np.where(head, 0, z)
+            expected += [[t00 * z.sum(), (x01 * z).sum()], [(x10 * z).sum(), (x11 * z).sum()]]
+        onto[:n] = (t10 + t11 * pot) / (t00 + t01 * pot)
+    return (out, expected) if pairs else out
 
 
 def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -170,25 +188,37 @@ def train(texts: list[str | None], toxic: list[int], s: ToxicitySettings) -> Crf
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.01
         return CrfModel(np.zeros(size, np.float32), -9.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0, 0, 0]), s.bits)
     data, off = bytes_of(pa.array(texts, pa.string()))
-    got = [token_features(data[off[i] : off[j]], off[i : j + 1] - off[i], s.bits)[2:] for i, j in chunks(off, 1 << 20)]
-    first = np.append(0, np.cumsum(np.concatenate([np.diff(x) for x, _ in got])))
-    features = np.concatenate([x for _, x in got], axis=1)
+    got = []
+    for i, j in chunks(off, 1 << 20):
+        own, local = data[off[i] : off[j]], off[i : j + 1] - off[i]
+        a, z, n, f = token_features(own, local, s.bits)
+        got.append((n, f, _surroundings(own, local, a, z, n)))
+    first = np.append(0, np.cumsum(np.concatenate([np.diff(x) for x, _, _ in got])))
+    features = np.concatenate([x for _, x, _ in got], axis=1)
+    around = np.concatenate([x for _, _, x in got]) >> U64(s.bits + 1)
     del got
     doc = np.repeat(np.arange(len(y)), np.diff(first))
     fit = np.arange(len(y)) % 5 != 4
-    seen = np.unique((doc[fit[doc]] << s.bits) | features[0][fit[doc]])
-    word, of = seen & (size - 1), seen >> s.bits
-    n1, n0 = int(y[fit].sum()), int((1 - y)[fit].sum())
-    d1 = np.bincount(word, weights=y[of], minlength=size)
-    d0 = np.bincount(word, minlength=size) - d1
-    del seen, word, of, data
+    # distinct contexts of each word in documents of each kind
+    word = features[0].astype(np.int64)
+    toxic_token = y[doc]
+    seen = np.sort(((around << U64(s.bits + 1)) | (toxic_token.astype(U64) << U64(s.bits)) | word.astype(U64))[fit[doc]])
+    seen = seen[np.append(True, seen[1:] != seen[:-1])] if len(seen) else seen
+    kind, word = (seen >> U64(s.bits) & U64(1)).astype(np.int64), (seen & U64(size - 1)).astype(np.int64)
+    d1 = np.bincount(word[kind == 1], minlength=size)
+    d0 = np.bincount(word[kind == 0], minlength=size)
+    n1, n0 = int(d1.sum()), int(d0.sum())
+    del seen, word, kind, around, data
     odds = np.log((d1 + 0.5) / (n1 + 1)) - np.log((d0 + 0.5) / (n0 + 1))
-    known = (odds >= s.least_odds) & (d1 >= s.least_documents)
-    tag = (known[features[0]] & (y[doc] == 1)).astype(np.float64)
-    # train on the documents' tokens of the first four fifths
-    use = fit[doc]
+    known = (odds >= s.least_odds) & (d1 >= s.least_contexts)
+    tag = (known[features[0]] & (toxic_token == 1)).astype(np.float64)
+    # train on documents of the first four fifths, as many as the bound allows
+    n = np.diff(first)
+    taken = fit & (n <= s.fit_tokens // 16)
+    taken &= np.cumsum(n * taken) <= s.fit_tokens
+    use = taken[doc]
     f, g = features[:, use], tag[use]
-    n = np.diff(first)[fit]
+    n = n[taken]
     begin = np.append(0, np.cumsum(n))
     w, bias, trans = np.zeros(size), -4.0, np.array([[1.0, -1.0], [0.0, 0.0]])
     seen_pairs = np.zeros((2, 2))
@@ -252,14 +282,22 @@ def held_out(id_col, fold: int):
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", *, settings: ToxicitySettings | None = None) -> CrfModel:
     """A model from a bounded sample of the labelled documents that aren't held out. Rows without a label or an id take
-    no part; labels without a document neither."""
+    no part; labels without a document neither. An id with several labels, or several texts, counts once: as toxic if any
+    says so, by its least text."""
     s = settings or ToxicitySettings()
     own = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(toxic_col).cast("int").alias("_toxic")).where("_id is not null and _toxic in (0, 1)")
     own = own.where(~held_out(F.col("_id"), s.fold))
     order = F.xxhash64(F.col("_id"), F.lit(1)), F.col("_id")
+    own = own.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     some = own.where("_toxic = 1").orderBy(*order).limit(s.toxic_sample).unionByName(own.where("_toxic = 0").orderBy(*order).limit(s.clean_sample))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = texts.join(F.broadcast(some), "_id").orderBy(F.xxhash64("_id"), "_id", "_text").collect()  # ids of a bounded sample
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.octet_length("_text") <= s.sample_bytes)
+    # ids of a bounded sample, and one text of each: the least, where an id stands in several rows
+    one = texts.join(F.broadcast(some), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_toxic").alias("_toxic"))
+    one = written(one, "sample")
+    sizes = one.select("_id", F.octet_length("_text").alias("n")).orderBy(F.xxhash64("_id"), "_id").collect()
+    total = np.cumsum([r["n"] for r in sizes])
+    chosen = [r["_id"] for r, n in zip(sizes, total.tolist(), strict=True) if n <= s.sample_bytes]
+    rows = one.where(F.col("_id").isin(chosen)).orderBy(F.xxhash64("_id"), "_id").collect() if len(chosen) < len(sizes) else one.orderBy(F.xxhash64("_id"), "_id").collect()
     return train([r["_text"] for r in rows], [r["_toxic"] for r in rows], s)
 
 

@@ -1,6 +1,7 @@
 """The random field against brute force, held-out accuracy, and the whole pipeline."""
 
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphgrid.llm import registry
 from glyphgrid.llm import toxicity as T
+from glyphgrid.llm._text import Hasher
 from glyphgrid.plans.catalog import QUERIES as OTHER
 
 from .helpers import odd_documents, words
@@ -79,6 +81,62 @@ def test_scores_do_not_depend_on_other_columns(spark):
     assert T.tag_toxicity(df.limit(0), model).count() == 0
 
 
+def brute_score(model, text):
+    """Score and toxic runs of one text: token by token, with sums over tags in logarithms."""
+    raw = (text or "").encode()
+    tokens = [(m.start(), m.end()) for m in re.finditer(rb"[A-Za-z\x80-\xff]+", raw)]
+    down = 64 - model.bits
+
+    def number(b, factor):
+        h = int(Hasher(np.frombuffer(b, np.uint8))(np.array([0]), np.array([len(b)]))[0])
+        return (h * factor % 2**64) >> down
+
+    e = []
+    for a, z in tokens:
+        w = bytes(c + 32 if 65 <= c <= 90 else c for c in raw[a:z])
+        e.append(sum(float(model.weights[k]) for k in (number(w, 1), number(w[:6], 0x9E3779B97F4A7C15), number(w[-5:], 0xC2B2AE3D27D4EB4F))) + model.bias)
+    n, t = len(e), model.transitions
+    pot = [(0.0, x) for x in e]
+    fw, bw = [pot[0]] if n else [], [(0.0, 0.0)] * n
+    for k in range(1, n):
+        fw.append(tuple(pot[k][j] + np.logaddexp(fw[-1][0] + t[0, j], fw[-1][1] + t[1, j]) for j in (0, 1)))
+    for k in range(n - 2, -1, -1):
+        bw[k] = tuple(np.logaddexp(t[i, 0] + pot[k + 1][0] + bw[k + 1][0], t[i, 1] + pot[k + 1][1] + bw[k + 1][1]) for i in (0, 1))
+    p = [1 / (1 + np.exp(f[0] + b[0] - f[1] - b[1])) for f, b in zip(fw, bw, strict=True)]
+    x = [1, np.log1p(sum(p)), np.log1p(1000 * sum(p) / n), max(p)] if n else [1, 0, 0, 0]
+    runs = []
+    for k, (a, z) in enumerate(tokens):
+        if p[k] >= 0.5:
+            if k and p[k - 1] >= 0.5:
+                runs[-1][1] = z
+            else:
+                runs.append([a, z])
+    return 1 / (1 + np.exp(-np.dot(x, model.logistic))), [r[0] for r in runs], [r[1] for r in runs]
+
+
+def test_scores_and_spans_equal_brute_force(spark):
+    rows, labels = corpus(300)
+    model = T.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    _, odd = odd_documents(spark)
+    some = [t for _, t in odd] + [t for _, t in rows[:40]] + ["Nasty vile AWFUL, nasty-vile " * 40, "vilé ñasty"]
+    out = T.tag_toxicity(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").repartition(3), model)
+    toxic = 0
+    for r in out.collect():
+        score, starts, ends = brute_score(model, r["text"])
+        assert abs(score - r["toxic_score"]) < 1e-6 and (starts, ends) == (r["toxic_starts"], r["toxic_ends"])
+        toxic += len(starts)
+    assert toxic > 20
+
+
+def test_training_takes_one_text_of_an_id_within_its_bounds(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(T, "train", lambda texts, toxic, s: seen.update(n=len(texts), b=sum(len(t.encode()) for t in texts if t)))
+    docs = spark.createDataFrame([(7, f"text {k}") for k in range(5000)] + [(i, "x" * 1000) for i in range(100, 200)] + [(300, "y" * 50_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 0), (300, 0)] + [(i, i % 2) for i in range(100, 200)], "doc_id long, toxic int")
+    T.fit_toxicity(docs, labels, settings=T.ToxicitySettings(toxic_sample=30, clean_sample=30, sample_bytes=20_000))
+    assert 0 < seen["n"] <= 20 and seen["b"] <= 20_000
+
+
 def test_models_of_one_kind_or_no_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     for labels in ([], [(1, 0), (2, 0)], [(1, 1)]):
@@ -106,8 +164,19 @@ def test_pipeline_on_odd_documents(spark, sf_dir):
     docs, _ = odd_documents(spark)
     docs = docs.select(*corpus_pipeline.COLUMNS)
     for frame in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            frame = stage(spark, frame, sf_dir)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before, frame = frame, stage(spark, frame, sf_dir)
+            if k == 4:
+                break
+            a, b = (Counter(r["doc_id"] for r in x.select("doc_id").collect()) for x in (before, frame))
+            if k == 0:
+                assert set(b) <= set(a) and all(b[i] == a[i] for i in b)  # rows of one text share a score; ids here aren't toxic
+            if k == 1:  # one row of each id that stays, and every row without one
+                assert b[None] == a[None] and all(n == 1 for i, n in b.items() if i is not None)
+            if k == 2:
+                assert a == b
+            if k == 3:  # whole passes and the beginning of one more
+                assert set(b) <= set(a) and all(n <= 5 * a[i] for i, n in b.items())
         frame.collect()
 
 
