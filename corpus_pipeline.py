@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphgrid.llm._session import table, work_path
+from glyphgrid.llm._session import table, work_path, written
 from glyphgrid.llm.minhash_dedup import MinHashSettings, minhash_dedup
 from glyphgrid.llm.mixing import mixed_documents
 from glyphgrid.llm.packing import best_fit_pack
@@ -27,10 +27,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, linked at a similarity of 0.8 or more, stays, that of the smallest id;
-    so do rows without an id."""
-    kept = minhash_dedup(docs, settings=MinHashSettings(percent=80)).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    so do rows without an id. Of rows that share an id the least stays."""
+    found = minhash_dedup(docs, settings=MinHashSettings(percent=80)).where("kept and doc_id is not null")
+    kept = written(found.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
     own = docs.select(*COLUMNS)
-    return own.join(kept, own["doc_id"] == kept["_kept"], "left_semi").unionByName(own.where("doc_id is null"))
+    named = own.join(kept, own["doc_id"] == kept["_kept"])
+    # only ids that stand in several rows are grouped
+    once = named.where("_rows = 1").select(*COLUMNS)
+    least = named.where("_rows > 1").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("_row")).select("_row.*")
+    return once.unionByName(least).unionByName(own.where("doc_id is null"))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
