@@ -1,4 +1,4 @@
-"""Word and byte counts of texts as plain column expressions."""
+"""Word counts of texts as plain column expressions."""
 
 from __future__ import annotations
 
@@ -10,7 +10,3 @@ def word_count(text: Column) -> Column:
     """Words: runs of characters other than blank, tab, line and page ends; 0 for a null text."""
     marks = F.regexp_replace(text, "[^ \\t-\\r]+", "x")
     return F.coalesce(F.length(F.translate(marks, " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")
-
-
-def byte_count(text: Column) -> Column:
-    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

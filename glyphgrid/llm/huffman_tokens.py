@@ -213,6 +213,18 @@ def _decode(lengths: np.ndarray, step: int):
     return run
 
 
+def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ids of all texts, each closed by the end id, written to the shared folder: doc_id, n_tokens, width and ids
+    (little-endian unsigned numbers of `width` bytes); and rows without ids, but with token and times, whose sums are the
+    counts of all tokens. A null text is empty."""
+    spark = docs.sparkSession
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    raw = work_path(spark, "ids")
+    schema = "doc_id long, n_tokens long, width int, ids binary, token int, times long"
+    d.mapInArrow(_tokenise(tokenizer_path, end_id), schema).write.option("compression", "zstd").parquet(raw)
+    return spark.read.schema(schema).parquet(raw)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, settings: HuffmanSettings | None = None) -> None:
     """Writes the ids of all texts of `docs`, each closed by the end id, in ascending order of the document ids.
 
@@ -221,11 +233,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     """
     s = settings or HuffmanSettings()
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    raw = work_path(spark, "ids")
-    schema = "doc_id long, n_tokens long, width int, ids binary, token int, times long"
-    d.mapInArrow(_tokenise(tokenizer_path, s.end_id), schema).write.option("compression", "zstd").parquet(raw)
-    got = spark.read.schema(schema).parquet(raw)
+    got = tokenised(docs, tokenizer_path, s.end_id, id_col, text_col)
     counted = got.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).collect()  # a row for each id of the vocabulary at most
     counts = np.zeros(max((r[0] for r in counted), default=s.end_id) + 1, np.int64)
     for token, times in counted:

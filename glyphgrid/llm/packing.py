@@ -5,6 +5,8 @@ the open bin that it fills best; if none has room, the bin size of least cost is
 length times the share of it that is expected to stay empty, given how much of the shard is still to come, plus a
 fixed cost of a bin. In the end each bin is cut down to the smallest permitted length that holds its contents.
 Sequences longer than the largest size are first cut into full pieces and a rest.
+
+`best_fit_pack` works on lengths alone; `pack_tokens` takes the token ids along and returns the filled bins.
 """
 
 from __future__ import annotations
@@ -82,11 +84,9 @@ def pack_lengths(lengths: np.ndarray, s: PackingSettings) -> tuple[np.ndarray, n
     return bins, offsets, [min(x for x in s.sizes if x >= u) for u in used]
 
 
-
-def _pack_shard(key: tuple, table: pa.Table, *, s: PackingSettings) -> pa.Table:
-    shard = key[0].as_py()
-    ids, n = table["doc_id"].to_pylist(), table["n_tokens"].to_numpy()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i], n[i]))
+def _pieces(ids: list, n: np.ndarray, more: list | None, s: PackingSettings) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Row, number, start and length of each piece; rows in the order of their ids, lengths and what else they have."""
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i], n[i], more[i] if more else None))
     most = max(s.sizes)
     row, piece, start, length = [], [], [], []
     for i in order:
@@ -94,6 +94,53 @@ def _pack_shard(key: tuple, table: pa.Table, *, s: PackingSettings) -> pa.Table:
         while k == 0 or m > 0:
             row.append(i), piece.append(k), start.append(k * most), length.append(min(m, most))
             m, k = m - most, k + 1
+    return row, piece, start, length
+
+
+def _fill_shard(key: tuple, table: pa.Table, *, s: PackingSettings) -> pa.Table:
+    """The shard's bins: of each the pieces in it, in their order there, and their tokens."""
+    docs, raw, width = table["doc_id"].to_pylist(), table["ids"].to_pylist(), table["width"].to_pylist()
+    row, piece, start, length = _pieces(docs, table["n_tokens"].to_numpy(), raw, s)
+    bins, offsets, sizes = pack_lengths(np.array(length, np.int64), s)
+    out: list[list[int]] = [[] for _ in sizes]
+    for k in np.lexsort((np.array(length), offsets, bins)).tolist():
+        out[bins[k]].append(k)
+    tokens = [b"".join(np.frombuffer(raw[row[k]], f"<u{width[row[k]]}", length[k], start[k] * width[row[k]]).astype("<u4").tobytes() for k in have) for have in out]
+    lists = lambda of, kind: pa.array([[of[k] for k in have] for have in out], pa.list_(kind))
+    return pa.table({
+        "shard": pa.array([key[0].as_py()] * len(out), pa.int32()), "bin": pa.array(range(len(out)), pa.int64()), "bin_size": pa.array(sizes, pa.int64()),
+        "doc_ids": lists([docs[i] for i in row], pa.int64()), "pieces": lists(piece, pa.int32()), "starts": lists(start, pa.int64()), "lengths": lists(length, pa.int64()), "offsets": lists(offsets.tolist(), pa.int64()), "ids": pa.array(tokens, pa.binary()),
+    })
+
+
+def pack_tokens(tokens: DataFrame, *, settings: PackingSettings | None = None, shards: int | None = None) -> DataFrame:
+    """Filled bins from (doc_id, n_tokens, width, ids), ids being little-endian unsigned numbers of `width` bytes: shard, bin
+    (within the shard), bin_size, the lists doc_ids, pieces, starts, lengths and offsets of the pieces in it, and ids
+    (little-endian unsigned 32-bit).
+
+    A row without tokens is an empty piece of the shard's first bin. Rows that repeat an id are packed each; rows without
+    an id are dealt by their place in the table, so write it first where that could change. An empty table gives none.
+    """
+    s = settings or PackingSettings()
+    n = shards or parts(tokens)
+    key = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", "n_tokens"))
+    d = tokens.select("doc_id", "n_tokens", "width", "ids", F.pmod(key, F.lit(n)).cast("int").alias("shard"))
+    schema = "shard int, bin long, bin_size long, doc_ids array<long>, pieces array<int>, starts array<long>, lengths array<long>, offsets array<long>, ids binary"
+    return d.groupBy("shard").applyInArrow(by_key(_fill_shard, s=s), schema)
+
+
+def places(bins: DataFrame) -> DataFrame:
+    """Where each piece stands, and the checksum of its tokens as they are in its bin: doc_id, piece, piece_start, n_tokens,
+    shard, bin, bin_offset, bin_size, ids_crc32."""
+    each = F.explode(F.arrays_zip("doc_ids", "pieces", "starts", "lengths", "offsets")).alias("x")
+    own = F.substring("ids", (4 * F.col("x.offsets") + 1).cast("int"), (4 * F.col("x.lengths")).cast("int"))
+    return bins.select("shard", "bin", "bin_size", "ids", each).select(F.col("x.doc_ids").alias("doc_id"), F.col("x.pieces").alias("piece"), F.col("x.starts").alias("piece_start"), F.col("x.lengths").alias("n_tokens"), "shard", "bin", F.col("x.offsets").alias("bin_offset"), "bin_size", F.crc32(own).alias("ids_crc32"))
+
+
+def _pack_shard(key: tuple, table: pa.Table, *, s: PackingSettings) -> pa.Table:
+    shard = key[0].as_py()
+    ids = table["doc_id"].to_pylist()
+    row, piece, start, length = _pieces(ids, table["n_tokens"].to_numpy(), None, s)
     bins, offsets, sizes = pack_lengths(np.array(length, np.int64), s)
     b = bins.tolist()
     return pa.table({
@@ -114,6 +161,7 @@ def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = shards or parts(docs)
     count = F.greatest(F.coalesce(n_tokens if n_tokens is not None else word_count(F.col(text_col)), F.lit(0)), F.lit(0)).cast("long")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), count.alias("n_tokens"))
-    d = d.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(n)).cast("int"))
+    key = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", "n_tokens"))
+    d = d.withColumn("shard", F.pmod(key, F.lit(n)).cast("int"))
     schema = "doc_id long, piece int, piece_start long, n_tokens long, shard int, bin long, bin_offset long, bin_size long"
     return d.groupBy("shard").applyInArrow(by_key(_pack_shard, s=s), schema)

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._counts import byte_count, word_count
-from ._session import table, work_path
+from ._session import table, work_path, written
 from .embedding_dedup import embedding_dedup
 from .exact_topk import exact_topk
-from .huffman_tokens import token_digests
+from .huffman_tokens import token_digests, tokenised
 from .minhash_dedup import minhash_dedup
 from .mixing import temperature_mix
-from .packing import best_fit_pack
-from .rollups import TokenRollup, counted, delete_deltas, insert_deltas, revise_deltas
+from .packing import pack_tokens, places
+from .rollups import GROUP, TokenRollup, delete_deltas, insert_deltas, revise_deltas, tokenizer_counts
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
 from .window_dedup import window_dedup
@@ -36,7 +35,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_pack(table(spark, sf_dir, "documents"))
+    """All texts as token ids, each with its end id, packed; where each piece stands in its bin, read back from there."""
+    import public_tokenizers
+
+    tokens = tokenised(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return places(written(pack_tokens(tokens.where("token is null").select("doc_id", "n_tokens", "width", "ids")), "bins"))
 
 
 def op6_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,24 +57,27 @@ def op8_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted under two tokenizer versions; documents of low quality are revised to their words of two
-    letters or more; toxic ones are deleted with the counts that they have by then. Every batch is committed twice."""
-    text = F.col("text")
-    long_words = word_count(F.regexp_replace(text, "(?<![^ \\t-\\r])[^ \\t-\\r](?![^ \\t-\\r])", ""))
-    c = counted(table(spark, sf_dir, "documents"), words=word_count(text), long_words=long_words, bytes=byte_count(text))
+    """All documents are inserted under two tokenizer versions; the word tokenizer's counts of documents of low quality are
+    revised to include an end id; toxic documents are deleted with the counts that they have by then. Every batch is
+    committed twice, and a snapshot is made between."""
+    import public_tokenizers
+
+    versions = {"word_bpe_49k": public_tokenizers.path("word_bpe_49k.json"), "byte_bpe_50k": public_tokenizers.path("byte_bpe_50k.tiktoken")}
+    c = written(tokenizer_counts(table(spark, sf_dir, "documents"), versions, carry=("source", "lang")), "counts")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     known = c.join(labels, "doc_id")
-    group = lambda version, n: ["source", "lang", F.lit(version).alias("tokenizer"), n.cast("long").alias("n_tokens")]
-    now = F.when(F.col("quality") == 0, F.col("long_words")).otherwise(F.col("words"))
+    revised = (F.col("quality") == 0) & (F.col("tokenizer") == "word_bpe_49k")
+    now = (F.col("n_tokens") + F.coalesce(revised, F.lit(False)).cast("long")).alias("n_tokens")
     rollup = TokenRollup(spark, work_path(spark, "rollup"))
     batches = {
-        "1-load": insert_deltas(c.select(*group("words-1", F.col("words"))).unionByName(c.select(*group("bytes-1", F.col("bytes"))))),
-        "2-revise": revise_deltas(known.where("quality = 0").select(*group("words-1", F.col("long_words")), F.col("words").alias("old_tokens"))),
-        "3-delete": delete_deltas(known.where("toxic = 1").select(*group("words-1", now)).unionByName(known.where("toxic = 1").select(*group("bytes-1", F.col("bytes"))))),
+        "1-load": insert_deltas(c),
+        "2-revise": revise_deltas(known.where(revised).select(*GROUP, now, F.col("n_tokens").alias("old_tokens"))),
+        "3-delete": delete_deltas(known.where("toxic = 1").select(*GROUP, now)),
     }
     for _ in range(2):
         for name, deltas in batches.items():
             rollup.commit(name, deltas)
+        rollup.compact()
     return rollup.totals()
 
 
@@ -124,21 +130,6 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n_k
 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
 """
 
-_ROLLUP_SQL = r"""
-WITH l AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
-c AS (
-  SELECT d.source, d.lang, coalesce(l.quality, 1) AS quality, coalesce(strlen(d.text), 0) AS bytes,
-         regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+') AS ws
-  FROM documents d LEFT JOIN l USING (doc_id) WHERE coalesce(l.toxic, 0) <> 1
-), n AS (
-  SELECT source, lang, 'words-1' AS tokenizer,
-         CASE WHEN quality = 0 THEN len(list_filter(ws, lambda w: length(w) > 1)) ELSE len(ws) END AS n FROM c
-  UNION ALL
-  SELECT source, lang, 'bytes-1', bytes FROM c
-)
-SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM n GROUP BY ALL
-"""
-
 _MIX_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
@@ -191,4 +182,4 @@ FROM w JOIN ps ON w.source IS NOT DISTINCT FROM ps.source AND w.block = ps.block
 WHERE first + within < quota - epoch * total
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_exact_topk": _TOPK_SQL, "op3_substring_dedup": _WINDOW_SQL, "op9_token_rollup": _ROLLUP_SQL, "op10_temperature_mixing": _MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_exact_topk": _TOPK_SQL, "op3_substring_dedup": _WINDOW_SQL, "op10_temperature_mixing": _MIX_SQL}

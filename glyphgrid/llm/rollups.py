@@ -1,19 +1,22 @@
 """Token counts by source, language and tokenizer version, kept up to date by signed deltas.
 
-A batch of deltas (inserts, deletes, revised counts) is summed per group and written as one folder named by the batch.
-Totals are sums over the committed batches. A batch that was committed is not applied again, whoever repeats it; one
-that broke off before its success mark is overwritten when it is repeated.
+A batch of deltas (inserts, deletes, revised counts) is summed per group and written as one folder named by the batch: under
+another name first, then renamed, so that a folder of that name is whole. A batch that was committed is not applied
+again, whoever repeats it. Totals are a snapshot plus the batches since; `compact` makes a new snapshot of both, which
+lists the batches that it holds, so that reading stays cheap however many there were.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._session import written
 from ._text import bytes_of, chunks
 from ._words import WordTokenizer
 
@@ -36,16 +39,51 @@ class TokenRollup:
             raise ValueError(f"not a batch name: {batch!r}")
         return f"{self.path}/batch-{batch}"
 
-    def committed(self) -> list[str]:
+    def _names(self, prefix: str) -> list[str]:
         fs, p = self._fs(self.path)
         if not fs.exists(p):
             return []
-        return sorted(x.getPath().getName().removeprefix("batch-") for x in fs.listStatus(p) if x.getPath().getName().startswith("batch-") and self.is_committed(x.getPath().getName().removeprefix("batch-")))
+        names = (x.getPath().getName() for x in fs.listStatus(p))
+        return sorted(x.removeprefix(prefix) for x in names if x.startswith(prefix))
 
-    def is_committed(self, batch: str) -> bool:
+    def _snapshot(self) -> str | None:
+        """Folder of the newest snapshot."""
+        names = self._names("snapshot-")
+        return f"{self.path}/snapshot-{max(names, key=int)}" if names else None
+
+    def _held(self) -> set[str]:
+        """Batches that the snapshot holds."""
+        last = self._snapshot()
+        return {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{last}/batches").collect()} if last else set()
+
+    def _whole(self, batch: str) -> bool:
         fs, p = self._fs(f"{self._folder(batch)}/_SUCCESS")
         return bool(fs.exists(p))
 
+    def _batches(self) -> list[str]:
+        return [b for b in self._names("batch-") if self._whole(b)]
+
+    def committed(self) -> list[str]:
+        return sorted(set(self._batches()) | self._held())
+
+    def is_committed(self, batch: str) -> bool:
+        return self._whole(batch) or batch in self._held()
+
+    def _moved(self, source: str, target: str) -> bool:
+        """Renames a folder; False, and the folder is gone, if another writer was first."""
+        (fs, a), (_, b) = self._fs(source), self._fs(target)
+        done = not fs.exists(b) and fs.rename(a, b)
+        inside = self._fs(f"{target}/{source.rsplit('/', 1)[1]}")[1]  # some file systems move into a folder that is there
+        if done and fs.exists(inside):
+            done = False
+            fs.delete(inside, True)
+        if not done:
+            fs.delete(a, True)
+        return bool(done)
+
+    def _draft(self) -> str:
+        return f"{self.path}/draft-{uuid.uuid4().hex}"
+
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Adds a batch of deltas: kind ('insert', 'delete', 'revise'), source, lang, tokenizer, n_tokens and, for a revised
         count, old_tokens. False, and nothing done, if the batch is there already.
@@ -59,32 +97,89 @@ class TokenRollup:
         docs = F.when(kind == "insert", 1).when(kind == "delete", -1).when(kind == "revise", 0).otherwise(F.raise_error(F.concat(F.lit("unknown kind of delta: "), F.coalesce(kind, F.lit("null")))))
         tokens = F.when(kind == "insert", n).when(kind == "delete", -n).otherwise(n - old)
         summed = deltas.select(*(F.col(c).cast("string").alias(c) for c in GROUP), docs.cast("long").alias("n_docs"), tokens.cast("long").alias("n_tokens")).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        summed.write.mode("overwrite").parquet(self._folder(batch))
-        return True
+        draft = self._draft()
+        summed.write.parquet(draft)
+        fs, broken = self._fs(self._folder(batch))
+        if fs.exists(broken) and not self._whole(batch):
+            fs.delete(broken, True)
+        return self._moved(draft, self._folder(batch))
+
+    def _summed(self, held: set[str]) -> DataFrame | None:
+        last = self._snapshot()
+        folders = [self._folder(b) for b in self._batches() if b not in held] + ([f"{last}/totals"] if last else [])
+        if not folders:
+            return None
+        every = self.spark.read.schema(_SCHEMA).parquet(*folders)
+        return every.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+    def compact(self) -> None:
+        """Makes a snapshot of all totals and removes what it replaces. A reader that began before may have to begin again."""
+        held, new = self._held(), self._batches()
+        summed = self._summed(held)
+        if summed is None:
+            return
+        last = self._snapshot()
+        draft = self._draft()
+        summed.write.parquet(f"{draft}/totals")
+        self.spark.createDataFrame([(b,) for b in sorted(held | set(new))], "batch string").coalesce(1).write.parquet(f"{draft}/batches")
+        number = int(last.rsplit("-", 1)[1]) + 1 if last else 0
+        if self._moved(draft, f"{self.path}/snapshot-{number}"):
+            for old in [self._folder(b) for b in new] + ([last] if last else []):
+                fs, p = self._fs(old)
+                fs.delete(p, True)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens; groups whose documents are all gone are left out."""
-        batches = [self._folder(b) for b in self.committed()]
-        if not batches:
+        summed = self._summed(self._held())
+        if summed is None:
             return self.spark.createDataFrame([], _SCHEMA)
-        every = self.spark.read.schema(_SCHEMA).parquet(*batches)
-        return every.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+        return summed.where("n_docs <> 0 or n_tokens <> 0")
+
 
+class _Ranks:
+    """Counts by a file of ranks, for the library that splits texts by a pattern and merges bytes by rank."""
 
-def tokenizer_counts(docs: DataFrame, tokenizers: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tokenizer, n_tokens) of every text by each tokenizer file: tokenizers maps a version to its path. A null
-    text has no tokens."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    loaded: dict[tuple[str, int], _Ranks] = {}  # noqa: RUF012
+
+    def __init__(self, path: str):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    @classmethod
+    def at(cls, path: str) -> _Ranks:
+        key = (path, os.getpid())
+        if key not in cls.loaded:
+            cls.loaded[key] = cls(path)
+        return cls.loaded[key]
+
+    def counts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        raw = data.tobytes()
+        return np.array([len(self.encoding.encode_ordinary(raw[a:z].decode("utf-8", "replace"))) for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.int64)
+
+
+def tokenizer_counts(docs: DataFrame, tokenizers: dict[str, str], id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the columns to carry as strings, tokenizer, n_tokens) of every text by each tokenizer file: tokenizers maps a
+    version to its path, a file of ranks if it ends in .tiktoken. A null text has no tokens."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in carry), F.col(text_col).cast("string").alias("_text"))
+    names = ["doc_id", *carry, "tokenizer", "n_tokens"]
 
     def run(batches):
         for b in batches:
-            data, off = bytes_of(b["text"])
+            data, off = bytes_of(b["_text"])
             for i, j in chunks(off, 2 << 20):
+                own = b.slice(i, j - i)
                 for version, path in tokenizers.items():
-                    _, n = WordTokenizer.at(path).encode(data[off[i] : off[j]], off[i : j + 1] - off[i], None)
-                    yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array([version] * (j - i)), pa.array(n)], names=["doc_id", "tokenizer", "n_tokens"])
+                    given = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                    n = _Ranks.at(path).counts(*given) if path.endswith(".tiktoken") else WordTokenizer.at(path).encode(*given, None)[1]
+                    yield pa.RecordBatch.from_arrays([*(own[c] for c in names[:-2]), pa.array([version] * (j - i)), pa.array(n, pa.int64())], names=names)
 
-    return d.mapInArrow(run, "doc_id long, tokenizer string, n_tokens long")
+    return d.mapInArrow(run, "doc_id long, " + "".join(f"`{c}` string, " for c in carry) + "tokenizer string, n_tokens long")
 
 
 def insert_deltas(counts: DataFrame) -> DataFrame:
@@ -100,8 +195,3 @@ def delete_deltas(counts: DataFrame) -> DataFrame:
 def revise_deltas(counts: DataFrame) -> DataFrame:
     """Revised counts from (source, lang, tokenizer, n_tokens, old_tokens)."""
     return counts.select(F.lit("revise").alias("kind"), *GROUP, "n_tokens", "old_tokens")
-
-
-def counted(docs: DataFrame, **versions) -> DataFrame:
-    """(doc_id, source, lang) and a column of each version's counts, given as expressions; written once."""
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *(x.alias(k) for k, x in versions.items())), "counts")

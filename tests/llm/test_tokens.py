@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from glyphgrid.llm import huffman_tokens as H
 from glyphgrid.llm._counts import word_count
-from glyphgrid.llm._session import work_path
+from glyphgrid.llm._session import work_path, written
 from glyphgrid.llm._text import bytes_of
 from glyphgrid.llm._words import WordTokenizer
 from glyphgrid.llm.mixing import MixSettings, mixed_documents, temperature_mix
-from glyphgrid.llm.packing import PackingSettings, best_fit_pack, pack_lengths
+from glyphgrid.llm.packing import PackingSettings, best_fit_pack, pack_lengths, pack_tokens, places
 from glyphgrid.llm.rollups import TokenRollup, delete_deltas, insert_deltas, revise_deltas, tokenizer_counts
 
 from .helpers import odd_documents, words
@@ -124,6 +124,83 @@ def test_packing_holds_every_token_once(spark):
     assert best_fit_pack(df.limit(0)).count() == 0
 
 
+def brute_pack(lengths, s):
+    """Bin and offset of each length: longest first, into the open bin with the least room that takes it, or a new one of the
+    size that costs least for each token, every size tried."""
+    todo = sorted(range(len(lengths)), key=lambda k: -lengths[k])
+    ahead = sorted(n for n in lengths if n)
+    room, used, where = [], [], {}
+    for k in todo:
+        n = lengths[k]
+        if not n:
+            if not room:
+                room.append(min(s.sizes)), used.append(0)
+            where[k] = (0, 0)
+            continue
+        ahead.remove(n)
+        fits = [(room[b], b) for b in range(len(room)) if room[b] >= n]
+        if fits:
+            b = min(fits)[1]
+        else:
+            costs = []
+            for size in sorted(s.sizes):
+                if size >= n:
+                    small = [x for x in ahead if x <= size - n]
+                    fill = min(size - n, sum(small))
+                    if small and fill == size - n and min(ahead) > 1:
+                        fill = max(0, fill - min(ahead) // 2)
+                    final = min(x for x in s.sizes if x >= n + fill)
+                    costs.append(((final + s.bin_cost) / (n + fill), size))
+            b = len(room)
+            room.append(min(costs)[1]), used.append(0)
+        where[k] = (b, used[b])
+        used[b] += n
+        room[b] -= n
+    return [where[k][0] for k in range(len(lengths))], [where[k][1] for k in range(len(lengths))], [min(x for x in s.sizes if x >= u) for u in used]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_equals_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    s = PackingSettings(sizes=((32, 64, 128), (10,), (7, 100), (512, 1024, 2048, 4096))[seed % 4], bin_cost=(0, 3, 16)[seed % 3])
+    lengths = np.minimum(rng.geometric((0.03, 0.3, 0.05, 0.005)[seed % 4], 300), max(s.sizes))
+    lengths[rng.random(300) < 0.05] = 0
+    bins, offsets, sizes = pack_lengths(lengths, s)
+    assert (bins.tolist(), offsets.tolist(), sizes) == brute_pack(lengths.tolist(), s)
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_packed_bins_hold_the_tokens(spark, shards):
+    from tokenizers import Tokenizer
+
+    df, rows = odd_documents(spark)
+    t = Tokenizer.from_file(WORD_BPE)
+    want = Counter((i, tuple([*t.encode(x or "", add_special_tokens=False).ids, 2])) for i, x in rows)
+    s = PackingSettings(sizes=(32, 64, 128))
+    tokens = H.tokenised(df, WORD_BPE, 2).where("token is null").select("doc_id", "n_tokens", "width", "ids")
+    bins = written(pack_tokens(tokens, settings=s, shards=shards), "bins")
+    got = defaultdict(list)
+    for b in bins.collect():
+        ids = np.frombuffer(bytes(b["ids"]), "<u4").tolist()
+        assert sum(b["lengths"]) == len(ids) and b["bin_size"] == min(x for x in s.sizes if x >= len(ids))
+        at = 0
+        for doc, k, start, n, offset in zip(b["doc_ids"], b["pieces"], b["starts"], b["lengths"], b["offsets"], strict=True):
+            assert offset == at and start == k * 128
+            got[doc, k].append(tuple(ids[at : at + n]))
+            at += n
+    for i, n in Counter(i for i, _ in rows).items():
+        if n == 1:
+            assert want[i, tuple(x for k in sorted(k for d, k in got if d == i) for x in got[i, k][0])] == 1
+    assert sum(n for x in got.values() for n in map(len, x)) == sum(len(x) * n for (_, x), n in want.items())
+    for r in places(bins).collect():
+        assert any(zlib.crc32(np.array(x, "<u4").tobytes()) == r["ids_crc32"] and len(x) == r["n_tokens"] for x in got[r["doc_id"], r["piece"]])
+    if shards == 1:  # the one shard's bins by brute force over the library's counts
+        order = sorted(((i is None, i or 0, len(x), x) for (i, x), n in want.items() for _ in range(n)))
+        pieces = [min(128, n - a) for _, _, n, _ in order for a in range(0, n, 128)]
+        assert sorted(brute_pack(pieces, s)[2]) == sorted(b["bin_size"] for b in bins.collect())
+    assert pack_tokens(tokens.limit(0)).count() == 0
+
+
 def test_packing_beats_one_sequence_a_bin():
     rng = np.random.default_rng(0)
     lengths = np.minimum(rng.lognormal(5.5, 1, 3000).astype(np.int64), 4096)
@@ -212,6 +289,44 @@ def test_rollup_batches_are_idempotent(spark):
     assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "v1", 2, 17)]
     with pytest.raises(ValueError):
         r.commit("../x", rows)
+    # a snapshot has the same totals, in one folder, and remembers its batches
+    for more in (None, "b5", "b6"):
+        if more:
+            assert r.commit(more, insert_deltas(rows))
+        before = Counter(tuple(x) for x in r.totals().collect())
+        r.compact()
+        assert Counter(tuple(x) for x in r.totals().collect()) == before
+        assert r._names("batch-") == [] and len(r._names("snapshot-")) == 1 and r._names("draft-") == []
+    assert r.committed() == ["b1", "b2", "b3", "b4", "b5", "b6"] and not r.commit("b2", insert_deltas(rows))
+
+
+def test_rollup_query_equals_counts_by_the_libraries(spark, tmp_path):
+    """The query over a small table of its own, against a recount of what is left in the end."""
+    import base64
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from glyphgrid.llm.registry import op9_token_rollup
+
+    rows = [(i, t, ("en", "de", None)[i % 3], ("a", "b")[i % 2]) for i, t in enumerate(["", None, "One two, three.", "größer als", "x " * 50, "the cat's", "漢字 und mehr", *odd_texts(40)])]
+    labels = [(i, i % 2, int(i % 5 == 0)) for i in range(0, len(rows), 2)] + [(3, 0, None), (9, None, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    word = Tokenizer.from_file(WORD_BPE)
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    byte = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    mark = {i: (q, t) for i, q, t in labels}
+    want = defaultdict(lambda: [0, 0])
+    for i, text, lang, source in rows:
+        q, t = mark.get(i, (None, None))
+        for version, n in (("word_bpe_49k", len(word.encode(text or "", add_special_tokens=False).ids) + (q == 0)), ("byte_bpe_50k", len(byte.encode_ordinary(text or "")))):
+            if t != 1:
+                want[source, lang, version][0] += 1
+                want[source, lang, version][1] += n
+    got = {tuple(r)[:3]: [r["n_docs"], r["n_tokens"]] for r in op9_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == dict(want)
 
 
 def test_counts_by_library_tokenizers(spark):

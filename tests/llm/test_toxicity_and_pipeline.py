@@ -12,7 +12,7 @@ from glyphgrid.llm import toxicity as T
 from glyphgrid.llm._text import Hasher
 from glyphgrid.plans.catalog import QUERIES as OTHER
 
-from .helpers import odd_documents, words
+from .helpers import odd_documents
 
 
 def test_marginals_equal_brute_force():
@@ -146,6 +146,9 @@ def test_models_of_one_kind_or_no_labels(spark):
 
 def test_pipeline_stages(spark, sf_dir):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, before = docs.columns, docs.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "minhash near-dedup", "suffix-array dedup", "source mixing", "best-fit packing"]
@@ -154,7 +157,8 @@ def test_pipeline_stages(spark, sf_dir):
         if k < 4:
             assert sorted(out.columns) == sorted(columns) and 0 < out.count() <= before
             docs = out
-    total = {r["doc_id"]: len(words(r["text"])) for r in docs.select("doc_id", "text").collect()}
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    total = {r["doc_id"]: len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.select("doc_id", "text").collect()}
     packed = out.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.countDistinct("shard", "bin", "bin_offset").alias("k"))
     assert all(r["n"] % max(1, total[r["doc_id"]]) == 0 for r in packed.collect())
 
