@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphgrid.llm._session import table, work_path, written
+from glyphgrid.llm.huffman_tokens import tokenised
 from glyphgrid.llm.minhash_dedup import MinHashSettings, minhash_dedup
 from glyphgrid.llm.mixing import mixed_documents
-from glyphgrid.llm.packing import best_fit_pack
+from glyphgrid.llm.packing import pack_tokens, places
 from glyphgrid.llm.suffix_dedup import suffix_dedup
 from glyphgrid.llm.toxicity import fit_toxicity, tag_toxicity
 
@@ -50,8 +51,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document, or piece of one, stands in the training sequences."""
-    return best_fit_pack(docs)
+    """Where the token ids of each document, or of a piece of one, stand in the training sequences, read back from there."""
+    import public_tokenizers
+
+    tokens = tokenised(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return places(written(pack_tokens(tokens.where("token is null").select("doc_id", "n_tokens", "width", "ids")), "bins"))
 
 
 STAGES = [
