@@ -182,4 +182,81 @@ FROM w JOIN ps ON w.source IS NOT DISTINCT FROM ps.source AND w.block = ps.block
 WHERE first + within < quota - epoch * total
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_exact_topk": _TOPK_SQL, "op3_substring_dedup": _WINDOW_SQL, "op10_temperature_mixing": _MIX_SQL}
+_VECTOR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= CAST(0.93 AS DOUBLE)
+), r AS (
+  SELECT DISTINCT a AS id, a AS root FROM p
+  UNION
+  SELECT p.b, r.root FROM r JOIN p ON p.a = r.id
+), c AS (
+  SELECT id, min(root) AS component_id FROM r GROUP BY id
+), n AS (
+  SELECT a, count(*) AS n FROM p GROUP BY a
+)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(c.component_id, e.vec_id) AS component_id,
+       coalesce(c.component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+_SUFFIX_SQL = """
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), c AS (  -- 256 bytes at a time and what their grams reach into
+  SELECT doc_id, c, substr(x, 512 * c + 1, 612) AS x, least(256, length(x) // 2 - 256 * c) AS n
+  FROM h, LATERAL (SELECT unnest(range(0, (length(x) + 511) // 512)) AS c)
+), b AS (
+  SELECT doc_id, 256 * c + i AS pos, substr(x, 2 * i + 1, 2) AS byte, CASE WHEN 2 * i + 100 <= length(x) THEN substr(x, 2 * i + 1, 100) END AS gram
+  FROM c, LATERAL (SELECT unnest(range(0, n)) AS i)
+), f AS (
+  SELECT gram, min(doc_id) AS least FROM b WHERE gram IS NOT NULL GROUP BY gram HAVING min(doc_id) < max(doc_id)
+), m AS (
+  SELECT b.doc_id, pos, byte,
+         pos - max(CASE WHEN f.least < b.doc_id THEN pos END) OVER (PARTITION BY b.doc_id ORDER BY pos) < 50 AS gone
+  FROM b LEFT JOIN f ON f.gram = b.gram
+), s AS (
+  SELECT *, coalesce(gone, false) AS out, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS before FROM m
+), g AS (
+  SELECT doc_id, count(*) FILTER (out) AS n_removed, count(*) FILTER (out AND NOT before) AS n_spans,
+         string_agg(byte, '' ORDER BY pos) FILTER (NOT out) AS kept
+  FROM s GROUP BY doc_id
+)
+SELECT h.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM h LEFT JOIN g ON g.doc_id = h.doc_id
+"""
+
+_NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS gram
+  FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i)
+  WHERE len(ws) > 0
+), k AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), i AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+), p AS (
+  SELECT a, b FROM i JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b WHERE 100 * i.n >= 85 * (x.n + y.n - i.n)
+), r AS (
+  SELECT DISTINCT a AS id, a AS root FROM p
+  UNION
+  SELECT p.b, r.root FROM r JOIN p ON p.a = r.id
+), c AS (
+  SELECT id, min(root) AS component_id FROM r GROUP BY id
+)
+SELECT w.doc_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id,
+       coalesce(component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id LEFT JOIN c ON c.id = w.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": _VECTOR_SQL, "op2_suffix_dedup": _SUFFIX_SQL, "op4_minhash_near_dedup": _NEAR_SQL, "op7_exact_topk": _TOPK_SQL, "op3_substring_dedup": _WINDOW_SQL, "op10_temperature_mixing": _MIX_SQL}

@@ -142,6 +142,37 @@ def test_minhash_finds_a_large_group_of_near_copies(spark):
     assert Counter(got) == Counter(brute_near(rows, 5, 85))
 
 
+def test_a_chain_of_candidates_is_compared_by_buckets(spark):
+    from glyphgrid.llm.minhash_dedup import _groups
+
+    n = 5000
+    near = spark.createDataFrame([(i, 0) for i in range(1, n)], "id long, component long")
+    chain = [(k * 10 + j, k + j) for k in range(n - 1) for j in (0, 1)]
+    buckets = spark.createDataFrame([(b - b % 10, i) for b, i in chain], "bucket long, id long")
+    sizes = Counter(r["count"] for r in _groups(near, buckets, 192).groupBy("cluster").count().collect())
+    assert sizes == {2: n - 1}
+    # one bucket of all is compared at once, and so is a small component
+    one = spark.createDataFrame([(k, i) for k in range(3) for i in range(n)], "bucket long, id long")
+    assert [r["count"] for r in _groups(near, one, 192).groupBy("cluster").count().collect()] == [n]
+    few = spark.createDataFrame([(i, 0) for i in range(1, 100)], "id long, component long")
+    assert [r["count"] for r in _groups(few, buckets, 192).groupBy("cluster").count().collect()] == [100]
+
+
+def test_minhash_links_the_same_whether_by_components_or_buckets(spark):
+    rng = random.Random(4)
+    rows = []
+    for c in range(60):  # neighbours share six tenths of their shingles, every third has a near copy
+        w = [f"w{c * 40 + k}" for k in range(100)]
+        rows.append((2 * c, " ".join(w)))
+        if c % 3 == 0:
+            w[rng.randrange(100)] = "x"
+            rows.append((2 * c + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for side in (2, 192):
+        got = [tuple(r) for r in minhash_dedup(df, settings=MinHashSettings(square=side)).collect()]
+        assert Counter(got) == Counter(brute_near(rows, 5, 85))
+
+
 def test_components_of_long_paths_and_stars(spark):
     rng = random.Random(0)
     path = [(i, i + 1) for i in range(1000, 1400)]
