@@ -45,9 +45,10 @@ def truncated_byte(p: Column) -> Column:
     return (p * 255).cast("int")
 
 
-def wide_to_byte(v: Column) -> Column:
-    """Sixteen-bit values to eight bits; smaller ones stay."""
-    return F.shiftright(v, 8)
+def wide_to_byte(v: Column, bits: Column | int) -> Column:
+    """Values of layers stored with `bits` bits as eight: those of wider layers lose their low byte, others stay."""
+    wide = bits if isinstance(bits, Column) else F.lit(bits)
+    return F.when(wide > 8, F.shiftright(v, 8)).otherwise(v)
 
 
 def array_sum(a: Column) -> Column:
@@ -135,10 +136,5 @@ def learning_rate(epoch: Column, base: float = 1e-3, warmup: int = 5, epochs: in
     return F.lit(base) * F.when(epoch < warmup, (epoch + 1) / warmup).otherwise((1 + F.cos(F.lit(3.141592653589793) * share)) * 0.5)
 
 
-def url_of(template: str, *args: Column) -> Column:
-    """File names and addresses from a printf template."""
-    return F.format_string(template, *args)
-
-
 def gigabytes(n: Column, binary: bool = False) -> Column:
     return n / (1024.0**3 if binary else 1e9)

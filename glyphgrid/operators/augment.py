@@ -37,7 +37,11 @@ def noisy(vox: DataFrame, by: list[str], *, sigma: float = 0.02, brightness: flo
 
 def shifted_layers(vox: DataFrame, by: list[str], most: int, seed: int = 0) -> DataFrame:
     """Each patch moved along z by a number of layers in [-most, most]; layers that come in are 0."""
-    step = F.floor(uniform(seed, *(F.col(c) for c in by)) * (2 * most + 1)).cast("int") - most
+    return moved_layers(vox, by, F.floor(uniform(seed, *(F.col(c) for c in by)) * (2 * most + 1)).cast("int") - most)
+
+
+def moved_layers(vox: DataFrame, by: list[str], step: Column) -> DataFrame:
+    """Each patch moved along z by `step` layers; layers that come in are 0."""
     moved = vox.withColumn("z", F.col("z") + step).select(*by, "z", "y", "x", F.col("v").alias("_v"))
     out = vox.select(*by, "z", "y", "x").join(moved, [*by, "z", "y", "x"], "left")
     return out.select(*by, "z", "y", "x", F.coalesce("_v", F.lit(0.0)).alias("v"))

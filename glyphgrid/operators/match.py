@@ -94,6 +94,12 @@ def best_letters(scored: DataFrame, key: str, letter: str, score: str, k: int, o
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def with_expected(bank: DataFrame, expected: DataFrame) -> DataFrame:
+    """The bank with the holes that each letter should have, from (letter, expected); 0 where a letter has no row."""
+    dims = expected.select(F.col("letter").alias("_letter"), "expected")
+    return bank.join(dims, F.col("letter") == F.col("_letter"), "left").drop("_letter").withColumn("expected", F.coalesce("expected", F.lit(0)))
+
+
 def match_letters(patches: DataFrame, bank: DataFrame, side: int, k: int = 5) -> DataFrame:
     """The ensemble matcher. patches: (id, cand, cand_dt, cand_hu, holes); bank: (ord, letter, tpl, tpl_dt, tpl_hu, expected).
 
@@ -105,7 +111,7 @@ def match_letters(patches: DataFrame, bank: DataFrame, side: int, k: int = 5) ->
 
 
 def candidate_patches(candidates: DataFrame, labelled: DataFrame, size: int) -> DataFrame:
-    """(id, cand): each candidate's own pixels, cut at its box and fitted to a square."""
+    """(seg_id, id, cand): each candidate's own pixels, cut at its box and fitted to a square."""
 
     @F.pandas_udf("array<double>")
     def cut(cells: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
@@ -118,8 +124,8 @@ def candidate_patches(candidates: DataFrame, labelled: DataFrame, size: int) ->
 
     box = candidates.select("seg_id", F.col("id").alias("label"), "y0", "x0", "h", "w")
     at = (F.col("y") - F.col("y0")) * F.col("w") + F.col("x") - F.col("x0")
-    g = labelled.join(box, ["seg_id", "label"]).groupBy("label").agg(F.collect_list(at.cast("int")).alias("cells"), F.first("h").alias("h"), F.first("w").alias("w"))
-    return g.select(F.col("label").alias("id"), cut("cells", "h", "w").alias("cand"))
+    g = labelled.join(box, ["seg_id", "label"]).groupBy("seg_id", "label").agg(F.collect_list(at.cast("int")).alias("cells"), F.first("h").alias("h"), F.first("w").alias("w"))
+    return g.select("seg_id", F.col("label").alias("id"), cut("cells", "h", "w").alias("cand"))
 
 
 def described(patches: DataFrame, key: str, column: str, side: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -78,3 +78,12 @@ def best_and_last(history: DataFrame, order: str, score: str, by: list[str]) ->
     """The row of the best score (the first of equals) and the last row of each group."""
     best = F.max_by(F.col(order), F.struct(F.col(score), -F.col(order)))
     return history.groupBy(*by).agg(best.alias("best"), F.max(score).alias("best_score"), F.max(order).alias("last"))
+
+
+def append_history(history: DataFrame, path: str) -> None:
+    """Adds epochs to a history table."""
+    history.write.mode("append").parquet(path)
+
+
+def read_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)

@@ -154,6 +154,11 @@ def blend(original: DataFrame, updated: DataFrame, alpha: float) -> DataFrame:
     return both.select("seg_id", "y", "x", clip(F.lit(a) * F.col("_u") + F.lit(1.0 - a) * F.col("_o")).alias("p"))
 
 
+def tinted(grey: Column, prob: Column, red: float = 0.65, other: float = 0.30) -> dict[str, Column]:
+    """Red, green and blue of a grey value under a probability's tint."""
+    return {"red": clip(grey + prob * red), "green": clip(grey - prob * other), "blue": clip(grey - prob * other)}
+
+
 def cross_section(vox: DataFrame, *, y: int | None = None, x: int | None = None) -> DataFrame:
     """The XZ plane at a row, or the YZ plane at a column."""
     return vox.where(F.col("y") == y).select("seg_id", "z", "x", "v") if y is not None else vox.where(F.col("x") == x).select("seg_id", "z", "y", "v")

@@ -8,16 +8,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import half_even
+from ..functions.scalars import gaussian, half_even
 
 POSITION = "struct<pos:double,`char`:string,conf:double,source:string>"
 ANSWER = f"positions array<{POSITION}>"
 
 
-def complete(messages: DataFrame, load: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """Runs a text completer over (batch, line_ids, message): adds raw and error. `load` is called once in each worker; an
+def complete(messages: DataFrame, load: Callable[[], Callable[[str], str]], by: list[str] | None = None) -> DataFrame:
+    """Runs a text completer over (by..., batch, line_ids, message), by being text columns: adds raw and error. `load` is called once in each worker; an
     exception becomes the row's error and the others go on."""
 
+    page = by or []
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = load()
         for p in parts:
@@ -27,17 +29,17 @@ def complete(messages: DataFrame, load: Callable[[], Callable[[str], str]]) -> D
                     raw.append(ask(m)), error.append(None)
                 except Exception as e:  # noqa: BLE001
                     raw.append(None), error.append(str(e))
-            yield p.assign(raw=raw, error=error)[["batch", "line_ids", "raw", "error"]]
+            yield p.assign(raw=raw, error=error)[[*page, "batch", "line_ids", "raw", "error"]]
 
-    return messages.mapInPandas(run, "batch int, line_ids array<int>, raw string, error string")
+    return messages.mapInPandas(run, "".join(f"`{c}` string, " for c in page) + "batch int, line_ids array<int>, raw string, error string")
 
 
-def blocks(answers: DataFrame) -> DataFrame:
-    """(line_id, block, error) of (batch, line_ids, raw, error): an answer is cut at ---, one block for each line in order;
+def blocks(answers: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., line_id, block, error) of (by..., batch, line_ids, raw, error): an answer is cut at ---, one block for each line in order;
     missing blocks are {}, surplus ones are dropped."""
     cut = F.transform(F.split("raw", "---"), lambda b: F.trim(b, F.lit(" \t\n\r")))
-    lines = answers.select("raw", "error", cut.alias("cut"), F.posexplode("line_ids").alias("at", "line_id"))
-    return lines.select("line_id", F.when(F.col("error").isNull(), F.coalesce(F.get("cut", F.col("at")), F.lit("{}"))).alias("block"), "error")
+    lines = answers.select(*(by or []), "raw", "error", cut.alias("cut"), F.posexplode("line_ids").alias("at", "line_id"))
+    return lines.select(*(by or []), "line_id", F.when(F.col("error").isNull(), F.coalesce(F.get("cut", F.col("at")), F.lit("{}"))).alias("block"), "error")
 
 
 def without_fences(text: Column) -> Column:
@@ -52,23 +54,24 @@ def positions(text: Column) -> Column:
     return F.coalesce(whole["positions"], inner["positions"], F.array().cast(f"array<{POSITION}>"))
 
 
-def predictions(parsed: DataFrame, column: str = "block") -> DataFrame:
-    """One row for each position, with defaults for what it lacks: line_id, ord, pos, char, conf, source."""
-    p = parsed.select("line_id", F.posexplode(positions(F.col(column))).alias("ord", "q"))
-    return p.select("line_id", "ord", F.coalesce("q.pos", F.lit(0.0)).alias("pos"), F.coalesce("q.char", F.lit("?")).alias("char"), F.coalesce("q.conf", F.lit(0.5)).alias("conf"), F.coalesce("q.source", F.lit("llm_gap")).alias("source"))
+def predictions(parsed: DataFrame, column: str = "block", by: list[str] | None = None) -> DataFrame:
+    """One row for each position, with defaults for what it lacks: by..., line_id, ord, pos, char, conf, source."""
+    p = parsed.select(*(by or []), "line_id", F.posexplode(positions(F.col(column))).alias("ord", "q"))
+    return p.select(*(by or []), "line_id", "ord", F.coalesce("q.pos", F.lit(0.0)).alias("pos"), F.coalesce("q.char", F.lit("?")).alias("char"), F.coalesce("q.conf", F.lit(0.5)).alias("conf"), F.coalesce("q.source", F.lit("llm_gap")).alias("source"))
 
 
-def nearest_candidates(preds: DataFrame, lined: DataFrame, width: int, reach: float = 0.6) -> DataFrame:
+def nearest_candidates(preds: DataFrame, lined: DataFrame, width: int, reach: float = 0.6, by: list[str] | None = None) -> DataFrame:
     """Each prediction with the bounding box of the nearest candidate of its line within `reach` median heights, or none.
 
-    preds: (pid, line_id, pos, ...); lined: (id, line_id, cx, cy, h, w). Candidates of one x count once, the last of them
+    preds: (by..., pid, line_id, pos, ...); lined: (by..., id, line_id, cx, cy, h, w). Candidates of one x count once, the last of them
     serving. Candidates are put in cells as wide as the reach, so a prediction meets those of three cells only."""
-    stats = lined.groupBy("line_id").agg(F.avg("cy").alias("line_y"), F.median("h").alias("char_h"))
-    c = lined.groupBy("line_id", "cx").agg(F.min("id").alias("_ord"), F.max_by(F.struct(*(F.col(k) for k in ("id", "cy", "h", "w"))), "id").alias("box")).join(stats, "line_id")
+    line = [*(by or []), "line_id"]
+    stats = lined.groupBy(*line).agg(F.avg("cy").alias("line_y"), F.median("h").alias("char_h"))
+    c = lined.groupBy(*line, "cx").agg(F.min("id").alias("_ord"), F.max_by(F.struct(*(F.col(k) for k in ("id", "cy", "h", "w"))), "id").alias("box")).join(stats, line)
     cell = F.greatest(F.col("char_h") * reach, F.lit(1.0))
-    c = c.withColumn("cell", F.explode(F.array(*(F.floor(F.col("cx") / cell) + k for k in (-1, 0, 1))))).select("line_id", "cell", "cx", "_ord", "box")
-    p = preds.join(stats, "line_id").withColumn("cell", F.floor(F.col("pos") * width / cell))
-    met = p.join(c, ["line_id", "cell"], "left")
+    c = c.withColumn("cell", F.explode(F.array(*(F.floor(F.col("cx") / cell) + k for k in (-1, 0, 1))))).select(*line, "cell", "cx", "_ord", "box")
+    p = preds.join(stats, line).withColumn("cell", F.floor(F.col("pos") * width / cell))
+    met = p.join(c, [*line, "cell"], "left")
     d = F.abs(F.col("cx") / F.greatest(F.lit(width), F.lit(1)) - F.col("pos")) * width
     met = met.withColumn("d", F.when(d < F.col("char_h") * reach, d))
     best = F.min_by(F.struct("d", "box"), F.when(F.col("d").isNotNull(), F.struct("d", "_ord"))).alias("b")
@@ -96,9 +99,7 @@ def paint(prob: DataFrame, preds: DataFrame, *, radius: int = 12, discount: floa
     span = lambda a, b: F.when(a < b, F.sequence(a.cast("int"), (b - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
     side = lambda lo, hi, c, n: F.when(F.col("boxed"), span(F.greatest(F.lit(0), F.col(lo)), F.least(F.col(n), F.col(hi)))).otherwise(span(F.greatest(F.lit(0), F.col(c) - radius), F.least(F.col(n), F.col(c) + radius + 1)))
     px = p.withColumn("y", F.explode(side("y0", "y1", "cy", "h"))).withColumn("x", F.explode(side("x0", "x1", "cx", "w")))
-    sigma = radius / 2.5
-    dy, dx = F.col("y") - F.col("cy"), F.col("x") - F.col("cx")
-    blob = F.exp(-(dy * dy + dx * dx) / (2 * sigma * sigma)) * F.col("conf") * discount
+    blob = gaussian(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"), radius) * F.col("conf") * discount
     value = F.when(F.col("boxed"), F.least(F.lit(most), F.col("conf"))).otherwise(blob)
     best = px.select("seg_id", "y", "x", value.alias("_v")).groupBy("seg_id", "y", "x").agg(F.max("_v").alias("_v"))
     new = F.greatest("p", F.coalesce("_v", F.col("p")))

@@ -80,12 +80,20 @@ def predict_segment(vox: DataFrame, load: Callable[[], Callable], tile: int, str
     return overlap_average(mask, predict_tiles(patches, load, tile), F.col("mask"))
 
 
+def padded(pixels: DataFrame, size: int) -> DataFrame:
+    """The map with zeros below and to the right, up to whole windows."""
+    e = extents(pixels).withColumns({c: (F.ceil(F.col(c) / size) * size).cast("int") for c in ("h", "w")})
+    cells = e.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    return cells.select("seg_id", "y", "x").join(pixels, ["seg_id", "y", "x"], "left").select("seg_id", "y", "x", F.coalesce("p", F.lit(0.0)).alias("p"))
+
+
 def window_partition(pixels: DataFrame, size: int) -> DataFrame:
     """Window number and place within it of each pixel."""
     return pixels.withColumns({"wy": F.floor(F.col("y") / size).cast("int"), "wx": F.floor(F.col("x") / size).cast("int"), "iy": F.col("y") % size, "ix": F.col("x") % size})
 
 
 def window_merge(pixels: DataFrame, size: int) -> DataFrame:
+    """The places that pixels of windows come from."""
     return pixels.withColumns({"y": F.col("wy") * size + F.col("iy"), "x": F.col("wx") * size + F.col("ix")}).drop("wy", "wx", "iy", "ix")
 
 
@@ -111,11 +119,50 @@ def orientation_average(prob: DataFrame, predict: Callable[[DataFrame], DataFram
     return every.groupBy("seg_id", "y", "x").agg(F.avg("p").alias("p"))
 
 
+def drawn(n: Column | int, *key: Column | str) -> Column:
+    """A whole number in [0, n) that depends on the key alone."""
+    text = F.md5(F.concat_ws(":", *((F.col(k) if isinstance(k, str) else k).cast("string") for k in key)).cast("binary"))
+    return F.pmod(F.conv(F.substring(text, 1, 8), 16, 10).cast("long"), n if isinstance(n, Column) else F.lit(n))
+
+
+def summed_area(pixels: DataFrame, *values: str) -> DataFrame:
+    """Sums of the columns over all pixels above and left of each, itself included; of a map without gaps."""
+    along, down = W.partitionBy("seg_id", "y").orderBy("x"), W.partitionBy("seg_id", "x").orderBy("y")
+    rows = pixels.select("seg_id", "y", "x", *(F.sum(v).over(along).alias(v) for v in values))
+    return rows.select("seg_id", "y", "x", *(F.sum(v).over(down).alias(v) for v in values))
+
+
+def sampled_patches(pixels: DataFrame, n: int, size: int, *, tries: int = 60, seed: int = 0, least_mask: float = 0.6, ink: float = 0.15) -> DataFrame:
+    """n random patches of each segment: seg_id, sample, attempt, y, x, share (of the mask), label (its mean).
+
+    pixels: (seg_id, y, x, mask, label), without gaps. A patch is tried at random places, `tries` of them; the first serves
+    whose mask share is `least_mask` or more and, on every other coin, whose mean label is `ink` or more; without one, the
+    last place. All attempts are rows, whose sums come from four corners of the summed areas, so nothing is cut out to be
+    thrown away."""
+    sums = summed_area(pixels.select("seg_id", "y", "x", F.col("mask").cast("double").alias("m"), F.col("label").cast("double").alias("l")), "m", "l")
+    e = extents(pixels).where((F.col("h") >= size) & (F.col("w") >= size))
+    a = e.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    at = lambda side, c: drawn(F.col(side) - size + 1, "seg_id", "sample", "attempt", F.lit(c), F.lit(seed)).cast("int")
+    a = a.select("seg_id", "sample", "attempt", at("h", "y").alias("y"), at("w", "x").alias("x"))
+    corner = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), (F.col("y") + dy).alias("cy"), (F.col("x") + dx).alias("cx")) for s, dy, dx in ((1, size - 1, size - 1), (-1, -1, size - 1), (-1, size - 1, -1), (1, -1, -1)))))
+    c = a.withColumn("c", corner).select("seg_id", "sample", "attempt", "y", "x", "c.s", "c.cy", "c.cx")
+    met = c.join(sums.select("seg_id", F.col("y").alias("cy"), F.col("x").alias("cx"), "m", "l"), ["seg_id", "cy", "cx"], "left")
+    area = float(size * size)
+    mean = lambda v: (F.sum(F.col("s") * F.coalesce(v, F.lit(0.0))) / area)
+    g = met.groupBy("seg_id", "sample", "attempt", "y", "x").agg(mean("m").alias("share"), mean("l").alias("label"))
+    coin = drawn(2, "seg_id", "sample", "attempt", F.lit("coin"), F.lit(seed)) == 0
+    good = (F.col("share") >= least_mask) & ((F.col("label") >= ink) | coin)
+    last = F.col("attempt") == tries - 1
+    row = F.struct("attempt", "y", "x", "share", "label")
+    best = g.groupBy("seg_id", "sample").agg(F.coalesce(F.min(F.when(good, row)), F.max(F.when(last, row))).alias("b"))
+    return best.select("seg_id", "sample", "b.*")
+
+
 def sampled_tiles(tiled: DataFrame, n: int, *, mask: Column, label: Column, seed: int = 0, least_mask: float = 0.6, ink: float = 0.15) -> DataFrame:
     """n tiles of each segment in a fixed random order: mask share of `least_mask` or more; half of those with a mean label
     below `ink` are left out by a coin that depends on the tile."""
     g = tiled.groupBy("seg_id", "ty", "tx").agg(F.avg(mask.cast("int")).alias("share"), F.avg(label).alias("label"))
-    coin = F.pmod(F.xxhash64("seg_id", "ty", "tx", F.lit(seed + 1)), F.lit(2)) == 0
+    coin = drawn(2, "seg_id", "ty", "tx", F.lit(seed + 1)) == 0
     g = g.where((F.col("share") >= least_mask) & ((F.col("label") >= ink) | coin))
-    rank = F.row_number().over(W.partitionBy("seg_id").orderBy(F.xxhash64("seg_id", "ty", "tx", F.lit(seed)), "ty", "tx"))
+    rank = F.row_number().over(W.partitionBy("seg_id").orderBy(drawn(1 << 32, "seg_id", "ty", "tx", F.lit(seed)), "ty", "tx"))
     return g.withColumn("rank", rank).where(F.col("rank") <= n)

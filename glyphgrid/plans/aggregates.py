@@ -6,16 +6,19 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import augment, metrics, reduce
+from ..session import work_path
 from ..sources import raster
 from .catalog import query
 
 R = lambda c, n=6: F.round(c, n)
 
 
-@query("SELECT seg_id, z, y, x, (v * 257) >> 8 AS v FROM voxels", uses="voxels")
-def s2_wide_values_to_bytes(t):
-    wide = t.voxels.select("seg_id", "z", "y", "x", (F.col("v") * 257).alias("v"))
-    return wide.withColumn("v", S.wide_to_byte(F.col("v")))
+@query("SELECT seg_id, z, y, x, v FROM voxels", uses="voxels")
+def s2_layers_as_bytes(t):
+    """Odd layers are stored with 16 bits, even ones with 8; both come out as bytes."""
+    bits = F.when(F.col("z") % 2 == 1, 16).otherwise(8)
+    stored = t.voxels.select("seg_id", "z", "y", "x", F.when(bits == 16, F.col("v") * 257).otherwise(F.col("v")).alias("v"), bits.alias("bits"))
+    return stored.withColumn("v", S.wide_to_byte(F.col("v"), F.col("bits"))).drop("bits")
 
 
 @query(""", r AS (SELECT * FROM voxels WHERE z >= 2 AND z < 5), s AS (SELECT seg_id, min(v) AS lo, max(v) AS hi FROM r GROUP BY seg_id)
@@ -25,7 +28,7 @@ def s3_min_max_volume(t):
 
 
 @query("SELECT seg_id, y, x, round(lbl / cast(255 AS double), 6) AS t FROM voxels WHERE z = 0", uses="voxels")
-def s1_s4_pseudo_label(t):
+def s4_pseudo_label(t):
     return t.voxels.where("z = 0").select("seg_id", "y", "x", R(F.col("lbl") / 255.0).alias("t"))
 
 
@@ -39,10 +42,32 @@ def s5_binary_label_and_mask(t):
 
 @query(""", s AS (SELECT seg_id, max(v) AS top FROM voxels WHERE z = 0 GROUP BY seg_id)
 SELECT seg_id, y, x, round(least(greatest(CASE WHEN top > 1.5 THEN v / cast(255 AS double) ELSE v END, 0), 1), 6) AS p FROM voxels JOIN s USING (seg_id) WHERE z = 0""", uses="voxels")
-def s6_s7_s8_scaled_map(t):
+def s6_scaled_map(t):
     return reduce.scaled_map(t.voxels.where("z = 0"), "v").withColumn("p", R("p"))
 
 
+@query(""", q AS (SELECT seg_id, y, x, CASE seg_id WHEN 'A' THEN v / cast(100 AS double) WHEN 'N' THEN v / cast(200 AS double) ELSE v - cast(20 AS double) END AS v FROM voxels WHERE z = 0),
+s AS (SELECT seg_id, max(v) AS top FROM q GROUP BY seg_id)
+SELECT seg_id, y, x, round(CASE WHEN top > 1.5 THEN v / 255 ELSE v END, 6) AS unclipped, round(least(greatest(CASE WHEN top > 1.0 THEN v / 255 ELSE v END, 0), 1), 6) AS above_one FROM q JOIN s USING (seg_id)""", uses="voxels")
+def s7_s8_other_scalings(t):
+    """A map with values beyond [0, 1] that isn't clipped, and the rule that divides from a maximum above 1.0 on; the segments'
+    maxima are 2.55, 1.275 and 235 at most."""
+    seg, v = F.col("seg_id"), F.col("v")
+    q = t.voxels.where("z = 0").select("seg_id", "y", "x", F.when(seg == "A", v / 100.0).when(seg == "N", v / 200.0).otherwise(v - 20.0).alias("v"))
+    plain = reduce.scaled_map(q, "v", clipped=False).select("seg_id", "y", "x", R("p").alias("unclipped"))
+    return plain.join(reduce.scaled_map(q, "v", above=1.0).select("seg_id", "y", "x", R("p").alias("above_one")), ["seg_id", "y", "x"])
+
+
+@query("SELECT seg_id, count(*) AS layers, cast(sum(n_px) AS bigint) AS px FROM manifest GROUP BY seg_id", uses="manifest")
+def s10_metadata(t):
+    """Metadata of each segment, written as JSON over several lines and read again."""
+    path = work_path(t.spark, "metadata")
+    m = raster.inventory(t.manifest.select("seg_id", "z", F.col("n_px").alias("length")))
+    text = F.format_string('{\n  "seg_id": "%s",\n  "layers": %d,\n  "px": %d\n}', "seg_id", "layers", "bytes")
+    m.select(text.alias("value"), "seg_id").write.partitionBy("seg_id").text(path)  # a file for each segment
+    return raster.read_metadata(t.spark, path).select("seg_id", "layers", "px")
+
+
 @query("SELECT seg_id, y, x, v FROM voxels WHERE z = 3", uses="voxels")
 def s9_layer_scan(t):
     return t.voxels.where("z = 3").select("seg_id", "y", "x", "v")
@@ -61,16 +86,33 @@ def s12_complete_segments(t):
 
 
 @query("SELECT seg_id, y, x, cast(trunc(p * 255) AS int) AS byte FROM prob", uses="prob")
-def s15_s16_map_bytes(t):
+def s15_map_bytes(t):
     return t.prob.select("seg_id", "y", "x", S.truncated_byte(F.col("p")).alias("byte"))
 
 
+@query("SELECT seg_id, y, x, cast(trunc(p * 255) AS int) AS byte FROM prob WHERE trunc(p * 255) > 0", uses="prob")
+def s16_map_images(t):
+    """Maps as PNG images, and the places above 0 that the images hold."""
+    pictures = raster.images(t.prob, raster.encode_png, "image")
+    return raster.image_pixels(pictures, "image").where("v > 0").select("seg_id", "y", "x", F.col("v").cast("int").alias("byte"))
+
+
 @query("""SELECT user_id % 20 AS run, max(value) AS best_score, arg_max(event_id, struct_pack(v := value, o := -event_id)) AS best, max(event_id) AS last FROM events GROUP BY user_id % 20""")
-def s19_s20_best_and_last_checkpoint(t):
+def s19_best_and_last_checkpoint(t):
     h = t.events.select((F.col("user_id") % 20).alias("run"), "event_id", "value")
     return metrics.best_and_last(h, "event_id", "value", ["run"])
 
 
+@query("SELECT user_id % 20 AS run, event_id AS epoch, round(value, 6) AS val_f05 FROM events")
+def s20_history_table(t):
+    """The history of runs, added epoch by epoch in two goes, and read again."""
+    path = work_path(t.spark, "history")
+    h = t.events.select((F.col("user_id") % 20).alias("run"), F.col("event_id").alias("epoch"), F.col("value").alias("val_f05"))
+    for half in (0, 1):
+        metrics.append_history(h.where(F.col("epoch") % 2 == half), path)
+    return metrics.read_history(t.spark, path, "run long, epoch long, val_f05 double").withColumn("val_f05", R("val_f05"))
+
+
 @query("SELECT seg_id, y, x, max(v) > 0 AS mask FROM voxels GROUP BY seg_id, y, x", uses="voxels")
 def p1_derived_mask(t):
     return reduce.derive_mask(t.voxels)
@@ -131,14 +173,15 @@ def p14_p15_j10_blend(t):
     return reduce.blend(t.prob, t.prob_next, 0.3).withColumn("p", R("p"))
 
 
-@query("""SELECT o.seg_id, o.y, o.x, round(0.7 * n.p + 0.3 * o.p, 6) AS soft, CASE WHEN m.mask THEN o.p ELSE 0 END AS masked, greatest(o.p, CASE WHEN n.p > 0.5 THEN 1 ELSE 0 END) AS overlay
+@query("""SELECT o.seg_id, o.y, o.x, round(0.7 * n.p + 0.3 * o.p, 6) AS soft, CASE WHEN m.mask THEN o.p ELSE 0 END AS masked, greatest(o.p, CASE WHEN n.p > 0.5 THEN 1 ELSE 0 END) AS overlay,
+round(least(greatest(o.p + n.p * 0.65, 0), 1), 6) AS red, round(least(greatest(o.p - n.p * 0.30, 0), 1), 6) AS green, round(least(greatest(o.p - n.p * 0.30, 0), 1), 6) AS blue
 FROM prob o JOIN prob_next n ON o.seg_id = n.seg_id AND o.y = n.y AND o.x = n.x
 JOIN (SELECT seg_id, y, x, max(v) > 200 AS mask FROM voxels GROUP BY ALL) m ON m.seg_id = o.seg_id AND m.y = o.y AND m.x = o.x""", uses="prob prob_next")
 def p16_p17_p18_composites(t):
     key = ["seg_id", "y", "x"]
     m = t.voxels.groupBy(*key).agg((F.max("v") > 200).alias("mask"))
     both = t.prob.join(t.prob_next.withColumnRenamed("p", "q"), key).join(m, key)
-    return both.select(*key, R(0.7 * F.col("q") + 0.3 * F.col("p")).alias("soft"), F.when(F.col("mask"), F.col("p")).otherwise(0.0).alias("masked"), F.greatest("p", F.when(F.col("q") > 0.5, 1.0).otherwise(0.0)).alias("overlay"))
+    return both.select(*key, R(0.7 * F.col("q") + 0.3 * F.col("p")).alias("soft"), F.when(F.col("mask"), F.col("p")).otherwise(0.0).alias("masked"), F.greatest("p", F.when(F.col("q") > 0.5, 1.0).otherwise(0.0)).alias("overlay"), *(R(c).alias(n) for n, c in reduce.tinted(F.col("p"), F.col("q")).items()))
 
 
 @query("""SELECT 'axial' AS axis, seg_id, y AS a, x AS b, max(v) AS top, round(avg(v), 6) AS mean FROM voxels GROUP BY seg_id, y, x
@@ -285,6 +328,12 @@ def f29_middle_section(t):
     return t.voxels.join(rows, ["seg_id", "y"]).select("seg_id", "z", "x", "v")
 
 
+@query("""SELECT 'xz' AS plane, seg_id, z, x AS at, v FROM voxels WHERE y = 12 UNION ALL SELECT 'yz', seg_id, z, y, v FROM voxels WHERE x = 40""", uses="voxels")
+def f29_cross_sections(t):
+    xz = reduce.cross_section(t.voxels, y=12).select(F.lit("xz").alias("plane"), "seg_id", "z", F.col("x").alias("at"), "v")
+    return xz.unionByName(reduce.cross_section(t.voxels, x=40).select(F.lit("yz").alias("plane"), "seg_id", "z", F.col("y").alias("at"), "v"))
+
+
 @query(""", e AS (SELECT unnest(range(0, 60)) AS epoch)
 SELECT epoch, round(CASE WHEN epoch < 5 THEN 0.001 * (epoch + 1) / 5 ELSE 0.001 * 0.5 * (1 + cos(3.141592653589793 * (epoch - 5) / 55)) END, 12) AS lr FROM e""".replace(", e AS", "WITH e AS", 1))
 def w18_learning_rate(t):

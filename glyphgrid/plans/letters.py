@@ -60,36 +60,51 @@ def _hu(t):
     return match.hu_moments(cells, ["id"])
 
 
-_HU = """, ce AS (SELECT {key} AS k, i // 8 AS y, i % 8 AS x FROM {src} WHERE v > 0.5),
-cen AS (SELECT k, avg(y) AS cy, avg(x) AS cx, cast(count(*) AS double) AS m FROM ce GROUP BY k),
-mu AS (SELECT k, m, sum(pow(y - cy, 2)) / pow(m, 2) AS e20, sum(pow(x - cx, 2)) / pow(m, 2) AS e02, sum((y - cy) * (x - cx)) / pow(m, 2) AS e11, sum(pow(y - cy, 3)) / pow(m, 2.5) AS e30, sum(pow(x - cx, 3)) / pow(m, 2.5) AS e03,
- sum(pow(y - cy, 2) * (x - cx)) / pow(m, 2.5) AS e21, sum((y - cy) * pow(x - cx, 2)) / pow(m, 2.5) AS e12 FROM ce JOIN cen USING (k) GROUP BY k, m),
-hm AS (SELECT k, e20 + e02 AS h1, pow(e20 - e02, 2) + 4 * e11 * e11 AS h2, pow(e30 - 3 * e12, 2) + pow(3 * e21 - e03, 2) AS h3, pow(e30 + e12, 2) + pow(e21 + e03, 2) AS h4 FROM mu)
+_POWERS = [(p, q) for p in range(4) for q in range(4) if p + q <= 3]
+_HU = """, {n}ce AS (SELECT {key} AS k, cast(i // 8 AS double) AS y, cast(i % 8 AS double) AS x FROM {src} WHERE v > 0.5),
+{n}m AS (SELECT k, """ + ", ".join(f"sum(pow(y, {p}) * pow(x, {q})) AS m{p}{q}" for p, q in _POWERS) + """ FROM {n}ce GROUP BY k),
+{n}c AS (SELECT *, m10 / m00 AS cy, m01 / m00 AS cx FROM {n}m),
+{n}e AS (SELECT k, (m20 - cy * m10) / pow(m00, 2.0) AS e20, (m02 - cx * m01) / pow(m00, 2.0) AS e02, (m11 - cx * m10) / pow(m00, 2.0) AS e11,
+ (m30 - 3 * cy * m20 + 2 * cy * cy * m10) / pow(m00, 2.5) AS e30, (m03 - 3 * cx * m02 + 2 * cx * cx * m01) / pow(m00, 2.5) AS e03,
+ (m21 - 2 * cy * m11 - cx * m20 + 2 * cy * cy * m01) / pow(m00, 2.5) AS e21, (m12 - 2 * cx * m11 - cy * m02 + 2 * cx * cx * m10) / pow(m00, 2.5) AS e12 FROM {n}c),
+{n}a AS (SELECT *, e30 + e12 AS a, e21 + e03 AS b, e30 - 3 * e12 AS d, 3 * e21 - e03 AS f, e20 - e02 AS s FROM {n}e),
+{n}h AS (SELECT k, [e20 + e02, s * s + 4 * e11 * e11, d * d + f * f, a * a + b * b, d * a * (a * a - 3 * b * b) + f * b * (3 * a * a - b * b), s * (a * a - b * b) + 4 * e11 * a * b,
+ f * a * (a * a - 3 * b * b) - d * b * (3 * a * a - b * b)] AS h FROM {n}a),
+{n}hu AS (SELECT k, list_transform(h, lambda z: -sign(z) * log10(abs(z) + 1e-15)) AS hu FROM {n}h)
+"""
+_HOLES = """, {n}ic AS (SELECT {key} AS k, i, i // 8 AS y, i % 8 AS x FROM {src} WHERE v > 0.5),
+{n}ho AS (SELECT a.k, greatest(0, 1 - (count(*) - count(r.k) - count(d.k) + count(CASE WHEN r.k IS NOT NULL AND d.k IS NOT NULL THEN o.k END))) AS holes
+ FROM {n}ic a LEFT JOIN {n}ic r ON r.k = a.k AND r.y = a.y AND r.x = a.x + 1 LEFT JOIN {n}ic d ON d.k = a.k AND d.y = a.y + 1 AND d.x = a.x LEFT JOIN {n}ic o ON o.k = a.k AND o.y = a.y + 1 AND o.x = a.x + 1 GROUP BY a.k)
 """
 
 
-@query(_INKED + _DT + _HU.format(key="id", src="cellp") + "SELECT k AS id, " + ", ".join(f"round(-sign(h{i}) * log10(abs(h{i}) + 1e-15), 4) AS hu{i}" for i in (1, 2, 4)) + " FROM hm", uses="patches templates")
-def a23_f6_hu_moments(t):
+@query(_INKED + _DT + _HU.format(key="id", src="cellp", n="") + "SELECT k AS id, " + ", ".join(f"round(hu[{i}], 4) + 0.0 AS hu{i}" for i in range(1, 8)) + " FROM hu", uses="patches templates")
+def a23_hu_moments(t):
     h = _hu(t)
-    return h.select("id", *(R(f"hu{i}", 4).alias(f"hu{i}") for i in (1, 2, 4)))
+    return h.select("id", *((R(f"hu{i}", 4) + 0.0).alias(f"hu{i}") for i in range(1, 8)))
 
 
 def _matched(t, k: int):
-    p = match.distance_transform(_patches(t), "cand", _SIDE, "cand_dt").withColumns({"cand_hu": F.array(*[F.lit(0.0)] * 7), "holes": F.lit(0)})
-    b = match.distance_transform(_bank(t), "tpl", _SIDE, "tpl_dt").withColumns({"tpl_hu": F.array(*[F.lit(0.0)] * 7), "expected": (F.col("letter") % 3).cast("int")})
-    return match.match_letters(p, b, _SIDE, k)
-
-
-_ENSEMBLE = _INKED + _DT + """, fw AS (SELECT p.id, d.letter, avg(d.d) AS f FROM cellp p JOIN dtt d ON d.i = p.i WHERE p.v > 0.5 GROUP BY ALL), bw AS (SELECT d.id, c.letter, avg(d.d) AS b FROM cellt c JOIN dtp d ON d.i = c.i WHERE c.v > 0.5 GROUP BY ALL),
-en AS (SELECT id, letter, (f + b) / (8 * cast(1.41421 AS double)) / 2 AS chamfer, (ct - sc * st / n) / (sqrt((sc - sc * sc / n) * (st - st * st / n)) + 1e-8) * 0.5 + 0.5 AS ncc, ct / (sc + st - ct + 1e-8) AS iou FROM sums JOIN fw USING (id, letter) JOIN bw USING (id, letter)),
-es AS (SELECT *, cast(0.40 AS double) * greatest(0, 1 - least(chamfer, 0.5) * 2) + cast(0.35 AS double) * ncc + cast(0.25 AS double) * iou + CASE WHEN letter % 3 <= 1 THEN cast(0.06 AS double) ELSE 0 END AS score FROM en),
-er AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, letter) AS rank FROM es)
+    """Patches and templates by what they measure; expected holes are a table beside the bank, 0 where it has no row."""
+    p = match.described(_patches(t), "id", "cand", _SIDE)
+    b = match.described(_bank(t), "ord", "tpl", _SIDE)
+    expected = b.where("holes > 0").select("letter", F.col("holes").alias("expected"))
+    bank = match.with_expected(b.drop("holes"), expected)
+    return match.match_letters(p, bank, _SIDE, k)
+
+
+_ENSEMBLE = _INKED + _DT + _HU.format(key="id", src="cellp", n="p") + _HU.format(key="letter", src="cellt", n="t") + _HOLES.format(key="id", src="cellp", n="p") + _HOLES.format(key="letter", src="cellt", n="t") + """, fw AS (SELECT p.id, d.letter, avg(d.d) AS f FROM cellp p JOIN dtt d ON d.i = p.i WHERE p.v > 0.5 GROUP BY ALL), bw AS (SELECT d.id, c.letter, avg(d.d) AS b FROM cellt c JOIN dtp d ON d.i = c.i WHERE c.v > 0.5 GROUP BY ALL),
+en AS (SELECT id, letter, (f + b) / (8 * cast(1.41421 AS double)) / 2 AS chamfer, (ct - sc * st / n) / (sqrt((sc - sc * sc / n) * (st - st * st / n)) + 1e-8) * 0.5 + 0.5 AS ncc, ct / (sc + st - ct + 1e-8) AS iou,
+ list_sum(list_transform(range(1, 8), lambda i: abs(phu.hu[i] - thu.hu[i]))) / 7 AS hu_dist, pho.holes AS holes, tho.holes AS expected
+ FROM sums JOIN fw USING (id, letter) JOIN bw USING (id, letter) JOIN phu ON phu.k = id JOIN thu ON thu.k = letter JOIN pho ON pho.k = id JOIN tho ON tho.k = letter),
+es AS (SELECT *, cast(0.40 AS double) * greatest(0, 1 - least(chamfer, 0.5) * 2) + cast(0.35 AS double) * ncc + cast(0.25 AS double) * iou + CASE WHEN abs(holes - expected) <= 1 THEN cast(0.06 AS double) ELSE 0 END AS score FROM en),
+er AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, letter) AS rank FROM es)
 """
 
 
-@query(_ENSEMBLE + "SELECT id, letter, cast(rank AS int) AS rank, round(score, 6) AS score, round(chamfer, 6) AS chamfer, round(ncc, 6) AS ncc, round(iou, 6) AS iou FROM er WHERE rank <= 3", uses="patches templates")
-def x1_f5_f7_j9_o2_ensemble_matcher(t):
-    return _matched(t, 3).select("id", "letter", "rank", *(R(c).alias(c) for c in ("score", "chamfer", "ncc", "iou")))
+@query(_ENSEMBLE + "SELECT id, letter, cast(rank AS int) AS rank, round(score, 6) AS score, round(chamfer, 6) AS chamfer, round(ncc, 6) AS ncc, round(iou, 6) AS iou, round(hu_dist, 4) AS hu_dist FROM er WHERE rank <= 3", uses="patches templates")
+def x1_f5_f6_f7_j9_o2_ensemble_matcher(t):
+    return _matched(t, 3).select("id", "letter", "rank", *(R(c).alias(c) for c in ("score", "chamfer", "ncc", "iou")), R("hu_dist", 4).alias("hu_dist"))
 
 
 @query("SELECT id, area FROM candidates ORDER BY area DESC, id LIMIT 60", uses="candidates")
@@ -164,10 +179,19 @@ def s17_candidates_table(t):
 
 @query()
 def w9_f9_f10_normalised_patches(t):
-    """Stroke-normalised patches, fitted to 16 x 16 squares, and the ink of each."""
+    """Stroke-normalised patches, fitted to 16 x 16 squares, and the same cut to their middle 10 x 10; the ink of each."""
     fit = match.patch_udf(lambda img: match.fitted(match.stroke_normalised(img), 16), 16)
-    p = _patches(t).withColumn("fitted", fit("cand", F.lit(_SIDE), F.lit(_SIDE)))
-    return p.select("id", S.array_sum(F.col("fitted")).alias("ink"))
+    cut = match.patch_udf(lambda img: match.centre_crop(img, 10), 10)
+    p = _patches(t).withColumn("fitted", fit("cand", F.lit(_SIDE), F.lit(_SIDE))).withColumn("middle", cut("fitted", F.lit(16), F.lit(16)))
+    return p.select("id", S.array_sum(F.col("fitted")).alias("ink"), S.array_sum(F.col("middle")).alias("middle_ink"))
+
+
+@query(_INKED + "SELECT id, CASE WHEN j // 12 BETWEEN 2 AND 9 AND j % 12 BETWEEN 2 AND 9 THEN c[(j // 12 - 2) * 8 + j % 12 - 1] ELSE 0 END AS padded, CASE WHEN j < 25 THEN c[(j // 5 + 1) * 8 + j % 5 + 2] END AS cut, cast(j AS int) AS cell FROM pt, range(144) r(j)", uses="patches templates")
+def f10_centred_patches(t):
+    """8 x 8 patches padded to 12 x 12 and cut to 5 x 5, the middle kept."""
+    to = lambda n: match.patch_udf(lambda img: match.centre_crop(img, n), n)
+    p = _patches(t).select("id", to(12)("cand", F.lit(_SIDE), F.lit(_SIDE)).alias("wide"), to(5)("cand", F.lit(_SIDE), F.lit(_SIDE)).alias("small"))
+    return p.select("id", "small", F.posexplode("wide").alias("cell", "padded")).select("id", "cell", "padded", F.when(F.col("cell") < 25, F.get("small", F.col("cell"))).alias("cut"))
 
 
 @query(_LINES + "SELECT line_id, round(avg(cy), 6) AS line_y, median(h) AS median_h, median(w) AS median_w, count(*) AS n FROM ln GROUP BY line_id", uses="candidates", recursive=True)

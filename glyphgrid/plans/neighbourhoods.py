@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import graph, metrics, reduce, stencil, tiles
+from ..operators import augment, graph, metrics, networks, reduce, stencil, tiles
 from .catalog import query
 
 R = lambda c, n=6: F.round(c, n)
@@ -185,6 +185,31 @@ def a21_overlap_average(t):
     return tiles.overlap_average(marked, predicted, F.col("mask")).withColumn("p", R("p"))
 
 
+@query(_GRID + _TILES + """, m AS (SELECT seg_id, ty, tx, avg(p) AS q FROM tp GROUP BY ALL),
+o AS (SELECT tp.seg_id, tp.y, tp.x, sum(m.q * w) / sum(w) AS q FROM (SELECT *, 1 + least(least(y - ty, 27 - y + ty), least(x - tx, 27 - x + tx)) AS w FROM tp) tp JOIN m USING (seg_id, ty, tx) GROUP BY ALL)
+SELECT g.seg_id, g.y, g.x, round(coalesce(o.q, 0), 6) AS p FROM grid g LEFT JOIN o USING (seg_id, y, x)""", uses="prob")
+def a21_weighted_average(t):
+    """Predictions of overlapping tiles, weighted by the distance from the tile's border."""
+    g = _grid(t)
+    tp = tiles.tile_pixels(g, 28, 16)
+    mean = tp.groupBy("seg_id", "ty", "tx").agg(F.avg("p").alias("q"))
+    inside = lambda c, o: F.least(F.col(c) - F.col(o), 27 - F.col(c) + F.col(o))
+    weight = 1.0 + F.least(inside("y", "ty"), inside("x", "tx"))
+    predicted = tp.join(mean, ["seg_id", "ty", "tx"]).select("seg_id", "y", "x", F.col("q").alias("p"), weight.alias("weight"))
+    return tiles.overlap_average(g.select("seg_id", "y", "x"), predicted).withColumn("p", R("p"))
+
+
+@query()
+def m1_segment_network(t):
+    """The network for segments, with weights drawn by a seed, over tiles of the volumes."""
+    vox = t.voxels.select("seg_id", "z", "y", "x", "v")
+    cells = vox.select("seg_id").distinct()
+    for axis, n in (("z", 6), ("y", 63), ("x", 63)):
+        cells = cells.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(n))))
+    full = cells.join(vox, ["seg_id", "z", "y", "x"], "left").select("seg_id", "z", "y", "x", F.coalesce("v", F.lit(0)).alias("v"))
+    return tiles.predict_segment(full, networks.segment_network(networks.drawn_weights(0)), 24, 20).withColumn("p", R("p", 4))
+
+
 def _mean_model():
     """Stands in for a network: the mean over the layers."""
     return lambda x: (x * 255.0).round().astype("float64").mean(axis=1) / 255.0
@@ -192,7 +217,7 @@ def _mean_model():
 
 @query("""SELECT seg_id, y, x, round(CASE WHEN mask AND y < 56 AND x < 56 THEN s / 7 / 255 ELSE 0 END, 5) AS p
 FROM (SELECT seg_id, y, x, max(v) > 0 AS mask, cast(sum(v) AS double) AS s FROM full_voxels GROUP BY seg_id, y, x)""".replace("full_voxels", "(SELECT c.seg_id, c.z, c.y, c.x, coalesce(v.v, 0) AS v FROM (SELECT seg_id, cast(z AS int) AS z, cast(y AS int) AS y, cast(x AS int) AS x FROM (SELECT DISTINCT seg_id FROM voxels), range(7) a(z), range(64) b(y), range(64) d(x)) c LEFT JOIN voxels v ON v.seg_id = c.seg_id AND v.z = c.z AND v.y = c.y AND v.x = c.x)"), uses="voxels")
-def x5_t1_m1_tiled_inference(t):
+def x5_t1_tiled_inference(t):
     cells = t.voxels.select("seg_id").distinct()
     for axis, n in (("z", 6), ("y", 63), ("x", 63)):
         cells = cells.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(n))))
@@ -206,6 +231,17 @@ def f28_window_partition(t):
     return tiles.window_partition(t.prob, 8).drop("y", "x")
 
 
+@query(_GRID + """, c AS (SELECT s.seg_id, cast(y AS int) AS y, cast(x AS int) AS x FROM (SELECT DISTINCT seg_id FROM prob) s, range(70) a(y), range(70) b(x)),
+w AS (SELECT c.seg_id, c.y, c.x, coalesce(g.p, 0) AS p, c.y // 7 AS wy, c.x // 7 AS wx FROM c LEFT JOIN grid g USING (seg_id, y, x))
+SELECT seg_id, y, x, round(p - avg(p) OVER (PARTITION BY seg_id, wy, wx), 6) + 0.0 AS p FROM w WHERE y < 70""", uses="prob")
+def f28_window_round_trip(t):
+    """A map that isn't a whole number of windows: padded, cut into windows, each less its mean, and put together again."""
+    w = tiles.window_partition(tiles.padded(_grid(t), 7), 7)
+    mean = w.groupBy("seg_id", "wy", "wx").agg(F.avg("p").alias("mean"))
+    changed = w.drop("y", "x").join(mean, ["seg_id", "wy", "wx"]).withColumn("p", F.col("p") - F.col("mean")).drop("mean")
+    return tiles.window_merge(changed, 7).select("seg_id", "y", "x", (R("p") + 0.0).alias("p"))
+
+
 @query(""", e AS (SELECT seg_id, max(y) + 1 AS h, max(x) + 1 AS w FROM prob GROUP BY seg_id)
 SELECT seg_id, cast(w - 1 - x AS int) AS y, cast(h - 1 - y AS int) AS x, p FROM prob JOIN e USING (seg_id)""", uses="prob")
 def f14_orientations(t):
@@ -219,10 +255,10 @@ def m7_orientation_average(t):
     return tiles.orientation_average(t.prob, lambda d: d).withColumn("p", R("p"))
 
 
-@query("""SELECT a.seg_id, a.z, a.y, a.x, a.v, coalesce(b.v, 0) AS shifted FROM voxels a LEFT JOIN voxels b ON b.seg_id = a.seg_id AND b.z = a.z - 1 AND b.y = a.y AND b.x = a.x""", uses="voxels")
-def f15_layer_shift(t):
-    up = t.voxels.select("seg_id", (F.col("z") + 1).alias("z"), "y", "x", F.col("v").alias("shifted"))
-    return t.voxels.select("seg_id", "z", "y", "x", "v").join(up, ["seg_id", "z", "y", "x"], "left").withColumn("shifted", F.coalesce("shifted", F.lit(0)))
+@query("""SELECT a.seg_id, a.z, a.y, a.x, coalesce(b.v, 0) AS v FROM voxels a LEFT JOIN voxels b ON b.seg_id = a.seg_id AND b.z = a.z - CASE a.seg_id WHEN 'A' THEN 1 WHEN 'N' THEN -2 ELSE 0 END AND b.y = a.y AND b.x = a.x""", uses="voxels")
+def f15_moved_layers(t):
+    step = F.when(F.col("seg_id") == "A", 1).when(F.col("seg_id") == "N", -2).otherwise(0)
+    return augment.moved_layers(t.voxels.select("seg_id", "z", "y", "x", "v"), ["seg_id"], step).withColumn("v", F.col("v").cast("long"))
 
 
 @query("""SELECT p.seg_id, p.y, p.x, p.p, l.t, n.p AS next_p FROM prob p JOIN labels_map l USING (seg_id, y, x) JOIN prob_next n USING (seg_id, y, x)""", uses="prob labels_map prob_next")
@@ -231,10 +267,34 @@ def j1_pixel_alignment(t):
     return t.prob.join(t.labels_map, key).join(t.prob_next.withColumnRenamed("p", "next_p"), key)
 
 
-@query()
-def t2_o6_sampled_tiles(t):
-    g = _grid(t).join(t.labels_map, ["seg_id", "y", "x"], "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
-    return tiles.sampled_tiles(tiles.tile_pixels(g, 16, 8), 10, mask=F.col("p") > 0.0, label=F.col("t"), least_mask=0.01, ink=0.005)
+_DRAW = "cast('0x' || substr(md5({0}), 1, 8) AS bigint) % {1}"
+_MARKED = _GRID + """, marked AS (SELECT g.seg_id, g.y, g.x, g.p > 0 AS mask, coalesce(l.t, 0) AS label FROM grid g LEFT JOIN labels_map l USING (seg_id, y, x))
+"""
+
+
+def _marked(t):
+    return _grid(t).join(t.labels_map, ["seg_id", "y", "x"], "left").select("seg_id", "y", "x", (F.col("p") > 0).alias("mask"), F.coalesce("t", F.lit(0.0)).alias("label"))
+
+
+@query(_MARKED + """, tl AS (SELECT cast(a * 8 AS int) AS ty, cast(b * 8 AS int) AS tx FROM range(7) r(a), range(7) s(b)),
+g AS (SELECT m.seg_id, ty, tx, avg(CASE WHEN mask THEN 1 ELSE 0 END) AS share, avg(label) AS label FROM marked m JOIN tl ON m.y >= ty AND m.y < ty + 16 AND m.x >= tx AND m.x < tx + 16 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY """ + _DRAW.format("seg_id || ':' || ty || ':' || tx || ':0'", "4294967296") + """, ty, tx) AS rank FROM g
+  WHERE share >= 0.01 AND (label >= 0.005 OR """ + _DRAW.format("seg_id || ':' || ty || ':' || tx || ':1'", "2") + """ = 0))
+SELECT seg_id, ty, tx, round(share, 6) AS share, round(label, 6) AS label, cast(rank AS int) AS rank FROM k WHERE rank <= 10""", uses="prob labels_map")
+def o6_sampled_tiles(t):
+    s = tiles.sampled_tiles(tiles.tile_pixels(_marked(t), 16, 8), 10, mask=F.col("mask"), label=F.col("label"), least_mask=0.01, ink=0.005)
+    return s.withColumns({"share": R("share"), "label": R("label")})
+
+
+@query(_MARKED + """, a AS (SELECT seg_id, n AS sample, k AS attempt, """ + _DRAW.format("seg_id || ':' || n || ':' || k || ':y:0'", "49") + " AS y, " + _DRAW.format("seg_id || ':' || n || ':' || k || ':x:0'", "49") + """ AS x
+  FROM (SELECT DISTINCT seg_id FROM marked), range(6) r(n), range(8) s(k)),
+g AS (SELECT a.seg_id, a.sample, a.attempt, a.y, a.x, avg(CASE WHEN mask THEN 1 ELSE 0 END) AS share, avg(label) AS label FROM a JOIN marked m ON m.seg_id = a.seg_id AND m.y >= a.y AND m.y < a.y + 16 AND m.x >= a.x AND m.x < a.x + 16 GROUP BY ALL),
+f AS (SELECT *, share >= 0.05 AND (label >= 0.02 OR """ + _DRAW.format("seg_id || ':' || sample || ':' || attempt || ':coin:0'", "2") + """ = 0) AS good FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY seg_id, sample ORDER BY good DESC, CASE WHEN good THEN attempt ELSE -attempt END) AS n FROM f)
+SELECT seg_id, cast(sample AS int) AS sample, cast(attempt AS int) AS attempt, cast(y AS int) AS y, cast(x AS int) AS x, round(share, 6) AS share, round(label, 6) AS label FROM k WHERE n = 1""", uses="prob labels_map")
+def t2_sampled_patches(t):
+    s = tiles.sampled_patches(_marked(t), 6, 16, tries=8, least_mask=0.05, ink=0.02)
+    return s.withColumns({"share": R("share"), "label": R("label")})
 
 
 @query("SELECT seg_id, count(*) FILTER (sup) AS n FROM (SELECT seg_id, t < 0.4 OR t > 0.6 AS sup FROM labels_map WHERE seg_id <> 'A') GROUP BY seg_id", uses="labels_map")
@@ -257,7 +317,7 @@ def u4_unknown_ids(t):
 
 
 @query("SELECT seg_id, cast(z AS int) AS z FROM (SELECT DISTINCT seg_id FROM manifest), range(9) r(z) WHERE (seg_id, z) NOT IN (SELECT (seg_id, z) FROM manifest WHERE n_px > 0)", uses="manifest")
-def u5_s13_layers_to_fetch(t):
+def u5_layers_to_fetch(t):
     want = t.manifest.select("seg_id").distinct().withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(8))))
     return want.join(t.manifest.where("n_px > 0"), ["seg_id", "z"], "left_anti")
 

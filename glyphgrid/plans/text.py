@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import lines, match, refine, responses
-from ..session import written
+from ..session import work_path, written
+from ..sources import raster
 from .catalog import query
 from .letters import _GAPS, _LINES, _SIDE, _bank, _lined
 
@@ -68,20 +67,48 @@ def _answers(t):
 @query(""", p AS (SELECT line_id, count(*) AS n, round(sum(round(pos, 3)), 3) AS pos FROM predictions GROUP BY line_id),
 o AS (SELECT *, row_number() OVER (PARTITION BY line_id // 5 ORDER BY line_id) AS k FROM p)
 SELECT line_id, n, pos FROM o WHERE (line_id // 5) % 3 <> 2 OR k <= 3""", uses="predictions")
-def j5_j6_f19_f20_x3_parsed_answers(t):
+def j5_j6_f19_f20_parsed_answers(t):
     preds = responses.predictions(responses.blocks(_answers(t)))
     return preds.groupBy("line_id").agg(F.count("*").alias("n"), R(F.sum("pos"), 3).alias("pos"))
 
 
+def _moody():
+    """Stands in for a language model that fails on every third batch."""
+
+    def ask(message: str) -> str:
+        if int(message) % 3 == 2:
+            raise TimeoutError(f"no answer to {message}")
+        return '{"positions": []}'
+
+    return ask
+
+
+@query("""SELECT batch, line_id, CASE WHEN batch % 3 = 2 THEN 'no answer to ' || batch END AS error, CASE WHEN batch % 3 <> 2 THEN CASE WHEN line_id % 5 = 0 THEN '{"positions": []}' ELSE '{}' END END AS block
+FROM (SELECT DISTINCT line_id, line_id // 5 AS batch FROM predictions)""", uses="predictions")
+def x3_answers_and_errors(t):
+    """A completer's errors stay with their lines; the others go on, and lines without a block of their own get {}."""
+    b = t.predictions.select("line_id", F.floor(F.col("line_id") / 5).cast("int").alias("batch")).distinct().groupBy("batch").agg(F.array_sort(F.collect_list("line_id")).alias("line_ids"))
+    got = responses.complete(b.select("batch", "line_ids", F.col("batch").cast("string").alias("message")), _moody)
+    return responses.blocks(got).select(F.floor(F.col("line_id") / 5).cast("int").alias("batch"), "line_id", "error", "block")
+
+
 @query("SELECT doc_id, 0 AS n FROM documents")
 def f20_malformed_answers(t):
     return t.documents.select("doc_id", F.size(responses.positions(F.col("text"))).alias("n"))
 
 
-@query("""SELECT event_id, cast(json_extract(props, '$.k') AS bigint) AS k FROM events""")
-def f20_f21_json_fields(t):
-    k = F.from_json("props", "k bigint")["k"]
-    return t.events.select("event_id", k.alias("k"))
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN round(pos, 3) ELSE 0 END AS pos, CASE WHEN event_id % 3 = 0 THEN 'x' ELSE '?' END AS "char",
+CASE WHEN event_id % 5 = 0 THEN round(conf, 3) ELSE 0.5 END AS conf, CASE WHEN event_id % 7 = 0 THEN source ELSE 'llm_gap' END AS source FROM predictions""", uses="predictions")
+def f21_defaults_of_fields(t):
+    """Answers of one position each, which lack some of their fields."""
+    has = lambda n: F.col("event_id") % n == 0
+    fields = F.concat_ws(
+        ", ",
+        F.when(has(2), F.format_string('"pos": %s', S.fixed(R("pos", 3), 3))), F.when(has(3), F.lit('"char": "x"')),
+        F.when(has(5), F.format_string('"conf": %s', S.fixed(R("conf", 3), 3))), F.when(has(7), F.format_string('"source": "%s"', F.col("source"))),
+    )
+    one = t.predictions.select(F.col("event_id").alias("line_id"), F.concat(F.lit('{"positions": [{'), fields, F.lit("}]}")).alias("block"))
+    return responses.predictions(one).select(F.col("line_id").alias("event_id"), "pos", "char", "conf", "source")
 
 
 _NEAR = _LINES + """, st AS (SELECT line_id, avg(cy) AS line_y, median(h) AS char_h FROM ln GROUP BY line_id),
@@ -140,16 +167,34 @@ def _matcher(t, size: int = 16, k: int = 3):
     bank = written(match.described(bank, "ord", "tpl", size).withColumnRenamed("holes", "expected"), "bank")
 
     def find(candidates: DataFrame, labelled: DataFrame) -> DataFrame:
-        return match.match_letters(match.described(written(match.candidate_patches(candidates, labelled, size), "patches"), "id", "cand", size), bank, size, k)
+        cut = match.candidate_patches(candidates, labelled, size).select(F.concat_ws(":", "seg_id", "id").alias("id"), "cand")
+        found = match.match_letters(match.described(written(cut, "patches"), "id", "cand", size), bank, size, k)
+        part = lambda n: F.regexp_extract("id", r"(?s)^(.*):(\d+)$", n)
+        return found.withColumn("seg_id", part(1)).withColumn("id", part(2).cast("long"))
 
     return find
 
 
+def _refined(t, steps: int = 1):
+    """The loop over all segments, letters matched and gaps filled; its maps and its log are written and read again."""
+    cfg = refine.RefinementConfig(max_iterations=steps, level=0.5, min_area=4, max_area=800)
+    maps, log = work_path(t.spark, "maps"), work_path(t.spark, "log")
+    out = refine.refine(t.spark, t.prob, 64, config=cfg, complete=_first_choice, match=_matcher(t), maps=maps, log=log)
+    return out, maps, log
+
+
 @query()
-def t5_refinement_step(t):
-    """One step of the loop on each segment of the registry, letters matched and gaps filled; the maps that it ends with."""
-    cfg = refine.RefinementConfig(max_iterations=1, level=0.5, min_area=4, max_area=800)
-    segments = [r["seg_id"] for r in t.prob.select("seg_id").distinct().orderBy("seg_id").collect()]
-    letters = _matcher(t)
-    maps = [refine.refine(t.spark, t.prob, 64, seg_id=s, config=cfg, complete=_first_choice, match=letters).labels for s in segments]
-    return functools.reduce(DataFrame.unionByName, maps).withColumn("p", R("p"))
+def t5_s15_refinement_step(t):
+    """One step of the loop on all segments at once; the newest maps, as they are stored."""
+    _, maps, _ = _refined(t)
+    stored = raster.read_versions(t.spark, maps)
+    newest = raster.latest_version(stored.select("seg_id", "version"))
+    return stored.join(newest, ["seg_id", "version"]).select("seg_id", "y", "x", R("p").alias("p"), "byte")
+
+
+@query("SELECT seg_id, 1 AS iteration, cast(0.3 AS double) AS alpha, true AS stamped FROM prob GROUP BY seg_id", uses="prob")
+def s18_f25_refinement_log(t):
+    """The entries of the loop's log, read again, with whether each has a time in UTC."""
+    _, _, log = _refined(t)
+    got = raster.read_log(t.spark, log, "iteration int, seg_id string, alpha double, timestamp string")
+    return got.select("seg_id", "iteration", "alpha", F.col("timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$").alias("stamped"))

@@ -32,7 +32,7 @@ def test_refinement_step_matches_letters(spark, sf_dir, monkeypatch):
 
     given, real = [], refine.refine
     monkeypatch.setattr(text.refine, "refine", lambda spark, labels, width, **k: given.append(k) or refine.RefinementResult(labels))
-    text.t5_refinement_step(Tables(spark, sf_dir))
+    text._refined(Tables(spark, sf_dir))
     # a ring around a hole: one medium candidate, without gaps beside it
     cells = [("s", y, x, 0.6 if 4 <= y < 20 and 6 <= x < 22 and not (8 <= y < 16 and 10 <= x < 18) else 0.0) for y in range(32) for x in range(32)]
     prob = spark.createDataFrame(cells, "seg_id string, y int, x int, p double")
