@@ -23,14 +23,16 @@ from ._session import give_back, written
 from ._text import U64, Hasher, bytes_of, chunks, letter_spans, lower_ascii, mix, ragged
 
 _SEGMENT = 64
+#: Probability from which a token counts for its document.
+_LIKELY = 0.1
 #: Tokens of the training sample that are worked on at a time.
-_PART = 1 << 18
+_PART = 1 << 17
 
 
 @dataclass(frozen=True)
 class ToxicitySettings:
     """toxic_sample, clean_sample: labelled documents at most of each kind that the model is fitted on, those of least
-    hash. sample_bytes: bytes of their texts at most, the first ones by hash that fit. least_contexts, least_odds:
+    hash. text_bytes, sample_bytes: bytes of a text, and of all texts, at most; the first ones by hash that fit. least_contexts, least_odds:
     surroundings that a word has in toxic documents, and its log odds by them, from which its tokens count as toxic;
     copies of a passage give the same surroundings and so count once. fit_tokens: tokens at most that the field's weights are
     trained on, in documents of a sixteenth of it at most. bits: binary logarithm of the feature table.
@@ -38,11 +40,12 @@ class ToxicitySettings:
 
     toxic_sample: int = 2500
     clean_sample: int = 5000
-    sample_bytes: int = 16 << 20
+    text_bytes: int = 1 << 14
+    sample_bytes: int = 12 << 20
     least_contexts: int = 4
     least_odds: float = 2.5
     fit_tokens: int = 1 << 20
-    bits: int = 20
+    bits: int = 18
     rounds: int = 30
     rate: float = 0.3
     decay: float = 1e-6
@@ -152,14 +155,15 @@ def marginals(score: np.ndarray, first: np.ndarray, transitions: np.ndarray, pai
 
 
 def document_features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(documents, 4): one, log of the expected toxic tokens, its share, and the largest probability."""
+    """(documents, 4): one; the expected toxic tokens, of those that are likely at all, as n / (1 + n), so that a long text
+    doesn't add up to a toxic one; log of their share; and the largest probability."""
     n = np.diff(first)
     out = np.zeros((len(n), 4))
     out[:, 0] = 1
     some = np.flatnonzero(n)
     if len(some):
-        total = np.add.reduceat(p, first[:-1][some])
-        out[some, 1] = np.log1p(total)
+        total = np.add.reduceat(np.where(p >= _LIKELY, p, 0), first[:-1][some])
+        out[some, 1] = total / (1 + total)
         out[some, 2] = np.log1p(1000 * total / n[some])
         out[some, 3] = np.maximum.reduceat(p, first[:-1][some])
     return out
@@ -189,35 +193,40 @@ def train(texts: list[str | None], toxic: list[int], s: ToxicitySettings) -> Crf
         return CrfModel(np.zeros(size, np.float32), -9.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0, 0, 0]), s.bits)
     data, off = bytes_of(pa.array(texts, pa.string()))
     got = []
-    for i, j in chunks(off, 1 << 20):
+    for i, j in chunks(off, 1 << 18):
         own, local = data[off[i] : off[j]], off[i : j + 1] - off[i]
         a, z, n, f = token_features(own, local, s.bits)
         got.append((n, f, _surroundings(own, local, a, z, n)))
     first = np.append(0, np.cumsum(np.concatenate([np.diff(x) for x, _, _ in got])))
     features = np.concatenate([x for _, x, _ in got], axis=1)
-    around = np.concatenate([x for _, _, x in got]) >> U64(s.bits + 1)
+    around = np.concatenate([x for _, _, x in got])
     del got
-    doc = np.repeat(np.arange(len(y)), np.diff(first))
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(first))
     fit = np.arange(len(y)) % 5 != 4
     # distinct contexts of each word in documents of each kind
-    word = features[0].astype(np.int64)
-    toxic_token = y[doc]
-    seen = np.sort(((around << U64(s.bits + 1)) | (toxic_token.astype(U64) << U64(s.bits)) | word.astype(U64))[fit[doc]])
+    toxic_token = y.astype(bool)[doc]
+    around &= ~U64(2 * size - 1)
+    around |= features[0].astype(U64)
+    around[toxic_token] |= U64(size)
+    seen = around[fit[doc]]
+    del around, data
+    seen.sort()
     seen = seen[np.append(True, seen[1:] != seen[:-1])] if len(seen) else seen
-    kind, word = (seen >> U64(s.bits) & U64(1)).astype(np.int64), (seen & U64(size - 1)).astype(np.int64)
-    d1 = np.bincount(word[kind == 1], minlength=size)
-    d0 = np.bincount(word[kind == 0], minlength=size)
+    seen = (seen & U64(2 * size - 1)).astype(np.int32)  # kind and word
+    d1 = np.bincount(seen[seen >= size] - size, minlength=size)
+    d0 = np.bincount(seen[seen < size], minlength=size)
     n1, n0 = int(d1.sum()), int(d0.sum())
-    del seen, word, kind, around, data
+    del seen
     odds = np.log((d1 + 0.5) / (n1 + 1)) - np.log((d0 + 0.5) / (n0 + 1))
     known = (odds >= s.least_odds) & (d1 >= s.least_contexts)
-    tag = (known[features[0]] & (toxic_token == 1)).astype(np.float64)
+    tag = known[features[0]] & toxic_token
     # train on documents of the first four fifths, as many as the bound allows
     n = np.diff(first)
     taken = fit & (n <= s.fit_tokens // 16)
     taken &= np.cumsum(n * taken) <= s.fit_tokens
     use = taken[doc]
-    f, g = features[:, use], tag[use]
+    f, g = features[:, use], tag[use].astype(np.float64)
+    del use, tag, toxic_token, doc
     n = n[taken]
     begin = np.append(0, np.cumsum(n))
     w, bias, trans = np.zeros(size), -4.0, np.array([[1.0, -1.0], [0.0, 0.0]])
@@ -290,7 +299,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     order = F.xxhash64(F.col("_id"), F.lit(1)), F.col("_id")
     own = own.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     some = own.where("_toxic = 1").orderBy(*order).limit(s.toxic_sample).unionByName(own.where("_toxic = 0").orderBy(*order).limit(s.clean_sample))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.octet_length("_text") <= s.sample_bytes)
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.octet_length("_text") <= s.text_bytes)
     # ids of a bounded sample, and one text of each: the least, where an id stands in several rows
     one = texts.join(F.broadcast(some), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_toxic").alias("_toxic"))
     one = written(one, "sample")
@@ -298,7 +307,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     total = np.cumsum([r["n"] for r in sizes])
     chosen = [r["_id"] for r, n in zip(sizes, total.tolist(), strict=True) if n <= s.sample_bytes]
     rows = one.where(F.col("_id").isin(chosen)).orderBy(F.xxhash64("_id"), "_id").collect() if len(chosen) < len(sizes) else one.orderBy(F.xxhash64("_id"), "_id").collect()
-    return train([r["_text"] for r in rows], [r["_toxic"] for r in rows], s)
+    model = train([r["_text"] for r in rows], [r["_toxic"] for r in rows], s)
+    del rows
+    give_back()
+    return model
 
 
 def tag_toxicity(docs: DataFrame, model: CrfModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,7 +329,7 @@ def tag_toxicity(docs: DataFrame, model: CrfModel, id_col: str = "doc_id", text_
         m = shared.value
         for b in batches:
             data, off = bytes_of(b[text_col])
-            for i, j in chunks(off, 1 << 20):
+            for i, j in chunks(off):
                 score, starts, ends = score_texts(m, data[off[i] : off[j]], off[i : j + 1] - off[i])
                 own = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*(own[c] for c in names), pa.array(score), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], names=[*names, "toxic_score", "toxic_starts", "toxic_ends"])

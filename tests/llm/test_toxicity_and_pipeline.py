@@ -103,7 +103,8 @@ def brute_score(model, text):
     for k in range(n - 2, -1, -1):
         bw[k] = tuple(np.logaddexp(t[i, 0] + pot[k + 1][0] + bw[k + 1][0], t[i, 1] + pot[k + 1][1] + bw[k + 1][1]) for i in (0, 1))
     p = [1 / (1 + np.exp(f[0] + b[0] - f[1] - b[1])) for f, b in zip(fw, bw, strict=True)]
-    x = [1, np.log1p(sum(p)), np.log1p(1000 * sum(p) / n), max(p)] if n else [1, 0, 0, 0]
+    total = sum(v for v in p if v >= 0.1)
+    x = [1, total / (1 + total), np.log1p(1000 * total / n), max(p)] if n else [1, 0, 0, 0]
     runs = []
     for k, (a, z) in enumerate(tokens):
         if p[k] >= 0.5:
