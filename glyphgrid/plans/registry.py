@@ -9,4 +9,4 @@ from __future__ import annotations
 from . import aggregates, letters, neighbourhoods, text  # noqa: F401
 from .catalog import ORACLE_SQL, QUERIES  # noqa: F401
 
-FLAGSHIP = "t5_refinement_step"
+FLAGSHIP = "t5_s15_refinement_step"
