@@ -189,7 +189,7 @@ def t5_s15_refinement_step(t):
     _, maps, _ = _refined(t)
     stored = raster.read_versions(t.spark, maps)
     newest = raster.latest_version(stored.select("seg_id", "version"))
-    return stored.join(newest, ["seg_id", "version"]).select("seg_id", "y", "x", R("p").alias("p"), "byte")
+    return stored.join(newest, ["seg_id", "version"]).select("seg_id", "y", "x", R("p").alias("p"))
 
 
 @query("SELECT seg_id, 1 AS iteration, cast(0.3 AS double) AS alpha, true AS stamped FROM prob GROUP BY seg_id", uses="prob")
