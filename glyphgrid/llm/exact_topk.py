@@ -24,11 +24,13 @@ from .embedding_dedup import matrix_rows
 @dataclass(frozen=True)
 class TopKSettings:
     """k: scores for each query. bins: bins of a histogram. block: candidates, and queries, that meet in one task at a
-    time. scale: components become floor(scale * x)."""
+    time, at most; least: candidates of a block below which it isn't cut further to give every task one.
+    scale: components become floor(scale * x)."""
 
     k: int = 5
     bins: int = 1024
     block: int = 2048
+    least: int = 256
     scale: float = 256.0
 
 
@@ -161,9 +163,11 @@ def exact_topk(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col:
     marked = written(d.where("query").select("id").distinct(), "queries")
     n = ready.count()
     n_queries = marked.count()
-    cbs, qbs = max(1, -(-n // s.block)), max(1, -(-n_queries // s.block))
+    qbs = max(1, -(-n_queries // s.block))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cbs = max(1, -(-n // s.block), min(-(-tasks // qbs), n // s.least))
     of = lambda m, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
-    shard = F.pmod(F.xxhash64("dim", "qb", "cb"), F.lit(cbs * qbs)).cast("int").alias("shard")
+    shard = (F.col("qb").cast("long") * cbs + F.col("cb")).alias("shard")
     asked = written(ready.join(marked, "id").dropDuplicates(["id", "data"]).withColumn("qb", of(qbs, 1)), "asked")
     c = ready.withColumn("cb", of(cbs, 2)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qbs - 1)))).select("id", "dim", "big", "data", "qb", "cb", F.lit(False).alias("query"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("width"))
 
