@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from .stencil import extents
 
 
-def tile_numbers(at: Column, size: Column, tile: int, stride: int) -> Column:
-    """Numbers of the tiles that cover a coordinate; tiles reach to the end of the image at most, so a rest stays uncovered."""
+def tile_numbers(at: Column, size: Column, tile: int, stride: int, last: Column | None = None) -> Column:
+    """Numbers of the tiles that cover a coordinate, or any from it to `last`; tiles reach to the end of the image at most, so a
+    rest stays uncovered."""
     n = F.floor((size - tile) / stride)
     lo = F.greatest(F.lit(0), F.ceil((at - tile + 1) / stride)).cast("int")
-    hi = F.least(n, F.floor(at / stride)).cast("int")
+    hi = F.least(n, F.floor((at if last is None else last) / stride)).cast("int")
     return F.when((size >= tile) & (lo <= hi), F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
 
 
