@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import augment, graph, metrics, networks, reduce, stencil, tiles
+from ..operators import augment, block_tiles, graph, metrics, networks, reduce, stencil, tiles
+from ..session import work_path
+from ..sources import blocks
 from .catalog import query
 
 R = lambda c, n=6: F.round(c, n)
@@ -226,6 +228,19 @@ def x5_t1_tiled_inference(t):
     return tiles.predict_segment(vox, _mean_model, 24, 16).withColumn("p", R("p", 5))
 
 
+@query("""SELECT seg_id, y, x, round(sum(v) / cast(7 AS double) / 255, 4) AS p FROM voxels WHERE y < 56 AND x < 56
+GROUP BY seg_id, y, x HAVING round(sum(v) / cast(7 AS double) / 255, 4) > 0""", uses="voxels")
+def x5_x6_block_inference(t):
+    """Volumes are written as block rows; what is read from them is predicted tile by tile. Cells that are 0 have no row."""
+    path = work_path(t.spark, "blocks")
+    # the corner tells how far each volume reaches, and that it has 7 layers
+    ends = t.voxels.select("seg_id").distinct().select("seg_id", F.explode(F.array(F.lit(0), F.lit(6))).alias("z"), F.lit(63).alias("y"), F.lit(63).alias("x"), F.lit(0).alias("v"))
+    vox = t.voxels.select("seg_id", "z", "y", "x", "v").unionByName(ends).groupBy("seg_id", "z", "y", "x").agg(F.max("v").alias("v"))
+    blocks.write_blocks(blocks.to_blocks(vox, 16), path)
+    p = block_tiles.predict_blocks(blocks.read_blocks(t.spark, path), _mean_model, 24, 16, 16)
+    return block_tiles.map_pixels(p, 16).withColumn("p", R("p", 4)).where("p > 0")
+
+
 @query("SELECT seg_id, y // 8 AS wy, x // 8 AS wx, y % 8 AS iy, x % 8 AS ix, p FROM prob", uses="prob")
 def f28_window_partition(t):
     return tiles.window_partition(t.prob, 8).drop("y", "x")
