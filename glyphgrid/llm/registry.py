@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tree_queries
 from ._session import table, work_path, written
 from .embedding_dedup import embedding_dedup
 from .exact_topk import exact_topk
@@ -89,7 +90,7 @@ _ALL = (
     op1_embedding_near_dedup, op2_suffix_dedup, op3_substring_dedup, op4_minhash_near_dedup, op5_best_fit_packing,
     op6_toxicity_crf, op7_exact_topk, op8_huffman_tokens, op9_token_rollup, op10_temperature_mixing,
 )
-QUERIES = {f.__name__: f for f in _ALL}
+QUERIES = {f.__name__: f for f in _ALL} | tree_queries.QUERIES
 
 _TOPK_SQL = """
 WITH v AS (
@@ -259,4 +260,4 @@ SELECT w.doc_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_shingles, coalesce(compon
 FROM w LEFT JOIN k ON k.doc_id = w.doc_id LEFT JOIN c ON c.id = w.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": _VECTOR_SQL, "op2_suffix_dedup": _SUFFIX_SQL, "op4_minhash_near_dedup": _NEAR_SQL, "op7_exact_topk": _TOPK_SQL, "op3_substring_dedup": _WINDOW_SQL, "op10_temperature_mixing": _MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": _VECTOR_SQL, "op2_suffix_dedup": _SUFFIX_SQL, "op4_minhash_near_dedup": _NEAR_SQL, "op7_exact_topk": _TOPK_SQL, "op3_substring_dedup": _WINDOW_SQL, "op10_temperature_mixing": _MIX_SQL} | tree_queries.ORACLE_SQL
