@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ._session import table
 from .conversation_trie import rebuilt_trie
+from .katz import katz_scores
 from .merkle import merkle_manifest, proof_digests
 
 
@@ -16,11 +17,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proof_digests(merkle_manifest(table(spark, sf_dir, "documents"), altered={"n_chars": tampered}))
 
 
+def op12_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts by a word-pair model of those whose crc32(doc_id) leaves another rest than 1 by 5. Scores are rounded to six
+    decimals, as they are sums in any order."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    d = katz_scores(table(spark, sf_dir, "documents"), ~held_out)
+    return d.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op11_merkle_manifest, op13_conversation_trie)}
+QUERIES = {f.__name__: f for f in (op11_merkle_manifest, op12_katz_scoring, op13_conversation_trie)}
 
 
 def _crc32(x: str) -> str:
@@ -83,6 +92,51 @@ WITH RECURSIVE d AS (
 SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, folded_root, folded_root = root AS verified FROM z
 """
 
+_KATZ_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, coalesce({_crc32("doc_id")} % 5 = 1, false) AS held_out, row_number() OVER () AS d,
+         list_concat(list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: 'w' || x), ['end']) AS ws
+  FROM documents
+), t AS (
+  SELECT d, held_out, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS h FROM w, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)
+), u AS (
+  SELECT w, CAST(count(*) AS DOUBLE) AS c FROM t WHERE NOT held_out GROUP BY w
+), b AS (
+  SELECT h, w, CAST(count(*) AS DOUBLE) AS c FROM t WHERE NOT held_out AND h IS NOT NULL GROUP BY h, w
+), g AS (  -- counts of counts
+  SELECT 1 AS k, c, CAST(count(*) AS DOUBLE) AS n FROM u WHERE c <= 6 GROUP BY c
+  UNION ALL
+  SELECT 2, c, CAST(count(*) AS DOUBLE) FROM b WHERE c <= 6 GROUP BY c
+), r AS (
+  SELECT a.k, a.c, a.n, (a.c + 1) * coalesce(x.n, 0) / (a.c * a.n) AS raw, 6 * coalesce(s.n, 0) / o.n AS rest
+  FROM g a LEFT JOIN g x ON x.k = a.k AND x.c = a.c + 1 LEFT JOIN g s ON s.k = a.k AND s.c = 6 JOIN g o ON o.k = a.k AND o.c = 1
+  WHERE a.c <= 5
+), f AS (  -- the share of a count that is kept
+  SELECT k, c, n, CASE WHEN rest < 1 AND (raw - rest) / (1 - rest) > 0 AND (raw - rest) / (1 - rest) < 1 THEN (raw - rest) / (1 - rest) ELSE 1 END AS kept FROM r
+), n AS (
+  SELECT coalesce((SELECT sum(c) FROM u), 0) AS tokens, (SELECT count(*) FROM u) AS types, coalesce((SELECT sum(c * n * (1 - kept)) FROM f WHERE k = 1), 0) AS lost
+), m AS (
+  SELECT tokens, types, tokens + CASE WHEN lost = 0 THEN 1 ELSE 0 END AS whole, CASE WHEN lost = 0 THEN 1 ELSE lost END / (tokens + CASE WHEN lost = 0 THEN 1 ELSE 0 END) AS unknown FROM n
+), p AS (
+  SELECT u.w, u.c, u.c * coalesce(f.kept, 1) / m.whole AS p FROM u CROSS JOIN m LEFT JOIN f ON f.k = 1 AND f.c = u.c
+), q AS (
+  SELECT b.h, b.w, b.c * coalesce(f.kept, 1) AS kept, b.c * (1 - coalesce(f.kept, 1)) AS lost, p.p
+  FROM b LEFT JOIN f ON f.k = 2 AND f.c = b.c JOIN p ON p.w = b.w
+), x AS (
+  SELECT q.h, any_value(u.c) + CASE WHEN sum(lost) = 0 THEN 1 ELSE 0 END AS whole, CASE WHEN sum(lost) = 0 THEN 1 ELSE sum(lost) END AS lost, sum(q.p) AS low
+  FROM q JOIN u ON u.w = q.h GROUP BY q.h
+), s AS (
+  SELECT t.d, p.c IS NOT NULL AS known, log10((coalesce(p.c, 0) + 0.5) / (m.tokens + 0.5 * (m.types + 1))) AS base,
+         log10(CASE WHEN x.h IS NULL THEN coalesce(p.p, m.unknown) WHEN q.h IS NOT NULL THEN q.kept / x.whole
+           ELSE x.lost / x.whole / greatest(1 - x.low, CAST(1e-12 AS DOUBLE)) * coalesce(p.p, m.unknown) END) AS score
+  FROM t CROSS JOIN m LEFT JOIN p ON p.w = t.w LEFT JOIN x ON x.h = t.h LEFT JOIN q ON q.h = t.h AND q.w = t.w
+), e AS (
+  SELECT d, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, sum(base) AS base, sum(score) AS score FROM s GROUP BY d
+)
+SELECT w.doc_id, w.held_out, e.n_tokens, e.n_known, CAST(m.tokens AS BIGINT) AS train_tokens, round(base, 6) AS base_score, round(score, 6) AS score
+FROM w JOIN e ON e.d = w.d CROSS JOIN m
+"""
+
 _TRIE_SQL = f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
@@ -122,4 +176,4 @@ SELECT g.conv_id, CAST(g.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id
 FROM g JOIN m ON m.prefix = g.prefix JOIN s ON s.prefix = g.prefix LEFT JOIN k ON k.prefix = g.prefix LEFT JOIN g up ON up.prefix = k.above
 """
 
-ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": _MERKLE_SQL, "op13_conversation_trie": _TRIE_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": _MERKLE_SQL, "op12_katz_scoring": _KATZ_SQL, "op13_conversation_trie": _TRIE_SQL}
