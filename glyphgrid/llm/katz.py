@@ -68,11 +68,11 @@ class Level:
         return d
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray, level: int = 3) -> bytes:
     """Arrays as one compressed value; bytes of numbers are laid out by their place, so that the high ones fall together."""
     head = np.array([len(arrays), *(x for a in arrays for x in (len(a), ord(a.dtype.char)))], np.int64)
     body = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in map(np.ascontiguousarray, arrays) if len(a))
-    return zstandard.compress(head.tobytes() + body, 3)
+    return zstandard.compress(head.tobytes() + body, level)
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
@@ -87,6 +87,12 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, of which there are few, and the place of each among them."""
+    lows, which = np.unique(values, return_inverse=True)
+    return which.astype(np.uint32), lows
+
+
 def _steps(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=ascending.dtype.type(0))
 
@@ -107,7 +113,7 @@ def _blocks(size: int):
         part, n, held, length = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def block() -> pa.RecordBatch:
-            data = _pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            data = _pack(*(np.concatenate(x) for x in zip(*held, strict=True)), level=6)
             return pa.RecordBatch.from_arrays([pa.array([part + n], pa.int64()), pa.array([data], pa.binary())], names=["block", "data"])
 
         for batch in batches:
@@ -145,13 +151,24 @@ class _Tokens:
         self.token = np.full(int(self.start[-1]), _END, U64)
         if len(a):
             self.token[np.arange(len(a)) + np.repeat(np.arange(len(words)), words)] = span_hashes(low, a, z)
-        self.place = np.arange(len(self.token)) - np.repeat(self.start[:-1], self.counts)
+        self.place = (np.arange(len(self.token)) - np.repeat(self.start[:-1], self.counts)).astype(np.int32)
         self.train = np.repeat(train, self.counts)
 
 
+def _local(context: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
+    """Contexts as a shard numbers them: its own ones, whose number has its remainder, without gaps, then those spread to it."""
+    s = U64(shards)
+    return ((context + s - shard.astype(U64)) % s) << U64(44) | context // s
+
+
+def _global(local: np.ndarray, shard, shards: int) -> np.ndarray:
+    s = U64(shards)
+    return (local & U64((1 << 44) - 1)) * s + ((local >> U64(44)) + np.asarray(shard).astype(U64)) % s
+
+
 @dataclass
 class _Asked:
-    """A block's distinct n-grams in order of shard, context and word; n counts them in training texts, low is their probability
+    """Contexts are in their shard's numbers. A block's distinct n-grams in order of shard, context and word; n counts them in training texts, low is their probability
     by the shorter context, `of` their place for each token (-1: none asked), spread marks contexts that several shards hold."""
 
     shard: np.ndarray
@@ -180,7 +197,7 @@ class _Known:
         if k == 1:
             at = np.arange(len(t.token))
             context, word, spread = np.zeros(len(at), U64), t.token, np.zeros(len(at), bool)
-            shard = (word % shards).astype(np.int64)
+            shard = (word % shards).astype(np.int32)
         else:
             # only after contexts that training has seen; all words that it hasn't are one
             at = np.flatnonzero(t.place >= k - 1)
@@ -189,15 +206,19 @@ class _Known:
             over = -(-self.count[k - 2][at - 1] // max(4096, self.levels[0].tokens // _SPLIT))
             spread = over > 1
             salt = np.where(spread, mix(word) % np.maximum(np.minimum(over, self.shards), 1).astype(U64), U64(0))
-            shard = (mix(mix(context + U64(1)) + salt) % shards).astype(np.int64)
+            shard = ((context + salt) % shards).astype(np.int32)
+            context = _local(context, shard, self.shards)
+            del over, salt
         order = np.lexsort((word, context, shard))
         s, c, w = shard[order], context[order], word[order]
         head = _heads(s, c, w)
-        number = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(s))))
-        of = np.full(len(t.token), -1, np.int64)
-        of[at[order]] = number
-        n = np.bincount(number, t.train[at[order]], len(head)).astype(np.int64)
-        return _Asked(s[head], c[head], w[head], n, self.prob[at[order[head]]], spread[order[head]], of)
+        s, c, w = s[head], c[head], w[head]
+        number = np.repeat(np.arange(len(head), dtype=np.int32), np.diff(np.append(head, len(order))))
+        at = at[order]
+        of = np.full(len(t.token), -1, np.int32)
+        of[at] = number
+        n = np.bincount(number, t.train[at], len(head)).astype(np.int64)
+        return _Asked(s, c, w, n, self.prob[at[head]], spread[order[head]], of)
 
     def _learn(self, k: int, level: Level, answers: dict[int, bytes]) -> None:
         a, keep = self.asked(k), level.kept()
@@ -207,18 +228,19 @@ class _Known:
         bounds = np.searchsorted(a.shard, np.arange(self.shards + 1))
         for s, data in answers.items():
             i, j = int(bounds[s]), int(bounds[s + 1])
-            total, rank, mask, sums, shorter = _unpack(data)
+            total, rank, *told = _unpack(data)
             count[i:j] = total
             if len(rank):
                 number[i + np.flatnonzero(total)] = np.cumsum(rank.astype(np.int64)) * self.shards + s
             if k > 1:
+                mask, sums, lows = told
                 some[i:j] = mask[_numbered(a.context[i:j])]
                 missing = i + np.flatnonzero(total == 0)
                 which = _numbered(a.context[missing])
-                left[missing], low[missing] = sums.reshape(-1, MOST)[which], shorter[which]
+                left[missing], low[missing] = sums.reshape(-1, MOST)[which], lows[which]
         if len(level.spread):
             for i in np.flatnonzero(a.spread).tolist():
-                left[i], low[i] = level.spread[int(a.context[i])]
+                left[i], low[i] = level.spread[int(_global(a.context[i : i + 1], a.shard[i], self.shards)[0])]
                 some[i] = _mask(left[i : i + 1])[0]
         have = a.of >= 0
         self.number.append(np.where(have, number[a.of], -1) if m else np.full(len(have), -1))
@@ -271,12 +293,11 @@ def _ask(key: tuple, blocks: pa.Table, answers: pa.Table, *, levels: list[Level]
     data = []
     for s in some.tolist():
         x = slice(int(bounds[s]), int(bounds[s + 1]))
-        lows, which = np.unique(a.low[x][a.n[x] > 0], return_inverse=True)  # few are different
-        data.append(_pack(_steps(a.context[x]), a.word[x], a.n[x].astype(np.uint32), which.astype(np.uint32), lows, np.unique(a.context[x][a.spread[x]])))
+        data.append(_pack(_steps(a.context[x]), a.word[x], a.n[x].astype(np.uint32), *_coded(a.low[x][a.n[x] > 0]), np.unique(a.context[x][a.spread[x]])))
     return pa.table({"shard": pa.array(some.astype(np.int32)), "block": pa.array(np.full(len(some), key[0].as_py(), np.int64)), "data": pa.array(data, pa.binary())})
 
 
-def _meet(key: tuple, table: pa.Table, *, k: int, last: bool) -> pa.Table:
+def _meet(key: tuple, table: pa.Table, *, k: int, last: bool, shards: int) -> pa.Table:
     """A shard's n-grams of order k: its rows of each kind. Of the last order no numbers are told, as nothing asks for them."""
     blocks = table["block"].to_pylist()
     sent = [_unpack(x) for x in table["data"].to_pylist()]
@@ -306,13 +327,13 @@ def _meet(key: tuple, table: pa.Table, *, k: int, last: bool) -> pa.Table:
         g = of[cut[i] : cut[i + 1]]
         missing = group[g[~seen[g]]]
         missing = missing[_heads(missing)]
-        told = (mask[group[g[_heads(context[g])]]], left[missing].ravel().astype(np.int32), below[missing]) if k > 1 else (mask[:0], np.zeros(0, np.int32), below[:0])
+        told = (mask[group[g[_heads(context[g])]]], left[missing].ravel().astype(np.int32), below[missing]) if k > 1 else ()
         rows.append((_ANSWER, block, _pack(total[g].astype(np.uint32), _steps(rank[g[seen[g]][: 0 if last else None]]).astype(np.uint32), *told), None, [0] * len(_COUNTS), 0, 0.0))
     rows.append((_TOTAL, None, None, int(seen.sum()), [int((total == r).sum()) for r in range(1, MOST + 2)], int(total.sum()), 0.0))
     for g in np.searchsorted(context[first], spread).tolist():
-        rows.append((_SPREAD, None, None, int(context[first[g]]), [*left[g].tolist(), 0], 0, float(below[g])))
+        rows.append((_SPREAD, None, None, int(_global(context[first[g : g + 1]], own, shards)[0]), [*left[g].tolist(), 0], 0, float(below[g])))
     trained = np.unique(group[seen])
-    rows.append((_TABLE, None, _pack(_steps(context[seen]), word[seen], total[seen], left[trained].ravel(), below[trained]), None, [0] * len(_COUNTS), 0, 0.0))
+    rows.append((_TABLE, None, _pack(_steps(context[seen]), word[seen], total[seen], left[trained].ravel(), *_coded(below[trained])), None, [0] * len(_COUNTS), 0, 0.0))
     kind, block, data, number, counts, tokens, lows = zip(*rows, strict=True)
     fields = [pa.array(kind, pa.int32()), pa.array(block, pa.int64()), pa.array([own] * len(rows), pa.int32()), pa.array(data, pa.binary()), pa.array(number, pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*counts, strict=True)), pa.array(tokens, pa.int64()), pa.array(lows, pa.float64())]
     return pa.table(fields, names=_NAMES)
@@ -339,7 +360,7 @@ class KatzModel:
         for k in range(1, s.order + 1):
             asked = self._met(_ask, "shard int, block long, data binary")
             path = work_path(self.spark, f"grams-{k}")
-            asked.groupBy("shard").applyInArrow(by_key(_meet, k=k, last=k == s.order), _SCHEMA).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+            asked.groupBy("shard").applyInArrow(by_key(_meet, k=k, last=k == s.order, shards=self.shards), _SCHEMA).write.option("compression", "zstd").partitionBy("kind").parquet(path)
             self.tables.append(self.spark.read.schema(_SCHEMA).parquet(path))
             self.levels.append(self._level(self.tables[-1]))
 
@@ -377,7 +398,7 @@ class KatzModel:
             for batch in batches:
                 for shard, data in zip(batch["shard"].to_pylist(), batch["data"].to_pylist(), strict=True):
                     steps, word, count, *_ = _unpack(data)
-                    context = np.cumsum(steps, dtype=U64).view(np.int64)
+                    context = _global(np.cumsum(steps, dtype=U64), shard, shards).view(np.int64) if k > 1 else np.zeros(len(steps), np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(word)) * shards + shard, pa.int64()), pa.array(context), pa.array(word.view(np.int64)), pa.array(count, pa.int64())], names=["number", "context", "word", "count"])
 
         return self.tables[k - 1].where(F.col("kind") == _TABLE).select("shard", "data").mapInArrow(run, "number long, context long, word long, count long")
@@ -386,15 +407,17 @@ class KatzModel:
         """What contexts of the n-grams of order k leave to shorter ones: context, n1 to n5 (successors by count), low (the shorter
         probability of all successors). A spread context has a row in each of its shards, to be added up."""
 
+        shards = self.shards
+
         def run(batches):
             for batch in batches:
-                for data in batch["data"].to_pylist():
-                    steps, _, _, left, low = _unpack(data)
-                    context = np.cumsum(steps, dtype=U64)
+                for shard, data in zip(batch["shard"].to_pylist(), batch["data"].to_pylist(), strict=True):
+                    steps, _, _, left, at, lows = _unpack(data)
+                    context = _global(np.cumsum(steps, dtype=U64), shard, shards)
                     left = left.reshape(-1, MOST)
-                    yield pa.RecordBatch.from_arrays([pa.array(context[_heads(context)].view(np.int64)), *(pa.array(left[:, r]) for r in range(MOST)), pa.array(low)], names=["context", *_COUNTS[:MOST], "low"])
+                    yield pa.RecordBatch.from_arrays([pa.array(context[_heads(context)].view(np.int64)), *(pa.array(left[:, r]) for r in range(MOST)), pa.array(lows[at])], names=["context", *_COUNTS[:MOST], "low"])
 
-        return self.tables[k - 1].where(F.col("kind") == _TABLE).select("data").mapInArrow(run, "context long, " + ", ".join(f"{n} long" for n in _COUNTS[:MOST]) + ", low double")
+        return self.tables[k - 1].where(F.col("kind") == _TABLE).select("shard", "data").mapInArrow(run, "context long, " + ", ".join(f"{n} long" for n in _COUNTS[:MOST]) + ", low double")
 
     def scores(self) -> DataFrame:
         """Per text: doc_id, trained, n_tokens, n_known, base_score, score."""
