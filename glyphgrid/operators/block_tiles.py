@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tiles import tile_numbers
@@ -46,6 +46,42 @@ def tile_pieces(blocks: DataFrame, tile: int, stride: int, size: int = 256) -> D
     return b.where((F.size("tys") > 0) & (F.size("txs") > 0)).mapInArrow(cut, _PIECE)
 
 
+class PatchRows:
+    """Table function: pieces of tiles to one row a tile, its values scaled to [0, 1] in order z, y, x. Called over
+    `TABLE(pieces) PARTITION BY (seg_id, ty, tx)`, where pieces are `tile_pieces`, with the tile's side. A tile is in memory at a
+    time, as bytes."""
+
+    @staticmethod
+    def analyze(pieces, tile):
+        from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructType
+        from pyspark.sql.udtf import AnalyzeResult
+
+        if not pieces.isTable or not tile.isConstantExpression:
+            raise ValueError("patch_rows takes a table of pieces and a constant side")
+        missing = {f.split()[0] for f in _PIECE.split(", ")} - set(pieces.dataType.names)
+        if missing:
+            raise ValueError(f"patch_rows needs the columns {sorted(missing)}")
+        schema = StructType().add("seg_id", StringType()).add("ty", IntegerType()).add("tx", IntegerType()).add("layers", IntegerType()).add("img", ArrayType(FloatType(), containsNull=False))
+        return AnalyzeResult(schema)
+
+    def __init__(self):
+        self.key, self.img = None, None
+
+    def eval(self, r, tile):
+        if self.img is None:
+            self.key, self.img = (r["seg_id"], r["ty"], r["tx"], r["layers"]), np.zeros((r["layers"], tile, tile), np.uint8)
+        self.img[r["z"], r["iy"] : r["iy"] + r["h"], r["ix"] : r["ix"] + r["w"]] = np.frombuffer(r["data"], np.uint8).reshape(r["h"], r["w"])
+
+    def terminate(self):
+        if self.img is not None:
+            yield *self.key, (self.img.ravel() / 255.0).tolist()
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Makes `patch_rows` known to SQL."""
+    spark.udtf.register("patch_rows", F.udtf(PatchRows))
+
+
 def predict_blocks(blocks: DataFrame, load: Callable[[], Callable], tile: int, stride: int, size: int = 256) -> DataFrame:
     """Block rows of the map (MAP_SCHEMA, 32-bit floats) that a model predicts from block rows of a volume: the mean over the
     tiles that cover a pixel, 0 where all layers are 0. Equal to `tiles.predict_segment` on the volume's voxels but for the

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import graph
+from .block_stencil import distances
 
 #: The alphabet, its older forms, expected holes of each letter, and template sizes and styles.
 ALPHABET = "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
@@ -25,24 +26,18 @@ TEMPLATE_STYLES = ("serif", "uncial", "skeleton")
 MAX_TEMPLATES = 4096
 
 
-def square_distances(side: int) -> np.ndarray:
-    y, x = np.divmod(np.arange(side * side), side)
-    return (y[:, None] - y[None, :]) ** 2 + (x[:, None] - x[None, :]) ** 2
-
-
 def distance_transform(patches: DataFrame, column: str, side: int, out: str = "dt") -> DataFrame:
-    """Euclidean distance from each cell to the nearest ink (value above 0.5) of its patch; 0 everywhere without ink."""
-    d2 = square_distances(side).astype(np.float64)
+    """Euclidean distance from each cell to the nearest ink (value above 0.5) of its patch; 0 everywhere without ink. The work and
+    the memory are linear in the cells."""
 
     @F.pandas_udf("array<double>")
     def transform(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for col in batches:
-            rows = []
+            rows: list[np.ndarray] = []
             for i in range(0, len(col), 256):
-                m = np.stack([np.asarray(v, np.float64) for v in col.iloc[i : i + 256]]) > 0.5
-                far = np.where(m[:, None, :], d2[None], np.inf).min(axis=2)
-                rows.append(np.where(m.any(axis=1)[:, None], np.sqrt(far), 0.0))
-            yield pd.Series(list(np.concatenate(rows))) if rows else pd.Series([], dtype=object)
+                ink = np.stack([np.asarray(v, np.float64) for v in col.iloc[i : i + 256]]) > 0.5
+                rows += list(distances(ink.reshape(-1, side, side)).reshape(len(ink), -1))
+            yield pd.Series(rows, dtype=object)
 
     return patches.withColumn(out, transform(F.col(column)))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, tier
+from ..session import written
 
 
 def min_max_normalised(vox: DataFrame, z_start: int, z_end: int) -> DataFrame:
@@ -76,10 +77,55 @@ def projections(vox: DataFrame, value: str = "v") -> DataFrame:
     return out.select(axis.alias("axis"), "seg_id", F.coalesce("z", "y").alias("a"), F.when(F.col("x").isNotNull(), F.col("x")).otherwise(F.col("y")).alias("b"), "top", "mean")
 
 
+def _value_bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """Bin of a value between two bounds, which never share one. Bounds of different sign or size are cut by the sign and the power of
+    two, so that after one such round few more in equal parts are left; infinite values have bins of their own."""
+    power = F.floor(F.least(F.greatest((F.log2(F.abs(v)) + 1075) / 2100, F.lit(0.0)), F.lit(1.0)) * 1023)
+    steep = F.when(v == float("inf"), 2050).when(v == float("-inf"), -1).when(v == 0, 1024).when(v > 0, 1025 + power).otherwise(1023 - power)
+    small, large = F.least(F.abs(lo), F.abs(hi)), F.greatest(F.abs(lo), F.abs(hi))
+    even = F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1))
+    return F.when((F.signum(lo) != F.signum(hi)) | (large == float("inf")) | (small * 4096 < large), steep).otherwise(even).cast("int")
+
+
+def exact_percentiles(pixels: DataFrame, value: str, shares: dict[str, float], *, bins: int = 1024) -> DataFrame:
+    """Exact percentiles of each segment, between two values where the place falls between them: seg_id and a column for each
+    of `shares` (name -> share in [0, 1]).
+
+    Histograms, refined: each round counts the values between two bounds in `bins` bins, and takes the least and the
+    largest value of the bin that holds the place as the next bounds, until they are one value. Partial counts are made
+    before the shuffle, and no state is larger than bins x places x segments, however many values differ. Nulls and NaN
+    are left out; a segment of nothing else has no row. Infinite values are as any other.
+    """
+    v = pixels.select("seg_id", F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    span = v.groupBy("seg_id").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    asked = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q"), F.lit(up).alias("up")) for name, q in shares.items() for up in (0, 1))))
+    at = F.col("a.q") * (F.col("n") - 1)
+    t = span.withColumn("a", asked).select("seg_id", "a.name", "a.up", (at - F.floor(at)).alias("part"), F.when(F.col("a.up") == 1, F.ceil(at)).otherwise(F.floor(at)).cast("long").alias("rank"), "lo", "hi")
+    key = ["seg_id", "name", "up"]
+    t = written(t, "places")
+    while True:
+        # places that lie between the same bounds share one histogram
+        bounds = t.where("lo < hi").select("seg_id", "lo", "hi").distinct()
+        if bounds.isEmpty():
+            break
+        b = _value_bin(F.col("v"), F.col("lo"), F.col("hi"), bins)
+        counted = v.join(bounds, "seg_id").where("v >= lo and v <= hi").groupBy("seg_id", "lo", "hi", b.alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        w = W.partitionBy("seg_id", "lo", "hi").orderBy("bin")
+        counted = written(counted.withColumn("upto", F.sum("c").over(w)), "histogram")
+        inside = t.where("lo < hi").join(counted, ["seg_id", "lo", "hi"]).where("rank >= upto - c and rank < upto")
+        refined = inside.select(*key, "part", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.col("least").alias("lo"), F.col("most").alias("hi"))
+        t = written(t.where("lo >= hi").unionByName(refined), "places")
+    low, high = F.max(F.when(F.col("up") == 0, F.col("lo"))), F.max(F.when(F.col("up") == 1, F.col("lo")))
+    got = t.groupBy("seg_id", "name").agg(low.alias("a"), high.alias("b"), F.max("part").alias("part"))
+    value_ = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - F.col("part")) + F.col("b") * F.col("part"))
+    return got.groupBy("seg_id").agg(*(F.max(F.when(F.col("name") == name, value_)).alias(name) for name in shares))
+
+
 def depth_map(vox: DataFrame, keep: float = 0.8) -> DataFrame:
     """First layer of the largest value, kept where that value exceeds the segment's percentile `keep`; else null."""
     top = vox.groupBy("seg_id", "y", "x").agg(F.max("v").alias("mip"), F.max_by("z", F.struct("v", -F.col("z"))).alias("depth"))
-    cut = top.groupBy("seg_id").agg(F.percentile("mip", keep).alias("cut"))
+    top = written(top, "tops")
+    cut = exact_percentiles(top, "mip", {"cut": keep})
     return top.join(cut, "seg_id").select("seg_id", "y", "x", "mip", F.when(F.col("mip") > F.col("cut"), F.col("depth")).alias("depth"))
 
 
@@ -90,7 +136,7 @@ def layer_stats(vox: DataFrame, where: Column | None = None) -> DataFrame:
 
 def percentile_normalised(pixels: DataFrame, value: str, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """Values scaled to [0, 1] between two exact percentiles of their segment."""
-    cut = pixels.groupBy("seg_id").agg(F.percentile(value, lo).alias("_lo"), F.percentile(value, hi).alias("_hi"))
+    cut = exact_percentiles(pixels, value, {"_lo": lo, "_hi": hi})
     return pixels.join(cut, "seg_id").withColumn("p", clip((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-8))).drop("_lo", "_hi")
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import augment, block_tiles, graph, metrics, networks, reduce, stencil, tiles
+from ..operators import augment, block_stencil, block_tiles, graph, metrics, networks, reduce, stencil, tiles
 from ..session import work_path
-from ..sources import blocks
+from ..sources import blocks, layers
 from .catalog import query
 
 R = lambda c, n=6: F.round(c, n)
@@ -94,6 +94,63 @@ def w8_filter_chain(t):
     return stencil.filtered(_grid(t), level=0.45, enhance=None).withColumn("p", R("p"))
 
 
+_BLOCK = 16
+
+
+def _map_blocks(t):
+    return block_stencil.map_blocks(_grid(t), _BLOCK)
+
+
+def _ones(b):
+    return block_stencil.pixels(b, _BLOCK).where("p > 0").select("seg_id", "y", "x")
+
+
+@query(_GRID + _MEDIAN + "SELECT seg_id, y, x, round(p, 6) AS p FROM med", uses="prob")
+def w1_block_median_filter(t):
+    """The filters of this and the following queries run on block rows, by halo exchange."""
+    return block_stencil.pixels(block_stencil.median_filter(_map_blocks(t), _BLOCK), _BLOCK).withColumn("p", R("p"))
+
+
+@query(_GRID + _BOX + "SELECT seg_id, y, x, round(p, 6) AS p FROM box", uses="prob")
+def w2_block_box_mean(t):
+    return block_stencil.pixels(block_stencil.box_mean(_map_blocks(t), _BLOCK, 31), _BLOCK).withColumn("p", R("p"))
+
+
+@query(_GRID + _BOX + "SELECT g.seg_id, g.y, g.x, cast(CASE WHEN g.p > box.p + 0.05 THEN 1 ELSE 0 END AS double) AS p FROM grid g JOIN box USING (seg_id, y, x)", uses="prob")
+def w3_block_adaptive_threshold(t):
+    return block_stencil.pixels(block_stencil.adaptive_threshold(_map_blocks(t), _BLOCK), _BLOCK)
+
+
+@query(_GRID + _INK + _dilated("d", "ink", 1) + _OUT + "d", uses="prob")
+def w5_block_dilation(t):
+    return _ones(block_stencil.morphology(_map_blocks(t), _BLOCK, 0.75, ("dilate", 1)))
+
+
+@query(_GRID + _INK + _dilated("d", "ink", 2) + _eroded("e", "d", 2) + _OUT + "e", uses="prob")
+def w6_block_closing(t):
+    return _ones(block_stencil.morphology(_map_blocks(t), _BLOCK, 0.75, ("dilate", 2), ("erode", 2)))
+
+
+@query(_GRID + ", ink AS (SELECT seg_id, y, x FROM grid WHERE p > 0.3)\n" + _eroded("e", "ink", 1) + _dilated("d", "e", 1) + _OUT + "d", uses="prob")
+def w7_block_opening(t):
+    return _ones(block_stencil.morphology(_map_blocks(t), _BLOCK, 0.3, ("erode", 1), ("dilate", 1)))
+
+
+@query(_GRID + _MEDIAN + """, mix AS (SELECT g.seg_id, g.y, g.x, cast(0.7 AS double) * m.p + cast(0.3 AS double) * g.p AS p FROM grid g JOIN med m USING (seg_id, y, x)),
+ink AS (SELECT seg_id, y, x FROM mix WHERE p > 0.45)
+""" + _dilated("a", "ink", 2) + _eroded("b", "a", 2) + _eroded("c", "b", 1) + _dilated("d", "c", 1) + "SELECT m.seg_id, m.y, m.x, round(CASE WHEN d.seg_id IS NULL THEN 0 ELSE m.p END, 6) AS p FROM mix m LEFT JOIN d USING (seg_id, y, x)", uses="prob")
+def w8_block_filter_chain(t):
+    """The whole chain after one exchange."""
+    return block_stencil.pixels(block_stencil.filtered(_map_blocks(t), _BLOCK, level=0.45), _BLOCK).withColumn("p", R("p"))
+
+
+@query(_GRID + ", ink AS (SELECT seg_id, y, x FROM grid WHERE p > 0.93)\n" + """SELECT g.seg_id, g.y, g.x, round(sqrt(min((g.y - i.y) * (g.y - i.y) + (g.x - i.x) * (g.x - i.x))), 6) AS p
+FROM grid g JOIN ink i ON i.seg_id = g.seg_id GROUP BY ALL""", uses="prob")
+def w10_block_distance_transform(t):
+    """Distance of every pixel of a map to the nearest ink, by strips of blocks."""
+    return block_stencil.pixels(block_stencil.distance_transform(_map_blocks(t), _BLOCK, 0.93), _BLOCK).withColumn("p", R("p"))
+
+
 @query()
 def w4_w8_filter_chain_with_equalisation(t):
     return stencil.filtered(_grid(t)).withColumn("p", R("p"))
@@ -129,6 +186,11 @@ def w16_small_objects_removed(t):
     return graph.remove_small(_labelled(t), 4).select("seg_id", "y", "x")
 
 
+@query(_DARK + _LABELS.format(near=_FOUR) + "SELECT seg_id, cast(y AS int) AS y, cast(x AS int) AS x FROM lab WHERE (seg_id, label) IN (SELECT (seg_id, label) FROM lab GROUP BY seg_id, label HAVING count(*) >= 4)", uses="prob", recursive=True)
+def w16_block_small_objects_removed(t):
+    return _ones(block_stencil.remove_small(_map_blocks(t), _BLOCK, 0.75, 4))
+
+
 @query(_DARK + _LABELS.format(near=_FOUR) + """SELECT l.seg_id, cast(label AS bigint) AS label, count(*) AS area, cast(min(l.y) AS int) AS y0, cast(min(l.x) AS int) AS x0, cast(max(l.y) + 1 AS int) AS y1, cast(max(l.x) + 1 AS int) AS x1,
 round(avg(l.y), 6) AS cy, round(avg(l.x), 6) AS cx, round(avg(p.p), 6) AS mean_prob FROM lab l JOIN prob p ON p.seg_id = l.seg_id AND p.y = l.y AND p.x = l.x GROUP BY ALL""", uses="prob", recursive=True)
 def a16_j7_component_properties(t):
@@ -355,3 +417,24 @@ def x6_patch_rows(t):
     """One row for each patch, its values in order."""
     p = tiles.patch_rows(_grid(t).select("seg_id", F.lit(0).alias("z"), "y", "x", F.col("p").alias("v")), 28, 16)
     return p.select("seg_id", "ty", "tx", F.size("img").cast("long").alias("n"), R(F.aggregate("img", F.lit(0.0), lambda a, v: a + v), 3).alias("total"))
+
+
+@query("""SELECT v.seg_id, ty, tx, cast(count(*) AS bigint) AS n, round(sum(coalesce(p.v, 0) / cast(255 AS double)), 3) AS total
+FROM (SELECT s.seg_id, z, y, x, ty * 16 AS ty, tx * 16 AS tx FROM (SELECT DISTINCT seg_id FROM voxels) s, range(7) k(z), range(3) a(ty), range(3) b(tx), range(64) c(y), range(64) d(x)
+  WHERE y >= ty * 16 AND y < ty * 16 + 28 AND x >= tx * 16 AND x < tx * 16 + 28) v LEFT JOIN voxels p ON p.seg_id = v.seg_id AND p.z = v.z AND p.y = v.y AND p.x = v.x GROUP BY ALL""", uses="voxels")
+def x6_patch_function(t):
+    """Patches of all layers by a table function, over the pieces of tiles that block rows are cut to."""
+    block_tiles.register_functions(t.spark)
+    ends = t.voxels.select("seg_id").distinct().select("seg_id", F.explode(F.array(F.lit(0), F.lit(6))).alias("z"), F.lit(63).alias("y"), F.lit(63).alias("x"), F.lit(0).alias("v"))
+    vox = t.voxels.select("seg_id", "z", "y", "x", "v").unionByName(ends).groupBy("seg_id", "z", "y", "x").agg(F.max("v").alias("v"))
+    pieces = block_tiles.tile_pieces(blocks.to_blocks(vox, 16), 28, 16, 16)
+    return t.spark.sql("""SELECT seg_id, ty, tx, cast(size(img) AS bigint) AS n, round(aggregate(img, 0D, (a, v) -> a + v), 3) AS total
+FROM patch_rows(TABLE({pieces}) PARTITION BY (seg_id, ty, tx), 28)""", pieces=pieces)
+
+
+@query("SELECT seg_id, z, y, x, v FROM voxels WHERE seg_id <> 'N' AND z >= 2 AND z < 6 AND v > 0", uses="voxels")
+def s1_t6_layer_source(t):
+    """Layers are written as files, and some of them read by the layer source, in ranges of rows; conditions choose the files."""
+    path = work_path(t.spark, "layers")
+    layers.write_layers(t.voxels, path).write.format("noop").mode("overwrite").save()
+    return layers.read_layers(t.spark, path, rangeBytes=1500).where("seg_id in ('A', 'R') and z >= 2 and z < 6 and v > 0")

@@ -26,9 +26,8 @@ def decode_npy(data: bytes) -> np.ndarray:
     return np.load(io.BytesIO(data), allow_pickle=False)
 
 
-def decode_tiff(data: bytes) -> np.ndarray:
-    """First image of a greyscale TIFF of 8 or 16 bits, or 32-bit floats, in strips: plain, deflated, LZW or run lengths, with
-    or without differences along the rows."""
+def tiff_tags(data: bytes) -> tuple[dict[int, tuple], str]:
+    """Whole-number tags of a TIFF's first image, and its byte order."""
     order = {b"II": "<", b"MM": ">"}[data[:2]]
     magic, at = struct.unpack(order + "HI", data[2:8])
     if magic != 42:
@@ -42,6 +41,13 @@ def decode_tiff(data: bytes) -> np.ndarray:
             continue
         where = at + 10 + 12 * k if size * count <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
         tags[tag] = struct.unpack_from(order + str(count) + {1: "B", 2: "H", 4: "I"}[size], data, where)
+    return tags, order
+
+
+def decode_tiff(data: bytes) -> np.ndarray:
+    """First image of a greyscale TIFF of 8 or 16 bits, or 32-bit floats, in strips: plain, deflated, LZW or run lengths, with
+    or without differences along the rows."""
+    tags, order = tiff_tags(data)
     packing, differences = tags.get(259, (1,))[0], tags.get(317, (1,))[0]
     if packing not in _UNPACK or tags.get(277, (1,))[0] != 1 or differences not in (1, 2):
         raise ValueError("not a greyscale image in a known packing")
