@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import leaf_bytes, shared_dir, work_path, written
 
-__all__ = ["block_of", "by_key", "by_key2", "give_back", "parts", "shared_dir", "table", "work_path", "written"]
+__all__ = ["block_of", "free_name", "by_key", "by_key2", "give_back", "parts", "shared_dir", "table", "work_path", "written"]
 
 #: Bytes of input files for each block or shard, at most. Texts are about three times as long as their compressed files.
 _BLOCK = 64 << 20
@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """`name`, or one made from it that no column of `df` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def block_of(key, n: int):
     """Block number of a row by the hash of its key."""
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")

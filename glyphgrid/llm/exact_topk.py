@@ -153,7 +153,8 @@ def exact_topk(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col:
 
     Rows without an id, and vectors that are null or hold nulls or values that aren't finite, take no part; vectors of
     another length than the query's aren't its candidates. Rows that repeat an id each count, but no row meets its
-    own id. Scores beyond 64 bits are cut to the largest or smallest number. An empty table gives none.
+    own id. A query id of several different vectors has one list, of the highest scores of any of them: a candidate may stand
+    there once for each. Scores beyond 64 bits are cut to the largest or smallest number. An empty table gives none.
     """
     s = settings or TopKSettings()
     spark = vectors.sparkSession

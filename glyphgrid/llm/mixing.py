@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._counts import word_count
-from ._session import written
+from ._session import free_name, written
 
 
 @dataclass(frozen=True)
@@ -114,11 +114,12 @@ def temperature_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", *, n_tokens: Column | None = None, **given) -> DataFrame:
     """The rows of `docs` as often as the mix has them, each for itself: rows without an id and rows that repeat one too.
 
-    Rows get a number, written once, by which the mix finds them again."""
-    rows = docs.withColumn("_mixed_row", F.monotonically_increasing_id())
+    Rows get a number, written once, by which the mix finds them again, in a column of a name that no other has."""
+    number, length = free_name("_mixed_row", docs), free_name("_mixed_tokens", docs)
+    rows = docs.withColumn(number, F.monotonically_increasing_id())
     if n_tokens is not None:
-        rows = rows.withColumn("_mixed_tokens", n_tokens)
-        n_tokens = F.col("_mixed_tokens")
+        rows = rows.withColumn(length, n_tokens)
+        n_tokens = F.col(length)
     rows = written(rows, "rows")
-    times = temperature_mix(rows, id_col, n_tokens=n_tokens, carry=("_mixed_row",), **given).select(F.col("_mixed_row").alias("_mixed"))
-    return rows.join(times, F.col("_mixed_row") == F.col("_mixed")).select(*docs.columns)
+    times = temperature_mix(rows, id_col, n_tokens=n_tokens, carry=(number,), **given).select(F.col(number).alias("_times_of"))
+    return rows.join(times, rows[number] == times["_times_of"]).select(*(rows[c] for c in docs.columns))

@@ -257,6 +257,12 @@ def test_mixed_documents_keep_their_columns(spark):
     assert len(times) == 3 and max(times.values()) > 1
 
 
+def test_mixed_documents_leave_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, "a b c", f"s{i % 2}", "KEEP", 7, "x") for i in range(20)], "doc_id long, text string, source string, _mixed_row string, _Mixed_tokens int, _times_of string")
+    out = mixed_documents(df, n_tokens=F.lit(3), settings=MixSettings(entropy=0.9, repeats=5.0))
+    assert out.columns == df.columns and {tuple(r)[3:] for r in out.collect()} == {("KEEP", 7, "x")}
+
+
 def test_mixed_documents_hold_each_row_once_a_pass(spark):
     rows = [(None, "a", "x y"), (None, "a", "u v"), (None, "b", "z"), (None, "b", None), (7, "a", "p q"), (7, "a", "r s"), (7, "b", "t"), (8, "a", "x y"), (8, "a", "x y"), (9, None, "o")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)

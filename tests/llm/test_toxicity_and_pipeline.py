@@ -207,3 +207,40 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
     from ..oracle import compare
 
     compare(duckdb, registry.QUERIES[name](spark, sf_dir), registry.ORACLE_SQL[name], sf_dir)
+
+
+def _near(rows, percent=80):
+    """Groups of rows by brute force: rows of word shingles of a similarity of `percent` hundredths or more."""
+    sets = []
+    for _, text, *_ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    return group
+
+
+def test_near_dedup_stage_keeps_one_row_of_each_group(spark, sf_dir):
+    import corpus_pipeline
+
+    df, _ = odd_documents(spark)
+    extra = [(500, "one text of an id that two rows share here"), (500, "quite another text that stands under the very same number"), (None, "a copy without any number at all"), (None, "a copy without any number at all"), (None, None), (None, "")]
+    docs = df.select(*corpus_pipeline.COLUMNS).unionByName(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in extra], "doc_id long, text string, lang string, source string, n_chars long")).repartition(4)
+    rows = [tuple(r) for r in docs.collect()]
+    found = defaultdict(list)
+    for row, g in zip(rows, _near(rows), strict=True):
+        found[g].append(row)
+    got = [tuple(r) for r in corpus_pipeline.near_dedup_stage(spark, docs, sf_dir).collect()]
+    assert len(got) == len(found)
+    kept = Counter(got)
+    for members in found.values():
+        ids = [r[0] for r in members if r[0] is not None]
+        least = min(ids) if ids else None
+        assert any(kept[r] for r in members if r[0] == least), members
+    assert {t for i, t, *_ in got if i == 500} == {t for i, t in extra if i == 500}
+    assert sum(i is None and t == extra[2][1] for i, t, *_ in got) == 1

@@ -106,6 +106,12 @@ def test_topk_ties_go_to_smaller_ids(spark):
     assert [r["vec_id"] for r in got] == [0, 1, 2, 3, 4]
 
 
+def test_topk_of_a_query_id_in_two_rows(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in exact_topk(df, F.col("vec_id") == 0, settings=TopKSettings(k=3)).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 3 << 16), (0, 2, 2, 2 << 16), (0, 3, 1, 0)]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert embedding_dedup(empty).count() == 0
