@@ -27,16 +27,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, linked at a similarity of 0.8 or more, stays, that of the smallest id;
-    so do rows without an id. Of rows that share an id the least stays."""
-    found = minhash_dedup(docs, settings=MinHashSettings(percent=80)).where("kept and doc_id is not null")
-    kept = written(found.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
-    own = docs.select(*COLUMNS)
-    named = own.join(kept, own["doc_id"] == kept["_kept"])
-    # only ids that stand in several rows are grouped
-    once = named.where("_rows = 1").select(*COLUMNS)
-    least = named.where("_rows > 1").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("_row")).select("_row.*")
-    return once.unionByName(least).unionByName(own.where("doc_id is null"))
+    """One row of each group of near-duplicates, linked at a similarity of 0.8 or more, stays, that of the smallest id, or
+    one without an id where none has any. Rows are told apart by a number, not by their id: texts of one id that are
+    not alike both stay, copies without an id become one. Texts without words all stay."""
+    rows = written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = minhash_dedup(rows, "_row", settings=MinHashSettings(percent=80)).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row")
+    kept = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    return rows.join(kept.select("_row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
