@@ -238,10 +238,12 @@ class _Known:
                 missing = i + np.flatnonzero(total == 0)
                 which = _numbered(a.context[missing])
                 left[missing], low[missing] = sums.reshape(-1, MOST)[which], lows[which]
-        if len(level.spread):
-            for i in np.flatnonzero(a.spread).tolist():
-                left[i], low[i] = level.spread[int(_global(a.context[i : i + 1], a.shard[i], self.shards)[0])]
-                some[i] = _mask(left[i : i + 1])[0]
+        at = np.flatnonzero(a.spread)
+        if len(at):
+            ids, which = np.unique(_global(a.context[at], a.shard[at], self.shards), return_inverse=True)
+            sums = [level.spread[i] for i in ids.tolist()]
+            left[at], low[at] = np.array([x for x, _ in sums])[which], np.array([x for _, x in sums])[which]
+            some[at] = _mask(left[at])
         have = a.of >= 0
         self.number.append(np.where(have, number[a.of], -1) if m else np.full(len(have), -1))
         self.count.append(np.where(have, count[a.of], 0) if m else np.zeros(len(have), np.int64))
