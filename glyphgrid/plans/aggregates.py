@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import augment, metrics, reduce
+from ..operators import augment, block_stencil, metrics, reduce
 from ..session import work_path
-from ..sources import raster
+from ..sources import raster, strips
 from .catalog import query
 
 R = lambda c, n=6: F.round(c, n)
@@ -97,6 +97,16 @@ def s16_map_images(t):
     return raster.image_pixels(pictures, "image").where("v > 0").select("seg_id", "y", "x", F.col("v").cast("int").alias("byte"))
 
 
+@query("SELECT seg_id, y, x, cast(trunc(p * 255) AS int) AS byte FROM prob WHERE trunc(p * 255) > 0", uses="prob")
+def s16_strip_images(t):
+    """Maps as TIFF files, put together from strips that tasks compress, and read again as layers."""
+    path = work_path(t.spark, "images")
+    strips.write_files(strips.tiff_pieces(block_stencil.map_blocks(t.prob, 16), 16), path).write.format("noop").mode("overwrite").save()
+    files = t.spark.read.format("binaryFile").load(path)
+    seg = F.regexp_extract("path", r"([^/]+)\.tif$", 1).alias("seg_id")
+    return raster.image_pixels(files.select(seg, "content"), "content").where("v > 0").select("seg_id", "y", "x", F.col("v").cast("int").alias("byte"))
+
+
 @query("""SELECT user_id % 20 AS run, max(value) AS best_score, arg_max(event_id, struct_pack(v := value, o := -event_id)) AS best, max(event_id) AS last FROM events GROUP BY user_id % 20""")
 def s19_best_and_last_checkpoint(t):
     h = t.events.select((F.col("user_id") % 20).alias("run"), "event_id", "value")
