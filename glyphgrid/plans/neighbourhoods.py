@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import augment, block_stencil, block_tiles, graph, metrics, networks, reduce, stencil, tiles
-from ..session import work_path
+from ..operators import augment, block_stencil, block_tiles, graph, isosurface, metrics, networks, reduce, stencil, tiles
+from ..session import work_path, written
 from ..sources import blocks, layers
 from .catalog import query
 
@@ -438,3 +438,36 @@ def s1_t6_layer_source(t):
     path = work_path(t.spark, "layers")
     layers.write_layers(t.voxels, path).write.format("noop").mode("overwrite").save()
     return layers.read_layers(t.spark, path, rangeBytes=1500).where("seg_id in ('A', 'R') and z >= 2 and z < 6 and v > 0")
+
+
+_SURFACE = """, e AS (SELECT seg_id, max(z) + 1 AS d, max(y) + 1 AS h, max(x) + 1 AS w, quantile_cont(v, 0.5) AS level FROM voxels GROUP BY seg_id),
+g AS (SELECT e.*, cast(a.z AS int) AS z, cast(b.y AS int) AS y, cast(c.x AS int) AS x, coalesce(v.v, 0) AS v, CASE WHEN coalesce(v.v, 0) > level THEN 1 ELSE 0 END AS s
+ FROM e JOIN range(7) a(z) ON a.z < d JOIN range(64) b(y) ON b.y < h JOIN range(64) c(x) ON c.x < w LEFT JOIN voxels v ON v.seg_id = e.seg_id AND v.z = a.z AND v.y = b.y AND v.x = c.x),
+cut AS (SELECT p.seg_id, p.z + n.z * t AS z, p.y + n.y * t AS y, p.x + n.x * t AS x FROM (VALUES (1, 0, 0), (0, 1, 0), (0, 0, 1)) n(z, y, x), g p JOIN g q ON q.seg_id = p.seg_id AND q.s <> p.s AND q.z = p.z + n.z AND q.y = p.y + n.y AND q.x = p.x + n.x,
+ LATERAL (SELECT (p.level - p.v) / cast(q.v - p.v AS double) AS t)),
+vx AS (SELECT seg_id, count(*) AS n_vertices, round(avg(z), 6) AS z, round(avg(y), 6) AS y, round(avg(x), 6) AS x FROM cut GROUP BY seg_id),
+corner AS (SELECT cs, i, (cs >> i) & 1 AS s FROM range(256) a(cs), range(8) b(i)),
+near AS (SELECT p.cs, p.i AS p, q.i AS q, p.s <> q.s AS crossed FROM corner p JOIN corner q ON q.cs = p.cs AND xor(p.i, q.i) IN (1, 2, 4)),
+over AS (SELECT p.cs, p.i AS p, q.i AS q FROM corner p JOIN corner q ON q.cs = p.cs AND p.s = 0 AND q.s = 0 AND xor(p.i, q.i) IN (3, 5, 6)
+ WHERE (SELECT min(o.s) FROM corner o WHERE o.cs = p.cs AND o.i <> p.i AND o.i <> q.i AND o.i & (7 - xor(p.i, q.i)) = p.i & (7 - xor(p.i, q.i))) = 1),
+reach AS (SELECT cs, i AS p, i AS q FROM corner UNION SELECT r.cs, r.p, n.q FROM reach r JOIN (SELECT cs, p, q FROM near WHERE NOT crossed UNION ALL SELECT * FROM over) n ON n.cs = r.cs AND n.p = r.q),
+kind AS (SELECT cs, parts - 1 AS loops, cuts FROM (SELECT cs, count(DISTINCT least) AS parts FROM (SELECT cs, p, min(q) AS least FROM reach GROUP BY cs, p) GROUP BY cs) JOIN (SELECT cs, count(*) FILTER (crossed) // 2 AS cuts FROM near GROUP BY cs) USING (cs)),
+cube AS (SELECT seg_id, sum(s << i) AS cs FROM (SELECT *, z - (i & 1) AS cz, y - ((i >> 1) & 1) AS cy, x - ((i >> 2) & 1) AS cx FROM g, range(8) b(i)) WHERE cz BETWEEN 0 AND d - 2 AND cy BETWEEN 0 AND h - 2 AND cx BETWEEN 0 AND w - 2 GROUP BY seg_id, cz, cy, cx),
+inner_parts AS (SELECT seg_id, sum(cuts - 2 * loops) AS n_faces, sum(cuts - 3 * loops) AS within FROM cube JOIN kind USING (cs) GROUP BY seg_id),
+square AS (SELECT seg_id, max(s) FILTER (i = 0) AS s0, max(s) FILTER (i = 1) AS s1, max(s) FILTER (i = 2) AS s2, max(s) FILTER (i = 3) AS s3 FROM (
+ SELECT *, z - CASE n WHEN 0 THEN 0 ELSE i & 1 END AS cz, y - CASE n WHEN 0 THEN i & 1 WHEN 1 THEN 0 ELSE i >> 1 END AS cy, x - CASE n WHEN 2 THEN 0 ELSE i >> 1 END AS cx FROM g, range(4) b(i), range(3) c(n))
+ WHERE cz >= 0 AND cy >= 0 AND cx >= 0 AND cz <= d - 1 - cast(n <> 0 AS int) AND cy <= h - 1 - cast(n <> 1 AS int) AND cx <= w - 1 - cast(n <> 2 AS int) GROUP BY seg_id, n, cz, cy, cx),
+lined AS (SELECT seg_id, sum((cast(s0 <> s1 AS int) + cast(s1 <> s3 AS int) + cast(s3 <> s2 AS int) + cast(s2 <> s0 AS int)) // 2) AS lines FROM square GROUP BY seg_id)
+"""
+
+
+@query(_SURFACE + """SELECT seg_id, round(level, 6) AS level, n_vertices, cast(within + lines AS bigint) AS n_edges, cast(n_faces AS bigint) AS n_faces, cast(2 * (within + lines) - 3 * n_faces AS bigint) AS n_open,
+cast(n_vertices - within - lines + n_faces AS bigint) AS euler, z, y, x FROM vx JOIN inner_parts USING (seg_id) JOIN lined USING (seg_id) JOIN e USING (seg_id)""", uses="voxels", recursive=True)
+def f30_isosurface(t):
+    """The surface at each segment's median by marching cubes on bricks: its parts, and the mean place of its vertices."""
+    levels = written(reduce.exact_percentiles(t.voxels, "v", {"level": 0.5}).select("seg_id", "level"), "levels")
+    b = written(isosurface.bricks(blocks.to_blocks(t.voxels, 16), 16, 4), "bricks")
+    v = isosurface.vertices(b, levels)
+    mean = v.groupBy("seg_id").agg(*(R(F.avg(c)).alias(c) for c in "zyx"))
+    s = isosurface.surface_summary(v, isosurface.faces(b, levels))
+    return s.join(mean, "seg_id").join(levels, "seg_id").withColumn("level", R("level"))
