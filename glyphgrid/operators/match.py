@@ -42,28 +42,39 @@ def distance_transform(patches: DataFrame, column: str, side: int, out: str = "d
     return patches.withColumn(out, transform(F.col(column)))
 
 
-def hu_moments(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Seven signed-log Hu moments of the ink cells (y, x) of each group, from sums of powers."""
-    power = [(p, q) for p in range(4) for q in range(4) if p + q <= 3]
-    y, x = F.col("y").cast("double"), F.col("x").cast("double")
-    m = cells.groupBy(*by).agg(*(F.sum(F.pow(y, F.lit(p)) * F.pow(x, F.lit(q))).alias(f"m{p}{q}") for p, q in power))
-    c = {k: F.col(f"m{k[0]}{k[1]}") for k in power}
+HU_POWERS = [(p, q) for p in range(4) for q in range(4) if p + q <= 3]
+
+
+def central_moments(c: dict) -> dict:
+    """Moments about the centre, scaled by size, from sums of powers {(p, q): ...}; columns or arrays."""
     cy, cx = c[1, 0] / c[0, 0], c[0, 1] / c[0, 0]
     mu = {
         (2, 0): c[2, 0] - cy * c[1, 0], (0, 2): c[0, 2] - cx * c[0, 1], (1, 1): c[1, 1] - cx * c[1, 0],
         (3, 0): c[3, 0] - 3 * cy * c[2, 0] + 2 * cy * cy * c[1, 0], (0, 3): c[0, 3] - 3 * cx * c[0, 2] + 2 * cx * cx * c[0, 1],
         (2, 1): c[2, 1] - 2 * cy * c[1, 1] - cx * c[2, 0] + 2 * cy * cy * c[0, 1], (1, 2): c[1, 2] - 2 * cx * c[1, 1] - cy * c[0, 2] + 2 * cx * cx * c[1, 0],
     }
-    eta = m.select(*by, *((v / F.pow(c[0, 0], F.lit(1 + (p + q) / 2))).alias(f"e{p}{q}") for (p, q), v in mu.items()))
-    e = {k: F.col(f"e{k[0]}{k[1]}") for k in mu}
+    return {(p, q): v / c[0, 0] ** (1 + (p + q) / 2) for (p, q), v in mu.items()}
+
+
+def hu_invariants(e: dict) -> list:
+    """The seven invariants of scaled central moments; columns or arrays."""
     a, b = e[3, 0] + e[1, 2], e[2, 1] + e[0, 3]
     d, f = e[3, 0] - 3 * e[1, 2], 3 * e[2, 1] - e[0, 3]
     s = e[2, 0] - e[0, 2]
-    hu = [
+    return [
         e[2, 0] + e[0, 2], s * s + 4 * e[1, 1] * e[1, 1], d * d + f * f, a * a + b * b,
         d * a * (a * a - 3 * b * b) + f * b * (3 * a * a - b * b), s * (a * a - b * b) + 4 * e[1, 1] * a * b,
         f * a * (a * a - 3 * b * b) - d * b * (3 * a * a - b * b),
     ]
+
+
+def hu_moments(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Seven signed-log Hu moments of the ink cells (y, x) of each group, from sums of powers."""
+    y, x = F.col("y").cast("double"), F.col("x").cast("double")
+    m = cells.groupBy(*by).agg(*(F.sum(F.pow(y, F.lit(p)) * F.pow(x, F.lit(q))).alias(f"m{p}{q}") for p, q in HU_POWERS))
+    moments = central_moments({k: F.col(f"m{k[0]}{k[1]}") for k in HU_POWERS})
+    eta = m.select(*by, *(v.alias(f"e{p}{q}") for (p, q), v in moments.items()))
+    hu = hu_invariants({k: F.col(f"e{k[0]}{k[1]}") for k in moments})
     return eta.select(*by, *((-F.signum(h) * F.log10(F.abs(h) + 1e-15)).alias(f"hu{i + 1}") for i, h in enumerate(hu)))
 
 
@@ -124,13 +135,14 @@ def candidate_patches(candidates: DataFrame, labelled: DataFrame, size: int) ->
 
 
 def described(patches: DataFrame, key: str, column: str, side: int) -> DataFrame:
-    """Adds what the matcher compares: `column`_dt, `column`_hu and holes, the holes of the patch as a whole."""
+    """Adds what the matcher compares: `column`_dt, `column`_hu and holes, the holes of the patch as a whole, 1 less its Euler number
+    (so 1 for a patch without ink)."""
     cells = patch_cells(patches, key, column, side)
     hu = hu_moments(cells, [key]).select(F.col(key).alias("_hu_key"), F.array(*(f"hu{i}" for i in range(1, 8))).alias("_hu"))
     holes = graph.hole_counts(cells.select(F.lit("").alias("seg_id"), F.col(key).alias("label"), "y", "x")).select(F.col("label").alias("_hole_key"), F.col("holes").alias("_holes"))
     d = distance_transform(patches, column, side, f"{column}_dt")
     d = d.join(hu, F.col(key) == F.col("_hu_key"), "left").join(holes, F.col(key) == F.col("_hole_key"), "left")
-    return d.select(*patches.columns, f"{column}_dt", F.coalesce("_hu", F.array(*[F.lit(0.0)] * 7)).alias(f"{column}_hu"), F.coalesce(F.col("_holes").cast("int"), F.lit(0)).alias("holes"))
+    return d.select(*patches.columns, f"{column}_dt", F.coalesce("_hu", F.array(*[F.lit(0.0)] * 7)).alias(f"{column}_hu"), F.coalesce(F.col("_holes").cast("int"), F.lit(1)).alias("holes"))
 
 
 def simple_scores(patches: DataFrame, bank: DataFrame) -> DataFrame:

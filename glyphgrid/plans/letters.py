@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import augment, lines, match
+from ..operators import augment, bank_match, letterforms, lines, match
+from ..session import written
 from ..sources import raster
 from .catalog import query
 
@@ -107,6 +108,14 @@ def x1_f5_f6_f7_j9_o2_ensemble_matcher(t):
     return _matched(t, 3).select("id", "letter", "rank", *(R(c).alias(c) for c in ("score", "chamfer", "ncc", "iou")), R("hu_dist", 4).alias("hu_dist"))
 
 
+@query()
+def x1_f11_j9_rendered_letters(t):
+    """The three best letters of each patch among templates drawn from strokes in three sizes and three styles."""
+    p = _patches(t).withColumns({"h": F.lit(_SIDE), "w": F.lit(_SIDE)})
+    found = bank_match.match_patches(p, written(letterforms.bank(t.spark), "bank"), 3)
+    return found.select("id", "letter", "rank", "size", "style", *(R(c).alias(c) for c in ("score", "chamfer", "ncc", "iou")), R("hu_dist", 4).alias("hu_dist"))
+
+
 @query("SELECT id, area FROM candidates ORDER BY area DESC, id LIMIT 60", uses="candidates")
 def o1_largest_candidates(t):
     return t.candidates.select("id", "area").orderBy(F.desc("area"), "id").limit(60)
