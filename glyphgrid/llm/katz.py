@@ -281,6 +281,10 @@ def _numbered(sorted_: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(head)), np.diff(np.append(head, len(sorted_))))
 
 
+def _numbered_any(values: np.ndarray) -> np.ndarray:
+    return np.unique(values, return_inverse=True)[1]
+
+
 def _mask(left: np.ndarray) -> np.ndarray:
     """A bit for each count that successors have."""
     return ((left > 0) << np.arange(MOST)).sum(axis=1).astype(np.uint8)
@@ -295,7 +299,11 @@ def _ask(key: tuple, blocks: pa.Table, answers: pa.Table, *, levels: list[Level]
     data = []
     for s in some.tolist():
         x = slice(int(bounds[s]), int(bounds[s + 1]))
-        data.append(_pack(_steps(a.context[x]), a.word[x], a.n[x].astype(np.uint32), *_coded(a.low[x][a.n[x] > 0]), np.unique(a.context[x][a.spread[x]])))
+        low = a.low[x][a.n[x] > 0]
+        if len(levels) < 2:
+            # what a word pair has by its shorter context is the word's own: sent once a word
+            low = low[np.unique(a.word[x][a.n[x] > 0], return_index=True)[1]]
+        data.append(_pack(_steps(a.context[x]), a.word[x], a.n[x].astype(np.uint32), *_coded(low), np.unique(a.context[x][a.spread[x]])))
     return pa.table({"shard": pa.array(some.astype(np.int32)), "block": pa.array(np.full(len(some), key[0].as_py(), np.int64)), "data": pa.array(data, pa.binary())})
 
 
@@ -306,7 +314,7 @@ def _meet(key: tuple, table: pa.Table, *, k: int, last: bool, shards: int) -> pa
     context = np.concatenate([np.cumsum(x[0], dtype=U64) for x in sent])
     word, n = np.concatenate([x[1] for x in sent]), np.concatenate([x[2] for x in sent]).astype(np.int64)
     low = np.zeros(len(n))
-    low[n > 0] = np.concatenate([x[4][x[3]] for x in sent])
+    low[n > 0] = np.concatenate([x[4][x[3]][_numbered_any(x[1][x[2] > 0]) if k < 3 else slice(None)] for x in sent])
     spread = np.unique(np.concatenate([x[5] for x in sent]))
     cut = np.cumsum([0, *(len(x[0]) for x in sent)])
     order = np.lexsort((word, context))
