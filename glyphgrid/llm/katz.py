@@ -97,6 +97,19 @@ def _steps(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=ascending.dtype.type(0))
 
 
+def _within(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Words that ascend within each context, as steps there."""
+    steps, head = _steps(word), _heads(context)
+    steps[head] = word[head]
+    return steps
+
+
+def _whole(context: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The words that `_within` gave steps of."""
+    head, total = _heads(context), np.cumsum(steps, dtype=U64)
+    return total - np.repeat(total[head] - steps[head], np.diff(np.append(head, len(steps))))
+
+
 def _heads(*sorted_: np.ndarray) -> np.ndarray:
     """Where a new combination begins in columns that are in order."""
     if not len(sorted_[0]):
@@ -228,8 +241,8 @@ class _Known:
         bounds = np.searchsorted(a.shard, np.arange(self.shards + 1))
         for s, data in answers.items():
             i, j = int(bounds[s]), int(bounds[s + 1])
-            total, rank, *told = _unpack(data)
-            count[i:j] = total
+            others, rank, *told = _unpack(data)
+            count[i:j] = total = others + a.n[i:j]
             if len(rank):
                 number[i + np.flatnonzero(total)] = np.cumsum(rank.astype(np.int64)) * self.shards + s
             if k > 1:
@@ -303,15 +316,22 @@ def _ask(key: tuple, blocks: pa.Table, answers: pa.Table, *, levels: list[Level]
         if len(levels) < 2:
             # what a word pair has by its shorter context is the word's own: sent once a word
             low = low[np.unique(a.word[x][a.n[x] > 0], return_index=True)[1]]
-        data.append(_pack(_steps(a.context[x]), a.word[x], a.n[x].astype(np.uint32), *_coded(low), np.unique(a.context[x][a.spread[x]])))
+        # all words that a shard is asked for have one remainder
+        word = a.word[x] if levels else a.word[x] // U64(shards)
+        data.append(_pack(_steps(a.context[x]), _within(a.context[x], word), a.n[x].astype(np.uint32), *_coded(low), np.unique(a.context[x][a.spread[x]])))
     return pa.table({"shard": pa.array(some.astype(np.int32)), "block": pa.array(np.full(len(some), key[0].as_py(), np.int64)), "data": pa.array(data, pa.binary())})
 
 
 def _meet(key: tuple, table: pa.Table, *, k: int, last: bool, shards: int) -> pa.Table:
-    """A shard's n-grams of order k: its rows of each kind. Of the last order no numbers are told, as nothing asks for them."""
+    """A shard's n-grams of order k: its rows of each kind. A block is told the counts in all other blocks; of the last order no numbers
+    are told, as nothing asks for them."""
     blocks = table["block"].to_pylist()
+    own = key[0].as_py()
     sent = [_unpack(x) for x in table["data"].to_pylist()]
-    context = np.concatenate([np.cumsum(x[0], dtype=U64) for x in sent])
+    for x in sent:
+        x[0] = np.cumsum(x[0], dtype=U64)
+        x[1] = _whole(x[0], x[1]) if k > 1 else _whole(x[0], x[1]) * U64(shards) + U64(own)
+    context = np.concatenate([x[0] for x in sent])
     word, n = np.concatenate([x[1] for x in sent]), np.concatenate([x[2] for x in sent]).astype(np.int64)
     low = np.zeros(len(n))
     low[n > 0] = np.concatenate([x[4][x[3]][_numbered_any(x[1][x[2] > 0]) if k < 3 else slice(None)] for x in sent])
@@ -331,19 +351,18 @@ def _meet(key: tuple, table: pa.Table, *, k: int, last: bool, shards: int) -> pa
     left = np.stack([np.add.reduceat(total == r, first).astype(np.int64) for r in range(1, MOST + 1)], axis=1)
     below = np.add.reduceat(np.where(seen, low, 0.0), first)
     mask = _mask(left)
-    own = key[0].as_py()
     rows = []
     for i, block in enumerate(blocks):
         g = of[cut[i] : cut[i + 1]]
         missing = group[g[~seen[g]]]
         missing = missing[_heads(missing)]
         told = (mask[group[g[_heads(context[g])]]], left[missing].ravel().astype(np.int32), below[missing]) if k > 1 else ()
-        rows.append((_ANSWER, block, _pack(total[g].astype(np.uint32), _steps(rank[g[seen[g]][: 0 if last else None]]).astype(np.uint32), *told), None, [0] * len(_COUNTS), 0, 0.0))
+        rows.append((_ANSWER, block, _pack((total[g] - n[cut[i] : cut[i + 1]]).astype(np.uint32), _steps(rank[g[seen[g]][: 0 if last else None]]).astype(np.uint32), *told), None, [0] * len(_COUNTS), 0, 0.0))
     rows.append((_TOTAL, None, None, int(seen.sum()), [int((total == r).sum()) for r in range(1, MOST + 2)], int(total.sum()), 0.0))
     for g in np.searchsorted(context[first], spread).tolist():
         rows.append((_SPREAD, None, None, int(_global(context[first[g : g + 1]], own, shards)[0]), [*left[g].tolist(), 0], 0, float(below[g])))
     trained = np.unique(group[seen])
-    rows.append((_TABLE, None, _pack(_steps(context[seen]), word[seen], total[seen], left[trained].ravel(), *_coded(below[trained])), None, [0] * len(_COUNTS), 0, 0.0))
+    rows.append((_TABLE, None, _pack(_steps(context[seen]), _within(context[seen], word[seen]), total[seen], left[trained].ravel(), *_coded(below[trained])), None, [0] * len(_COUNTS), 0, 0.0))
     kind, block, data, number, counts, tokens, lows = zip(*rows, strict=True)
     fields = [pa.array(kind, pa.int32()), pa.array(block, pa.int64()), pa.array([own] * len(rows), pa.int32()), pa.array(data, pa.binary()), pa.array(number, pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*counts, strict=True)), pa.array(tokens, pa.int64()), pa.array(lows, pa.float64())]
     return pa.table(fields, names=_NAMES)
@@ -408,7 +427,9 @@ class KatzModel:
             for batch in batches:
                 for shard, data in zip(batch["shard"].to_pylist(), batch["data"].to_pylist(), strict=True):
                     steps, word, count, *_ = _unpack(data)
-                    context = _global(np.cumsum(steps, dtype=U64), shard, shards).view(np.int64) if k > 1 else np.zeros(len(steps), np.int64)
+                    local = np.cumsum(steps, dtype=U64)
+                    word = _whole(local, word)
+                    context = _global(local, shard, shards).view(np.int64) if k > 1 else np.zeros(len(steps), np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(word)) * shards + shard, pa.int64()), pa.array(context), pa.array(word.view(np.int64)), pa.array(count, pa.int64())], names=["number", "context", "word", "count"])
 
         return self.tables[k - 1].where(F.col("kind") == _TABLE).select("shard", "data").mapInArrow(run, "number long, context long, word long, count long")
