@@ -244,7 +244,10 @@ class _Known:
             others, rank, *told = _unpack(data)
             count[i:j] = total = others + a.n[i:j]
             if len(rank):
-                number[i + np.flatnonzero(total)] = np.cumsum(rank.astype(np.int64)) * self.shards + s
+                found = np.flatnonzero(total)
+                if k == 1:
+                    found = found[_by_size(total[found])]
+                number[i + found] = np.cumsum(rank.astype(np.int64)) * self.shards + s
             if k > 1:
                 mask, sums, lows = told
                 some[i:j] = mask[_numbered(a.context[i:j])]
@@ -294,6 +297,12 @@ def _numbered(sorted_: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(head)), np.diff(np.append(head, len(sorted_))))
 
 
+def _by_size(count: np.ndarray) -> np.ndarray:
+    """An order by powers of two of counts, larger ones first. Words are numbered so, since common ones then have low numbers, which
+    pack well; who knows the counts knows the order."""
+    return np.argsort(-np.frexp(count.astype(np.float64))[1], kind="stable")
+
+
 def _numbered_any(values: np.ndarray) -> np.ndarray:
     return np.unique(values, return_inverse=True)[1]
 
@@ -345,7 +354,9 @@ def _meet(key: tuple, table: pa.Table, *, k: int, last: bool, shards: int) -> pa
     context, word = context[order][head], word[order][head]
     del order
     seen = total > 0
-    rank = np.cumsum(seen) - 1
+    order = _by_size(total[seen]) if k == 1 else np.arange(int(seen.sum()))
+    rank = np.zeros(len(seen), np.int64)
+    rank[np.flatnonzero(seen)[order]] = np.arange(len(order))
     first = _heads(context)
     group = _numbered(context)
     left = np.stack([np.add.reduceat(total == r, first).astype(np.int64) for r in range(1, MOST + 1)], axis=1)
@@ -357,12 +368,12 @@ def _meet(key: tuple, table: pa.Table, *, k: int, last: bool, shards: int) -> pa
         missing = group[g[~seen[g]]]
         missing = missing[_heads(missing)]
         told = (mask[group[g[_heads(context[g])]]], left[missing].ravel().astype(np.int32), below[missing]) if k > 1 else ()
-        rows.append((_ANSWER, block, _pack((total[g] - n[cut[i] : cut[i + 1]]).astype(np.uint32), _steps(rank[g[seen[g]][: 0 if last else None]]).astype(np.uint32), *told), None, [0] * len(_COUNTS), 0, 0.0))
+        rows.append((_ANSWER, block, _pack((total[g] - n[cut[i] : cut[i + 1]]).astype(np.uint32), _steps(np.sort(rank[g[seen[g]][: 0 if last else None]])).astype(np.uint32), *told), None, [0] * len(_COUNTS), 0, 0.0))
     rows.append((_TOTAL, None, None, int(seen.sum()), [int((total == r).sum()) for r in range(1, MOST + 2)], int(total.sum()), 0.0))
     for g in np.searchsorted(context[first], spread).tolist():
         rows.append((_SPREAD, None, None, int(_global(context[first[g : g + 1]], own, shards)[0]), [*left[g].tolist(), 0], 0, float(below[g])))
     trained = np.unique(group[seen])
-    rows.append((_TABLE, None, _pack(_steps(context[seen]), _within(context[seen], word[seen]), total[seen], left[trained].ravel(), *_coded(below[trained])), None, [0] * len(_COUNTS), 0, 0.0))
+    rows.append((_TABLE, None, _pack(_steps(context[seen]), _within(context[seen], word[seen][order]), total[seen][order], left[trained].ravel(), *_coded(below[trained])), None, [0] * len(_COUNTS), 0, 0.0))
     kind, block, data, number, counts, tokens, lows = zip(*rows, strict=True)
     fields = [pa.array(kind, pa.int32()), pa.array(block, pa.int64()), pa.array([own] * len(rows), pa.int32()), pa.array(data, pa.binary()), pa.array(number, pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*counts, strict=True)), pa.array(tokens, pa.int64()), pa.array(lows, pa.float64())]
     return pa.table(fields, names=_NAMES)
