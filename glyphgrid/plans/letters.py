@@ -111,7 +111,9 @@ def x1_f5_f6_f7_j9_o2_ensemble_matcher(t):
 @query()
 def x1_f11_j9_rendered_letters(t):
     """The three best letters of each patch among templates drawn from strokes in three sizes and three styles."""
-    p = _patches(t).withColumns({"h": F.lit(_SIDE), "w": F.lit(_SIDE)})
+    # a patch is small beside the work on it, so patches are dealt out, however few files hold them
+    dealt = _patches(t).repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    p = dealt.withColumns({"h": F.lit(_SIDE), "w": F.lit(_SIDE)})
     found = bank_match.match_patches(p, written(letterforms.bank(t.spark), "bank"), 3)
     return found.select("id", "letter", "rank", "size", "style", *(R(c).alias(c) for c in ("score", "chamfer", "ncc", "iou")), R("hu_dist", 4).alias("hu_dist"))
 
